@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, minhash, secrets
+from . import chat, exact, lines, minhash, mixing, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,5 +44,38 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_minhash, op3_chat_format)}
-ORACLE_SQL: dict[str, str] = {}
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document for the target mix."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its source's boilerplate lines: how many lines went, and a digest of the rest."""
+    docs = lines.drop_boilerplate(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), out_col="rest")
+    count = lambda c: F.when(F.col(c).isNotNull(), F.regexp_count(c, F.lit("\n")) + 1).otherwise(0).cast("long")
+    return docs.select("doc_id", count("text").alias("n_lines"), F.when(F.length("rest") > 0, count("rest")).otherwise(0).cast("long").alias("n_kept"), F.length("rest").cast("long").alias("n_chars"), F.sha2("rest", 256).alias("rest_sha256"))
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Owner and group size of every document; the largest doc_id of equal texts stays."""
+    return exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
+
+
+OP9_SQL = """
+WITH pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
+lines AS (SELECT DISTINCT d.rowid AS r, source, line FROM (SELECT row_number() OVER () AS rowid, source, text FROM documents) d, unnest(string_split(text, chr(10))) AS u(line) WHERE trim(line) <> ''),
+often AS (SELECT l.source, line FROM lines l JOIN pages p ON l.source IS NOT DISTINCT FROM p.source GROUP BY l.source, line, pages HAVING count(*) >= 5 AND count(*) > 0.1 * pages),
+lists AS (SELECT source, list(line) AS gone FROM often GROUP BY source),
+kept AS (SELECT doc_id, text, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, x)), chr(10)) END AS rest
+ FROM documents d LEFT JOIN lists g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, CASE WHEN text IS NULL THEN 0 ELSE len(string_split(text, chr(10))) END::BIGINT AS n_lines,
+ CASE WHEN length(rest) > 0 THEN len(string_split(rest, chr(10))) ELSE 0 END::BIGINT AS n_kept,
+ length(rest)::BIGINT AS n_chars, sha256(rest) AS rest_sha256 FROM kept
+"""
+OP10_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id IS NOT DISTINCT FROM max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
+"""
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_minhash, op3_chat_format, op6_mixing, op9_line_dedup, op10_exact_dedup)}
+ORACLE_SQL = {"op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL}
