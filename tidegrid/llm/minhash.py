@@ -8,15 +8,17 @@ two, where plain MinHash needs ``size`` passes, and coordinates agree with a
 probability of the Jaccard similarity, concentrated as with independent ones.
 
 Bands of coordinates give bucket keys.  Within a bucket no list of all pairs is made:
-members are first tied to a hub of their bucket, the ties are checked on the full
-sets, and only members that are still in another component than others of
-their bucket are paired with those.  All links are thus found whose ends share a
+members are first tied to a hub of their bucket and the ties are checked on the full
+sets; those that are then outside their bucket's main component are tied to a hub of that,
+a few times; and only members that are still in another component than others of
+their bucket are compared with those, in large buckets by what they share beside the bucket's core.  All links are thus found whose ends share a
 bucket: with 48 bands of 6 a pair of similarity 0.8 is missed with a probability of 5e-7.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import numpy as np
@@ -29,6 +31,9 @@ from .common import settle, text_of
 from .components import components
 
 BANDS, ROWS = 48, 6
+HUB_ROUNDS = 1
+#: Members up to which what is open in a bucket is paired off within it.
+SMALL = 32
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33, _S32, _LOW = np.uint64(33), np.uint64(32), np.uint64(0xFFFFFFFF)
 
@@ -134,6 +139,42 @@ def _close_in_size(x: Column, y: Column, percent: int) -> Column:
     return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
 
+def _open_buckets(inside: DataFrame, tree: DataFrame, seed: int) -> DataFrame:
+    """Members (key, rep, n, label, main, hub, hub_n) of the buckets that hold several components.
+
+    label is the member's component, main the bucket's most frequent one, hub some member of that.
+    """
+    named = inside.join(tree, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("label"))
+    chance = F.struct(F.xxhash64(F.lit(seed), "rep"), "rep")
+    each = named.groupBy("key", "label").agg(F.count("*").alias("size"), F.min_by(F.struct("rep", "n"), chance).alias("hub"))
+    mixed = each.groupBy("key").agg(F.count("*").alias("labels"), F.sum("size").alias("members"), F.max_by(F.struct("label", "hub"), F.struct("size", "label")).alias("most")).where("labels > 1")
+    return named.join(mixed, "key").select("key", "members", "rep", "n", "label", F.col("most.label").alias("main"), F.col("most.hub.rep").alias("hub"), F.col("most.hub.n").alias("hub_n"))
+
+
+def _beside_core(still: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of large buckets' members that may be linked though their components differ.
+
+    The members of buckets with the same main component are a family, and the shingles that half of
+    it has are the family's core C.  If x and y share nothing outside C, then |x n y| <= |x n C|.
+    So y is a candidate for x if they share a shingle outside the core, or if even |x n C|
+    shared ones would do for y's size.  Thousands of copies that each differ from one
+    text in other places thus aren't paired with one another; no link is lost.
+    """
+    each = still.groupBy(F.col("main").alias("f"), "rep").agg(F.first("label").alias("label"), F.first("n").alias("n"))
+    words = settle(each.join(sets.withColumnRenamed("id", "rep"), "rep").select("f", "rep", "label", "n", F.explode("hashes").alias("h")), "words")
+    size = words.groupBy("f").agg(F.countDistinct("rep").alias("size"))
+    often = words.groupBy("f", "h").agg(F.count("*").alias("df")).where("df > 1").join(size, "f").select("f", "h", (2 * F.col("df") >= F.col("size")).alias("core"))
+    told = settle(words.join(often, ["f", "h"]), "told")
+    outside = told.where("not core").select("f", "h", "rep", "label", "n")
+    x = outside.where("label <> f").select("f", "h", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"))
+    by_word = outside.join(x, ["f", "h"])
+    near = told.where("core and label <> f").groupBy("f", "rep", "label", "n").agg(F.count("*").alias("c")).where(100 * F.col("c") >= percent * F.col("n"))
+    x = near.select("f", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("n").alias("nx"), "c")
+    by_size = each.join(x, "f").where(100 * F.col("c") >= percent * (F.col("n") + F.col("nx") - F.col("c")))
+    pairs = [p.where("label <> lx").where(_close_in_size(F.col("n"), F.col("nx"), percent)).select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")) for p in (by_word, by_size)]
+    return pairs[0].unionByName(pairs[1]).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id, kept), one row per document row.
 
@@ -156,20 +197,26 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     sets = settle(shingle_sets(texts, words), "sets")
     links = settle(_confirm(ties, sets, percent), "links").distinct()
 
+    # tree: (node, component) of the links so far; each round, a bucket's strays, those outside its most frequent
+    # component, are tied to a hub of that component, until what is left to compare one by one is little
     tree = components(links)
-    label = F.coalesce("component", "rep")
-    named = settle(inside.join(tree, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", "hub", label.alias("label")), "named")
-    open_keys = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min_by("label", F.when(F.col("rep") == F.col("hub"), 0).otherwise(1)).alias("main")).where("l0 < l1").select("key", "main")
-    still = settle(named.join(open_keys, "key"), "open")
-    stray = still.where("label <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
+    parts = [links]
+    for k in range(HUB_ROUNDS):
+        still = _open_buckets(inside, tree, k)
+        tries = still.where("label <> main").where(_close_in_size(F.col("n"), F.col("hub_n"), percent)).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+        parts.append(settle(_confirm(tries, sets, percent), f"links{k}"))
+        tree = components(reduce(DataFrame.unionByName, parts))
+    still = settle(_open_buckets(inside, tree, HUB_ROUNDS), "open")
+    small = still.where(F.col("members") <= SMALL)
+    stray = small.where("label <> main").select("key", F.col("rep").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"))
     rest = (
-        still.where("rep <> hub").join(stray, "key")
+        small.join(stray, "key")
         .where("label <> lx and (label = main or rep < x)").where(_close_in_size(F.col("n"), F.col("nx"), percent))
-        .select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")).distinct()
-        .join(ties, ["a", "b"], "left_anti")
+        .select(F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b"))
+        .unionByName(_beside_core(still.where(F.col("members") > SMALL), sets, percent)).distinct()
     )
-    more = _confirm(settle(rest, "rest"), sets, percent)
-    tree = components(links.unionByName(more))
+    parts.append(_confirm(settle(rest, "rest"), sets, percent))
+    tree = components(reduce(DataFrame.unionByName, parts))
 
     same = made.where("set_key is not null and id is not null").join(spread.select("set_key", "rep"), "set_key").select("id", "rep").where("id <> rep")
     tree = components(same.select(F.col("id").alias("a"), F.col("rep").alias("b")).unionByName(tree.select(F.col("node").alias("a"), F.col("component").alias("b"))))
