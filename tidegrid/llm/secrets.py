@@ -51,6 +51,8 @@ MORE_RULES = (
     Rule("urlpass", 1, r"\b[a-z][a-z0-9+]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@", base=False),
 )
 RULES = BASE_RULES + MORE_RULES
+#: Tasks over which the paths of one blob are spread.
+SALTS = 16
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -117,7 +119,10 @@ def scan_files(files: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     new = scan(view, ledger, rules)
     whole = new if ledger is None else ledger.select("blob", "rule", "spans").join(view.select("blob"), "blob", "left_semi").unionByName(new)
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    result = view.select("path", "blob").join(findings(whole, rules), "blob", "left").select("path", "blob", F.coalesce("found", none).alias("found"))
+    # blobs with findings are few and some have very many paths: the former are repeated so that the latter meet them in several tasks
+    spread = findings(whole, rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    paths = view.select("path", "blob", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"))
+    result = paths.join(spread, ["blob", "salt"], "left").select("path", "blob", F.coalesce("found", none).alias("found"))
     return result, new
 
 
