@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import settle
+
 RATIO, LEAST_PAGES = 0.1, 5
 
 
@@ -39,7 +41,8 @@ def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = L
     boilerplate becomes empty; a null host is a host.  Lines end at "\\n"; repeated rows
     are pages of their own.  An empty table gives an empty one.
     """
-    often = boilerplate(docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")), ratio, least_pages)
+    # settled, so that the planner knows the list's size and sends it to the pages if it is small enough, rather than pages to it
+    often = settle(boilerplate(docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")), ratio, least_pages), "boilerplate")
     names = ["tg_host", "tg_lines"]
     while set(names) & set(docs.columns):
         names = [n + "_" for n in names]
