@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import settle, text_of
 
 TRIE_BYTES = 48 << 20
 
@@ -150,5 +150,6 @@ def exact_duplicates(docs: DataFrame, keep: str = "min", normalise=None, id_col:
     text = text_of(text_col) if normalise is None else normalise(text_of(text_col))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"))
     mine = rows.select("id", F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"))
-    found = mine.join(owners(rows, keep, trie_bytes), ["n_bytes", "text_sha256"])
+    # settled, so that the join has a shuffle of its own, in which Spark can split the rows of a text with very many copies
+    found = mine.join(settle(owners(rows, keep, trie_bytes), "owners"), ["n_bytes", "text_sha256"])
     return found.select(F.col("id").alias(id_col), F.col("owner").alias("keep_id"), F.col("group_size").cast("long").alias("group_size"), F.col("id").eqNullSafe(F.col("owner")).alias("kept"), "text_sha256")
