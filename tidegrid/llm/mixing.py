@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import n_words
+from .common import n_words, settle
 
 # The contract's weights, repeating by the source's place.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -71,7 +71,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
     null source is a source, a null id an id.  Documents without words get no copy.  The
     same rows give the same copies in whatever order they are read.  An empty table gives an empty one.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size"))
+    rows = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size")), "sizes")
     aims = source_targets(rows, weights, total_share, float(most))
     items = rows.groupBy("id", "source", "size").agg(F.count("*").alias("rows")).join(aims.withColumnRenamed("source", "a_source"), F.col("source").eqNullSafe(F.col("a_source")))
     tie = F.xxhash64(F.lit(17), "id", "size")
