@@ -108,10 +108,14 @@ def fit(texts: list[str], langs: list[str], dimensions: int = DIMENSIONS, rounds
 def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(text, lang): at most per_language documents, those of the least hash of their id, of each of the most frequent languages."""
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    often = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).select("lang")
-    order = W.partitionBy("lang").orderBy(F.xxhash64(F.lit(5), "id"), "id")
-    ids = known.select("id", "lang").join(F.broadcast(often), "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id", "lang").distinct()
-    return known.join(F.broadcast(ids), ["id", "lang"]).select("text", "lang")  # at most per_language * languages ids
+    often = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    chance = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 40))
+    order = W.partitionBy("lang").orderBy(chance, "id")
+    # three times the share that is wanted, by the same hash, so that no language's rows need meet
+    likely = known.select("id", "lang").join(F.broadcast(often), "lang").where(chance < F.lit(float(1 << 40)) * 3 * per_language / F.col("n"))
+    ids = likely.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id", "lang").distinct()
+    picked = known.join(F.broadcast(ids), ["id", "lang"])  # at most per_language * languages ids
+    return picked.groupBy("id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
 
 
 def train(docs: DataFrame, **options) -> Model:
