@@ -186,7 +186,7 @@ def validate(nodes: DataFrame, edges: DataFrame, ambiguous_edges: int | None = N
         out.append(issue(ends.where(~good), "error", "INVALID_ENDPOINT_FORMAT", "id"))
         deployed = nodes.where("type = 'DEPLOYMENT'").join(edges.where("type = 'LISTENS_ON'").select(F.col("src").alias("id")).distinct(), "id", "left_anti")
         out.append(issue(deployed, F.when(part("ip") != "", "error").otherwise("warning"), "DEPLOYMENT_WITHOUT_ENDPOINT", "id"))
-        hosts = nodes.where("type = 'HOST'").select(F.col("id").alias("dst"), part("ip").alias("ip")).where("ip <> ''")
+        hosts = nodes.where("type = 'HOST'").select(F.col("id").alias("dst"), part("ip").alias("ip")).where("ip <> ''").distinct()
         missing = ends.where(good).join(hosts, "ip").join(edges.where("type = 'ON_HOST'").select(F.col("src").alias("id"), "dst"), ["id", "dst"], "left_anti")
         found_by = F.coalesce(F.col("attributes")["discoveredBy"], F.lit("")) if "attributes" in nodes.columns else F.lit("")
         out.append(issue(missing, F.when(found_by.contains("inventory"), "error").otherwise("warning"), "ENDPOINT_WITHOUT_EXPECTED_HOST", "id"))
