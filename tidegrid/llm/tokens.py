@@ -38,6 +38,11 @@ def encoder(vocabulary: str):
     return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), max(ranks.values()) + 1
 
 
+def width(vocabulary: str) -> int:
+    """Bytes of an id: 2 if all ids of the vocabulary, with the end of document, fit."""
+    return 2 if encoder(vocabulary)[1] < 1 << 16 else 4
+
+
 def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
     return encoder(vocabulary)[0].encode_ordinary(text)
 
@@ -50,17 +55,19 @@ def _open(path: str):
 
 
 def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Tokenize docs into flat files of little-endian unsigned 32-bit ids under path, one a task.
+    """Tokenize docs into flat files of little-endian unsigned ids, width() bytes each, under path, one file a task.
 
     Returns the manifest (file, ordinal, id), settled in the shared folder: the ordinal-th
     document of a file, from 0.  A file is written under a name of its attempt, so a task that is
     run again or twice leaves a file that the manifest doesn't name.  Null texts are empty documents.
     """
     _, end = encoder(vocabulary)
+    kind = f"<u{width(vocabulary)}"
+    store, at = _open(path)
+    store.create_dir(at, recursive=True)  # there even if no task runs
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, at = _open(path)
-        store.create_dir(at, recursive=True)
         name, n = f"tokens-{uuid.uuid4().hex}.bin", 0
         coder = encoder(vocabulary)[0]
         with store.open_output_stream(f"{at}/{name}") as out:
@@ -68,7 +75,7 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
                 for lo in range(0, len(f), 200):
                     part = f.iloc[lo : lo + 200]
                     for text in part["text"]:
-                        out.write(np.array([*coder.encode_ordinary(text), end], "<u4").tobytes())
+                        out.write(np.array([*coder.encode_ordinary(text), end], kind).tobytes())
                     yield pd.DataFrame({"file": name, "ordinal": np.arange(n, n + len(part)), "id": part["id"].astype("Int64")})
                     n += len(part)
 
@@ -106,10 +113,10 @@ def count_tokens(spark: SparkSession, path: str, end: int, files: DataFrame | No
     final = F.col("start") + block_tokens >= F.col("n")
     stitched = seen.withColumn("prior", F.coalesce(F.max(last).over(before), F.lit(-1).cast("long"))).withColumn("done", F.coalesce(F.sum(F.size("ends").cast("long")).over(before), F.lit(0).cast("long")))
     open_end = F.when(final & (F.coalesce(last, F.col("prior")) < F.col("n") - 1), F.array("n")).otherwise(F.array().cast("array<long>"))
-    stops = stitched.select("file", "prior", "done", F.concat("ends", open_end).alias("stops"))
-    each = stops.select("file", "prior", "done", "stops", F.posexplode("stops").alias("k", "stop"))
-    begin = F.when(F.col("k") == 0, F.col("prior")).otherwise(F.get("stops", F.col("k") - 1))
-    return each.select("file", (F.col("done") + F.col("k")).alias("ordinal"), (F.col("stop") - begin - 1).alias("n_tokens"))
+    stops = stitched.select("file", "done", F.concat(F.array("prior"), "ends", open_end).alias("stops"))
+    lengths = F.transform(F.slice("stops", F.lit(2), F.size("stops") - 1), lambda stop, k: stop - F.get("stops", k) - 1)
+    each = stops.select("file", "done", lengths.alias("lengths")).select("file", "done", F.posexplode("lengths").alias("k", "n_tokens"))
+    return each.select("file", (F.col("done") + F.col("k")).alias("ordinal"), "n_tokens")
 
 
 def document_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -121,5 +128,5 @@ def document_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str =
     spark = docs.sparkSession
     path = scratch_path(spark, "tokens")
     manifest = write_token_files(docs, path, vocabulary, id_col, text_col)
-    counts = count_tokens(spark, path, encoder(vocabulary)[1], manifest, block_tokens=block_tokens)
+    counts = count_tokens(spark, path, encoder(vocabulary)[1], manifest, width(vocabulary), block_tokens)
     return manifest.join(counts, ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
