@@ -129,4 +129,5 @@ def document_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str =
     path = scratch_path(spark, "tokens")
     manifest = write_token_files(docs, path, vocabulary, id_col, text_col)
     counts = count_tokens(spark, path, encoder(vocabulary)[1], manifest, width(vocabulary), block_tokens)
-    return manifest.join(counts, ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
+    # a manifest is many rows that compress well: its size on disk mustn't make it a broadcast
+    return manifest.hint("merge").join(counts, ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens")
