@@ -70,13 +70,15 @@ def adjacency(edges: DataFrame, environments: Sequence[str] | None = None, direc
 
 def distances(nodes: DataFrame, steps: DataFrame, targets: Sequence[str], most: int = 50) -> DataFrame:
     """(node, distance): steps to the nearest node of a target type; nodes that reach none are left out."""
-    seen = settle(nodes.where(F.col("type").isin(*targets)).select(F.col("id").alias("node"), F.lit(0).alias("distance")).distinct(), "dist")
+    known = nodes.select(F.col("id").alias("node"), "type").distinct()
+    steps = settle(steps.select("node", "neighbour").join(known.select("node").distinct(), "node", "left_semi").distinct(), "steps")
+    seen = front = settle(known.where(F.col("type").isin(*targets)).select("node", F.lit(0).alias("distance")).distinct(), "dist")
     for k in range(1, most + 1):
-        reached = steps.join(seen.where(F.col("distance") == k - 1).select(F.col("node").alias("neighbour")), "neighbour").select("node").distinct()
-        new = settle(reached.join(nodes.select(F.col("id").alias("node")).distinct(), "node", "left_semi").join(seen, "node", "left_anti").withColumn("distance", F.lit(k)), "dist")
-        if new.isEmpty():
-            return seen
-        seen = seen.unionByName(new)
+        reached = steps.join(front.select(F.col("node").alias("neighbour")), "neighbour").select("node").distinct()
+        front = settle(reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(k)), "dist")
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
     return seen
 
 
@@ -88,6 +90,7 @@ def paths(nodes: DataFrame, steps: DataFrame, starts: DataFrame, targets: Sequen
     go are within depth, so nothing is expanded that can't arrive.  most is a report's length, in the
     order confidence (strong first), length, edges; None: all paths.
     """
+    steps = settle(steps, "steps")
     far = distances(nodes, steps, targets, depth)
     kind = nodes.groupBy("id").agg(F.min("type").alias("type"), F.min("status").alias("status"))
     ahead = settle(steps.join(far.withColumnRenamed("node", "neighbour"), "neighbour").join(kind.withColumnRenamed("id", "neighbour"), "neighbour").select(
@@ -126,6 +129,7 @@ def paths(nodes: DataFrame, steps: DataFrame, starts: DataFrame, targets: Sequen
 
 def reachable_types(nodes: DataFrame, steps: DataFrame, starts: DataFrame, depth: int = 8) -> DataFrame:
     """(type, nodes, nearest): what can be reached from the starts within depth."""
+    steps = settle(steps.select("node", "neighbour").distinct(), "steps")
     seen = settle(starts.select(F.col("id").alias("node")).distinct().withColumn("distance", F.lit(0)), "reach")
     for k in range(1, depth + 1):
         new = steps.join(seen.where(F.col("distance") == k - 1).select("node"), "node").select(F.col("neighbour").alias("node")).distinct()
@@ -138,13 +142,14 @@ def reachable_types(nodes: DataFrame, steps: DataFrame, starts: DataFrame, depth
 
 def closure(links: DataFrame, starts: DataFrame, depth: int = 16) -> DataFrame:
     """(start, node, distance): all nodes that the starts (column node) reach over directed links (src, dst), nearest first; ends on cycles."""
-    seen = settle(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("distance", F.lit(0)), "closure")
+    links = settle(links.select("src", "dst").distinct(), "links")
+    seen = front = settle(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("distance", F.lit(0)), "closure")
     for k in range(1, depth + 1):
-        new = seen.where(F.col("distance") == k - 1).join(links, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        new = settle(new.join(seen, ["start", "node"], "left_anti").withColumn("distance", F.lit(k)), "closure")
-        if new.isEmpty():
+        new = front.join(links, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
+        front = settle(new.join(seen, ["start", "node"], "left_anti").withColumn("distance", F.lit(k)), "closure")
+        if front.isEmpty():
             break
-        seen = seen.unionByName(new)
+        seen = seen.unionByName(front)
     return seen
 
 
