@@ -146,11 +146,6 @@ def training_table(rows: int = 900, seed: int = 11) -> list[tuple[list[str], lis
     return table
 
 
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (np.log(np.exp(x - top).sum(axis, keepdims=True)) + top).squeeze(axis)
-
-
 @dataclass
 class CRF:
     """Scores of a word's own features, of the words beside it, and of label pairs."""
@@ -209,46 +204,46 @@ class CRF:
         return out
 
 
-def train(table: list[tuple[list[str], list[str]]], rounds: int = 60, rate: float = 0.5, decay: float = 1e-4) -> CRF:
-    """Maximum likelihood by AdaGrad, forward and backward sums over all sequences at once."""
-    names: dict[tuple[int, str], int] = {}
-    sigs = [[signature(w) for w in words] for words, _ in table]
-    n, t, k = len(table), max(map(len, sigs)), len(LABELS)
-    cells = []
-    for i, s in enumerate(sigs):
-        for j in range(len(s)):
-            for side, at in ((0, j), (1, j - 1), (2, j + 1)):
-                if 0 <= at < len(s):
-                    cells += [(i * t + j, names.setdefault((side, f), len(names))) for f in shape_features(s[at])]
-    where, which = np.array(cells).T
-    y = np.zeros((n, t), int)
-    lengths = np.array([len(s) for s in sigs])
+def train(table: list[tuple[list[str], list[str]]], rounds: int = 80, rate: float = 0.5, decay: float = 1e-4) -> CRF:
+    """Maximum likelihood by AdaGrad; scaled forward and backward sums over all sequences at once."""
+    sigs: dict[str, int] = {}
+    seqs = [[sigs.setdefault(signature(w), len(sigs)) for w in words] for words, _ in table]
+    names = sorted({f for s in sigs for f in shape_features(s)})
+    at = {f: i for i, f in enumerate(names)}
+    has = np.zeros((len(sigs) + 1, len(names)))  # the last row, without features, stands beside the ends
+    for s, i in sigs.items():
+        has[i, [at[f] for f in shape_features(s)]] = 1
+    n, t, k = len(table), max(map(len, seqs)), len(LABELS)
+    lengths = np.array([len(s) for s in seqs])
+    mask = np.arange(t) < lengths[:, None]
+    ids, y = np.full((n, t), len(sigs)), np.zeros((n, t), int)
     for i, (_, labels) in enumerate(table):
+        ids[i, : len(labels)] = seqs[i]
         y[i, : len(labels)] = [LABELS.index(x) for x in labels]
-    mask = np.arange(t) < lengths[:, None]
-    w, moves, start = np.zeros((len(names), k)), np.zeros((k, k)), np.zeros(k)
+    beside = np.full((n, t), len(sigs))
+    before, after = beside.copy(), beside
+    before[:, 1:], after[:, :-1] = ids[:, :-1], ids[:, 1:]
+    sides = [ids, before, after]
+    w, moves, start = np.zeros((3, len(names), k)), np.zeros((k, k)), np.zeros(k)
     sums = [np.full_like(x, 1e-2) for x in (w, moves, start)]
     gold = np.eye(k)[y] * mask[..., None]
     gold_moves = np.einsum("nti,ntj->ij", gold[:, :-1], gold[:, 1:])
     for _ in range(rounds):
-        scores = np.zeros((n * t, k))
-        np.add.at(scores, where, w[which])
-        scores = scores.reshape(n, t, k)
-        fore, rear = np.empty((t, n, k)), np.zeros((t, n, k))
-        fore[0] = scores[:, 0] + start
-        for i in range(1, t):
-            fore[i] = np.where(mask[:, i, None], _logsum(fore[i - 1][:, :, None] + moves, 1) + scores[:, i], fore[i - 1])
-        for i in range(t - 2, -1, -1):
-            rear[i] = np.where(mask[:, i + 1, None], _logsum(moves[None] + (scores[:, i + 1] + rear[i + 1])[:, None, :], 2), rear[i + 1])
-        whole = _logsum(fore[-1], 1)
-        p = np.exp(np.clip(fore + rear - whole[:, None], -60, 0)).transpose(1, 0, 2) * mask[..., None]
+        scores = sum((has @ w[s])[sides[s]] for s in range(3))
+        e, m = np.exp(scores - scores.max(2, keepdims=True)), np.exp(moves)
+        fore, rear, scale = np.empty((t, n, k)), np.ones((t, n, k)), np.ones((t, n, 1))
+        for i in range(t):
+            new = (fore[i - 1] @ m if i else np.exp(start)) * e[:, i]
+            scale[i] = np.where(mask[:, i, None], new.sum(1, keepdims=True), 1)
+            fore[i] = np.where(mask[:, i, None], new / scale[i], fore[i - 1] if i else 0)
         pairs = np.zeros((k, k))
-        for i in range(1, t):
-            x = fore[i - 1][:, :, None] + moves + (scores[:, i] + rear[i])[:, None, :] - whole[:, None, None]
-            pairs += (np.exp(np.clip(x, -60, 0)) * mask[:, i, None, None]).sum(0)
-        miss = (p - gold).reshape(n * t, k)
-        g = np.zeros_like(w)
-        np.add.at(g, which, miss[where])
+        for i in range(t - 1, 0, -1):
+            ahead = np.where(mask[:, i, None], e[:, i] * rear[i] / scale[i], 0)
+            pairs += m * (fore[i - 1].T @ ahead)
+            rear[i - 1] = np.where(mask[:, i, None], ahead @ m.T, 1)
+        miss = ((fore * rear).transpose(1, 0, 2) * mask[..., None] - gold).reshape(n * t, k)
+        each = lambda ids, miss=miss: np.stack([np.bincount(ids.ravel(), miss[:, j], len(sigs) + 1) for j in range(k)], 1)
+        g = np.stack([has.T @ each(s) for s in sides])
         for x, d, s in zip((w, moves, start), (g / n + decay * w, (pairs - gold_moves) / n, miss.reshape(n, t, k)[:, 0].sum(0) / n), sums, strict=True):
             s += d * d
             x -= rate * d / np.sqrt(s)
@@ -257,7 +252,7 @@ def train(table: list[tuple[list[str], list[str]]], rounds: int = 60, rate: floa
             if z[0] == "I" and x[2:] != z[2:]:
                 moves[a, b] = -1e4
         start[a] += -1e4 if x[0] == "I" else 0
-    tables = [{f: w[i].astype(np.float32) for (side, f), i in names.items() if side == s} for s in range(3)]
+    tables = [{f: w[s, i].astype(np.float32) for f, i in at.items()} for s in range(3)]
     return CRF(*tables, moves.astype(np.float32), start.astype(np.float32))
 
 
