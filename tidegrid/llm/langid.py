@@ -153,7 +153,7 @@ def predictor(model: Model, gap: float = AMBIGUOUS):
                     out[i] = (model.languages[k], float(p), bool(p - q < gap))
             yield pd.DataFrame(out, columns=RESULT.names)
 
-    return F.pandas_udf(run, RESULT)
+    return F.pandas_udf(run, RESULT).asNondeterministic()  # else a filter and a projection would each run it
 
 
 def identify(docs: DataFrame, model: Model, gap: float = AMBIGUOUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
