@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"[^\W_]+")
 #: Characters of an item for each piece: the budget is len // PIECE - 1 edits.
-PIECE = 18
+PIECE = 14
 #: Items with fewer normalised characters say nothing about contamination and match nothing.
 LEAST_CHARS = 30
 #: Normalised characters of items that one automaton holds; larger benchmarks are matched in blocks.
@@ -158,4 +158,4 @@ def _clean(matcher: Matcher):
         for texts in batches:
             yield pd.Series([not matcher.matches(t) for t in texts], dtype=bool)
 
-    return F.pandas_udf(run, "boolean")
+    return F.pandas_udf(run, "boolean").asNondeterministic()
