@@ -70,12 +70,12 @@ def adjacency(edges: DataFrame, environments: Sequence[str] | None = None, direc
 
 def distances(nodes: DataFrame, steps: DataFrame, targets: Sequence[str], most: int = 50) -> DataFrame:
     """(node, distance): steps to the nearest node of a target type; nodes that reach none are left out."""
-    known = nodes.select(F.col("id").alias("node"), "type").distinct()
-    steps = settle(steps.select("node", "neighbour").join(known.select("node").distinct(), "node", "left_semi").distinct(), "steps")
+    steps = settle(steps.select("node", "neighbour"), "steps")
+    known = settle(nodes.select(F.col("id").alias("node"), "type"), "nodes")
     seen = front = settle(known.where(F.col("type").isin(*targets)).select("node", F.lit(0).alias("distance")).distinct(), "dist")
     for k in range(1, most + 1):
         reached = steps.join(front.select(F.col("node").alias("neighbour")), "neighbour").select("node").distinct()
-        front = settle(reached.join(seen, "node", "left_anti").withColumn("distance", F.lit(k)), "dist")
+        front = settle(reached.join(known, "node", "left_semi").join(seen, "node", "left_anti").withColumn("distance", F.lit(k)), "dist")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
