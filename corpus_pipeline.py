@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tidegrid.llm import decontaminate, langid, lines, minhash, mixing
 from tidegrid.llm.common import settle
 
+#: Two languages whose shares are closer than this are one text's in equal parts; it is rejected as neither.
+UNDECIDED = 0.02
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -19,10 +21,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the model can tell stay; lang is what it says.
 
     The model learns from the documents' own labels (crc32(doc_id) modulo 4 other than
-    2, a bounded sample).  Texts without letters go, and texts between two languages.
+    2, a bounded sample).  Texts without letters go, and texts that are as much in one language as in another.
     """
     model = langid.train(docs.where(F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 != 2, F.lit(True))))
-    told = docs.select(*COLUMNS).withColumn("told", langid.predictor(model)("text"))
+    told = docs.select(*COLUMNS).withColumn("told", langid.predictor(model, UNDECIDED)("text"))
     kept = told.where((F.col("told.lang") != langid.UNKNOWN) & ~F.col("told.ambiguous"))
     return kept.withColumn("lang", F.col("told.lang")).select(*COLUMNS)
 
