@@ -227,6 +227,10 @@ def test_pii(spark):
     assert pii.find(docs_of(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_plausible_addresses():
+    assert pii.plausible("ip", "0" * 39 + ".2.3.4") and not pii.plausible("ip", "1" * 5000 + ".2.3.4") and not pii.plausible("ip", "300.1.1.1")
+
+
 def test_crf_learns():
     model, right, all_ = pii.default_model(), 0, 0
     for seq, labels in pii.training_table(200, seed=77):

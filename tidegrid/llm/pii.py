@@ -32,6 +32,10 @@ LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 CUES = frozenset("at dot phone tel call mobile cell fax mail email e-mail contact write reach ip host address server card visa number account pay".split())
 
 
+def octets(address: str) -> bool:
+    return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in address.split("."))
+
+
 def luhn(digits: str) -> bool:
     odd = sum(map(int, digits[-1::-2]))
     return (odd + sum((0, 2, 4, 6, 8, 1, 3, 5, 7, 9)[int(d)] for d in digits[-2::-2])) % 10 == 0
@@ -51,7 +55,7 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
         last = m.end() if m else at + 1
         at = text.find("@", last)
     if DIGIT.search(text):
-        out += [(m.start(), 1, "ip", m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m.group().split("."))]
+        out += [(m.start(), 1, "ip", m.end()) for m in IP.finditer(text) if octets(m.group())]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 14:
                 digits = NOT_DIGIT.sub("", m.group())
@@ -271,7 +275,7 @@ def plausible(kind: str, found: str) -> bool:
         return bool(SPOKEN.fullmatch(found))
     if kind == "ip":
         m = IP.search(found)
-        return bool(m) and all(int(p) <= 255 for p in m.group()[:40].split("."))
+        return bool(m) and octets(m.group())
     if kind == "card":
         return 14 <= digits <= 19 and luhn(NOT_DIGIT.sub("", found))
     return 10 <= digits <= 15 and bool(re.search(r"[-.() +]", found.strip("+")))
