@@ -304,6 +304,16 @@ def test_token_counts(spark, block):
     assert tokens.document_tokens(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("space", [" ", "\n", "\u3000", " \n"])
+def test_long_white_space(space):
+    coder = tokens.encoder(tokens.VOCABULARY)[0]
+    for before in ("", "ab", "1 "):
+        for after in ("", "x", " 9", "!"):
+            text = before + space * 12_000 + after
+            assert tokens.encode(text) == coder.encode_ordinary(text)
+    assert tokens.encode(" " * 1_200_000 + "x")[-1] == coder.encode_ordinary(" x")[-1]
+
+
 def test_flat_files(spark, tmp_path):
     import numpy as np
 

@@ -9,6 +9,7 @@ a document; numpy finds the separators of a block, and a prefix scan over a file
 from __future__ import annotations
 
 import base64
+import re
 import uuid
 from collections.abc import Iterator
 from functools import cache
@@ -26,6 +27,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the public pattern by which the vocabulary's tokenizer cuts texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BLOCK_TOKENS = 1 << 20
+# What \s stands for in PATTERN. A run this long outgrows the backtracking stack of the tokenizer's pattern matcher.
+LONG_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 @cache
@@ -44,7 +47,18 @@ def width(vocabulary: str) -> int:
 
 
 def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
-    return encoder(vocabulary)[0].encode_ordinary(text)
+    """Token ids of a text; the pattern's pieces of very long runs of white space are cut here instead of by the pattern."""
+    coder = encoder(vocabulary)[0]
+    if len(text) < 10_000:
+        return coder.encode_ordinary(text)
+    out: list[int] = []
+    at = 0
+    for m in LONG_SPACE.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1  # the last one before a word goes with the word
+        out += coder.encode_ordinary(text[at : m.start()])
+        out += coder._encode_single_piece(text[m.start() : end])
+        at = end
+    return out + coder.encode_ordinary(text[at:])
 
 
 def _open(path: str):
@@ -69,13 +83,12 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, at = _open(path)
         name, n = f"tokens-{uuid.uuid4().hex}.bin", 0
-        coder = encoder(vocabulary)[0]
         with store.open_output_stream(f"{at}/{name}") as out:
             for f in frames:
                 for lo in range(0, len(f), 200):
                     part = f.iloc[lo : lo + 200]
                     for text in part["text"]:
-                        out.write(np.array([*coder.encode_ordinary(text), end], kind).tobytes())
+                        out.write(np.array([*encode(text, vocabulary), end], kind).tobytes())
                     yield pd.DataFrame({"file": name, "ordinal": np.arange(n, n + len(part)), "id": part["id"].astype("Int64")})
                     n += len(part)
 
