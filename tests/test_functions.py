@@ -41,6 +41,7 @@ def test_requests(spark):
     got = each(spark, net.parse_request, ["https://A.example.com./x/y?q#f", "a.example.com", "a.example.com:8080/p", "ftp://a", "", "http://a:70000"])
     assert [tuple(x) if x else None for x in got] == [("https", "a.example.com", 443, "/x/y", False), ("http", "a.example.com", 80, "/", True), ("http", "a.example.com", 8080, "/p", False), None, None, None]
     m = lambda pattern: tuple(each(spark, lambda c: net.domain_match(F.lit(pattern), c), ["a.b.example.com"])[0])
+    assert m("0.example.com, a.b.example.com")[0] == 2 and m("0a.b.example.com")[0] == -1
     assert [m("a.b.example.com"), m("*.example.com"), m("*.b.example.com,x"), m(""), m("*.other.com")] == [(2, 4), (1, 2), (1, 3), (0, 0), (-1, 0)]
     loc = lambda uri: tuple(each(spark, lambda c: net.location_match(F.lit(uri), c), ["/api/x"])[0])
     assert [loc("= /api/x"), loc("/api"), loc("^~ /api/"), loc("~ x"), loc("/"), loc("(TCP/UDP)"), loc("/no")] == [("exact", 6), ("prefix", 4), ("prefix", 5), ("regex", 0), ("prefix", 1), ("stream", 0), (None, 0)]

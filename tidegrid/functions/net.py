@@ -173,7 +173,7 @@ def listen_port(entry: Column) -> Column:
 
 def domain_match(pattern: Column, host: Column) -> Column:
     """(score, specificity): 2 exact, 1 wildcard (more labels are narrower), 0 no pattern, -1 no match; a pattern may list several by comma."""
-    parts = F.transform(F.split(F.coalesce(pattern, F.lit("")), ","), F.trim)
+    parts = F.transform(F.split(F.coalesce(pattern, F.lit("")), ","), lambda p: F.trim(p))
     hit = lambda p: p.startswith("*.") & host.endswith(F.substr(p, F.lit(2))) & (F.length(host) > F.length(p) - 1)
     wild = F.coalesce(F.array_max(F.transform(F.filter(parts, hit), lambda p: F.size(F.split(p, r"\.")) - 1)), F.lit(0))
     exact = F.array_contains(parts, host)
