@@ -287,6 +287,15 @@ def test_mixing(spark):
     assert len(one) == 3 and all(x["taken"] == 0 for x in one)
 
 
+@pytest.mark.parametrize("share", [0.49, 1.45])
+def test_mixing_giants(spark, share):
+    """Documents of more words than a lot has: the target is met by the source's other lots."""
+    texts = ["word " * 20] * 3000 + ["word " * 100_000] * 5
+    rows = mixing.mix(docs_of(spark, texts), total_share=share).select("taken", "target", "copies").collect()
+    assert len(rows) == len(texts) and all(0 <= x["copies"] <= 2 for x in rows)
+    assert abs(sum(x["taken"] for x in rows) - rows[0]["target"]) < 20
+
+
 def test_targets_by_newton(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 5), ("d", 0), (None, 700)], "source string, size long")
     for r in mixing.source_targets(sizes).collect():

@@ -7,8 +7,11 @@ The dual is smooth and convex, sum S_s exp(x_s) - target_s x_s, and its optimum
 the rates exponentially: r_d = exp(x_source).  Gradient and Hessian need each source's
 words only, which one distributed aggregation gives; Newton's steps then run for
 all sources at once, as an expression over the table of sources.  Rates become whole copies by diffusing the
-rounding error down the sizes within random groups of bounded length, so a source that
-holds a third of all rows is many groups.  All of it is DataFrame functions.
+rounding error down the sizes within random groups (lots) of bounded length, so a source that
+holds a third of all rows is many lots.  No lot keeps an error: documents that are large
+beside a lot are rounded first, in lots of their own, and the source's other documents aim at what is
+left of the target; what all lots leave then goes to the source's lots one after the other.
+All of it is DataFrame functions.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ from .common import n_words, settle
 WEIGHTS = (3.0, 1.0, 2.0)
 NEWTON_STEPS = 60
 GROUP = 1024
+#: Rows of more words than this share of a lot's mean are rounded first.
+LARGE = 0.125
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -63,21 +68,64 @@ def _copies(items: str, rate: str, most: int) -> F.Column:
     return F.aggregate(items, start, step, lambda s: s["copies"])
 
 
+def _words(copies: F.Column | int) -> F.Column:
+    """Words of all items, each as often as copies (an array beside items, or a number)."""
+    times = F.transform("items", lambda _: F.lit(copies)) if isinstance(copies, int) else copies
+    return F.aggregate(F.zip_with("items", times, lambda x, k: x["size"] * x["rows"] * k), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def _corrected(give: F.Column, most: int) -> F.Column:
+    """Copies of items with as many words more (give > 0) or less as fit into give, the largest items first."""
+    start = F.struct(F.abs(give).alias("left"), F.array().cast("array<int>").alias("copies"))
+
+    def step(s: F.Column, x: F.Column) -> F.Column:
+        unit, n = x["items"]["size"] * x["items"]["rows"], x["copies"]
+        k = F.when(unit > 0, F.least(F.floor(s["left"] / unit), F.when(give > 0, most - n).otherwise(n))).otherwise(F.lit(0)).cast("int")
+        return F.struct((s["left"] - k * unit).alias("left"), F.concat(s["copies"], F.array(F.when(give > 0, n + k).otherwise(n - k))).alias("copies"))
+
+    return F.aggregate(F.arrays_zip("items", "copies"), start, step, lambda s: s["copies"])
+
+
+def _lots(items: DataFrame, number: F.Column, most: int) -> DataFrame:
+    """items dealt at random into so many lots a source, with their copies at the rate aim."""
+    tie = F.xxhash64(F.lit(17), "id", "size")
+    dealt = items.withColumn("lot", F.pmod(F.xxhash64(F.lit(29), "id", "size"), number))
+    lots = dealt.groupBy("source", "source_size", "target", "rate", "aim", "due", "lot").agg(F.sort_array(F.collect_list(F.struct("size", tie.alias("tie"), "id", "rows")), asc=False).alias("items"))
+    made = settle(lots.withColumn("copies", _copies("items", "aim", most)), "lots")
+    return made.withColumn("words", _words(1)).withColumn("got", _words(F.col("copies")))
+
+
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: float = 1.5, most: int = 2, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """(id_col, source_col, size, source_size, target, rate, copies, taken), one row per document row.
 
     size is the number of words (0 for a null or empty text), taken is copies * size,
     copies are 0 to most.  Rows that agree in id, source and size get the same copies; a
-    null source is a source, a null id an id.  Documents without words get no copy.  The
+    null source is a source, a null id an id.  Documents without words get no copy.  What a
+    source's copies take is as near to its target as its documents allow: off by less than one of the small ones.  The
     same rows give the same copies in whatever order they are read.  An empty table gives an empty one.
     """
     rows = settle(docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(text_col).alias("size")), "sizes")
-    aims = source_targets(rows, weights, total_share, float(most))
-    items = rows.groupBy("id", "source", "size").agg(F.count("*").alias("rows")).join(aims.withColumnRenamed("source", "a_source"), F.col("source").eqNullSafe(F.col("a_source")))
-    tie = F.xxhash64(F.lit(17), "id", "size")
-    dealt = items.withColumn("lot", F.pmod(F.xxhash64(F.lit(29), "id", "size"), F.ceil(F.col("n") / GROUP)))
-    lots = dealt.groupBy("source", "source_size", "target", "rate", "lot").agg(F.sort_array(F.collect_list(F.struct("size", tie.alias("tie"), "id", "rows")), asc=False).alias("items"))
-    each = lots.withColumn("x", F.explode(F.arrays_zip("items", _copies("items", "rate", most).alias("copies"))))
+    aims = settle(source_targets(rows, weights, total_share, float(most)).withColumnRenamed("source", "a_source"), "aims")
+    items = settle(rows.groupBy("id", "source", "size").agg(F.count("*").alias("rows")), "items")
+    in_source = F.col("source").eqNullSafe(F.col("a_source"))
+    n_lots = F.ceil(F.col("n") / GROUP)
+    large = F.col("size") * F.col("rows") * n_lots > LARGE * F.col("source_size")  # fewer than n_lots / LARGE of them
+    first = _lots(items.join(aims, in_source).where(large).withColumn("aim", F.col("rate")).withColumn("due", F.col("target")), F.ceil(n_lots / (LARGE * GROUP)), most)
+    gone = first.groupBy(F.col("source").alias("g_source")).agg(F.sum("words").alias("g_words"), F.sum("got").alias("g_got"))
+    over = aims.join(gone, F.col("a_source").eqNullSafe(F.col("g_source")), "left").withColumn("due", F.col("target") - F.coalesce("g_got", F.lit(0)))
+    left = F.col("source_size") - F.coalesce("g_words", F.lit(0))
+    over = settle(over.withColumn("aim", F.when(left > 0, F.least(F.greatest(F.col("due") / left, F.lit(0.0)), F.lit(float(most)))).otherwise(F.lit(0.0))), "aims")
+    others = _lots(items.join(over, in_source).where(~large), n_lots, most)
+    # what the lots leave of due goes to the first lots that have room for it; a row here is a whole lot
+    of_source, earlier = W.partitionBy("source"), W.partitionBy("source").orderBy("lot").rowsBetween(W.unboundedPreceding, -1)
+    owed = others.select("source", "lot", "got", "words", "due").withColumn("owed", F.col("due") - F.sum("got").over(of_source))
+    owed = owed.withColumn("room", F.when(F.col("owed") > 0, most * F.col("words") - F.col("got")).otherwise(F.col("got")))
+    share = F.least(F.col("room").cast("double"), F.abs("owed") - F.coalesce(F.sum("room").over(earlier), F.lit(0)))
+    gifts = owed.withColumn("give", F.signum("owed") * F.greatest(share, F.lit(0.0))).where("abs(give) >= 1").select(F.col("source").alias("o_source"), F.col("lot").alias("o_lot"), "give")
+    settled = others.join(gifts, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("lot") == F.col("o_lot")), "left")
+    settled = settled.withColumn("copies", F.when(F.col("give").isNotNull(), _corrected(F.col("give"), most)).otherwise(F.col("copies")))
+    lots = first.select("source", "source_size", "target", "rate", "items", "copies").unionByName(settled.select("source", "source_size", "target", "rate", "items", "copies"))
+    each = lots.withColumn("x", F.explode(F.arrays_zip("items", "copies")))
     plan = each.select(F.col("x.items.id").alias("p_id"), F.col("source").alias("p_source"), F.col("x.items.size").alias("p_size"), "source_size", "target", "rate", "x.copies")
     same = F.col("id").eqNullSafe(F.col("p_id")) & F.col("source").eqNullSafe(F.col("p_source")) & (F.col("size") == F.col("p_size"))
     return rows.join(plan, same).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"))
