@@ -109,3 +109,20 @@ def test_tables_and_cells(spark, tmp_path):
         snapshots.read_table(spark, f"file://{path}", ["owner"])
     sinks.write_csv(spark.createDataFrame([("=1+1", [1])], "a string, b array<int>"), f"file://{tmp_path}/out")
     assert spark.read.csv(f"file://{tmp_path}/out", header=True).first()["a"] == "'=1+1"
+
+
+def test_long_chains(spark):
+    """Searches end with the frontier, not after a number of steps: chains of 18 and 52 links, the first with a cycle at its end."""
+    n = 18
+    links = spark.createDataFrame([*((i, i + 1) for i in range(n)), (n, n - 1)], "src long, dst long").coalesce(1)
+    starts = spark.createDataFrame([(0,), (n,)], "node long").coalesce(1)
+    got = {(r["start"], r["node"]): r["distance"] for r in graph.closure(links, starts).collect()}
+    assert got == {(0, i): i for i in range(n + 1)} | {(n, n): 0, (n, n - 1): 1}
+    near = starts.where(f"node = {n}")
+    assert graph.closure(links, near, depth=1).count() == 2
+    with pytest.raises(ValueError, match="farther"):
+        graph.closure(links, near, depth=0)
+    n = 52
+    nodes = spark.createDataFrame([(str(i), "END" if i == n else "NAME") for i in range(n + 1)], "id string, type string").coalesce(1)
+    steps = spark.createDataFrame([(str(i), str(i + 1)) for i in range(n)], "node string, neighbour string").coalesce(1)
+    assert {r["node"]: r["distance"] for r in graph.distances(nodes, steps, ["END"]).collect()} == {str(i): n - i for i in range(n + 1)}

@@ -9,12 +9,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Confidence from weak to strong.
+# Confidence from weak to strong; rounds of a search between two merges.
 CONFIDENCE = {"UNKNOWN": 0, "AMBIGUOUS": 1, "INFERRED": 2, "EXACT": 3}
+MERGE = 16
 
 
 def settle(df: DataFrame, name: str = "graph") -> DataFrame:
@@ -29,6 +31,12 @@ def settle(df: DataFrame, name: str = "graph") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(seen: DataFrame, front: DataFrame, k: int, name: str) -> DataFrame:
+    """seen with round k's rows; every MERGE rounds written as one table, so that the plan of a long search stays short."""
+    both = seen.unionByName(front)
+    return settle(both, name) if k % MERGE == 0 else both
+
+
 def rank_of(confidence: Column) -> Column:
     return F.element_at(F.create_map(*[F.lit(y) for k, v in CONFIDENCE.items() for y in (k, v)]), confidence)
 
@@ -68,17 +76,17 @@ def adjacency(edges: DataFrame, environments: Sequence[str] | None = None, direc
     return way("src", "dst") if directed else way("src", "dst").unionByName(way("dst", "src").where("node <> neighbour"))
 
 
-def distances(nodes: DataFrame, steps: DataFrame, targets: Sequence[str], most: int = 50) -> DataFrame:
-    """(node, distance): steps to the nearest node of a target type; nodes that reach none are left out."""
+def distances(nodes: DataFrame, steps: DataFrame, targets: Sequence[str], most: int | None = None) -> DataFrame:
+    """(node, distance): steps to the nearest node of a target type; nodes that reach none, or none within most steps if that is given, are left out."""
     steps = settle(steps.select("node", "neighbour"), "steps")
     known = settle(nodes.select(F.col("id").alias("node"), "type"), "nodes")
     seen = front = settle(known.where(F.col("type").isin(*targets)).select("node", F.lit(0).alias("distance")).distinct(), "dist")
-    for k in range(1, most + 1):
+    for k in count(1) if most is None else range(1, most + 1):
         reached = steps.join(front.select(F.col("node").alias("neighbour")), "neighbour").select("node").distinct()
         front = settle(reached.join(known, "node", "left_semi").join(seen, "node", "left_anti").withColumn("distance", F.lit(k)), "dist")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        seen = merged(seen, front, k, "dist")
     return seen
 
 
@@ -140,16 +148,21 @@ def reachable_types(nodes: DataFrame, steps: DataFrame, starts: DataFrame, depth
     return seen.join(nodes.select(F.col("id").alias("node"), "type"), "node").groupBy("type").agg(F.countDistinct("node").alias("nodes"), F.min("distance").alias("nearest"))
 
 
-def closure(links: DataFrame, starts: DataFrame, depth: int = 16) -> DataFrame:
-    """(start, node, distance): all nodes that the starts (column node) reach over directed links (src, dst), nearest first; ends on cycles."""
+def closure(links: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(start, node, distance): all nodes that the starts (column node) reach over directed links (src, dst), nearest first; ends on cycles.
+
+    depth: an error if there are nodes farther than that; never a part of the closure.
+    """
     links = settle(links.select("src", "dst").distinct(), "links")
     seen = front = settle(starts.select(F.col("node").alias("start"), "node").distinct().withColumn("distance", F.lit(0)), "closure")
-    for k in range(1, depth + 1):
+    for k in count(1):
         new = front.join(links, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         front = settle(new.join(seen, ["start", "node"], "left_anti").withColumn("distance", F.lit(k)), "closure")
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
+        if depth is not None and k > depth:
+            raise ValueError(f"closure: nodes are farther than {depth} steps")
+        seen = merged(seen, front, k, "closure")
     return seen
 
 
