@@ -41,6 +41,13 @@ def test_attribution(spark):
     assert got == {(5000, 3306): ("EXACT", 77), (8080, 6000): ("UNKNOWN", None), (8080, 6001): ("UNKNOWN", None), (5001, 3306): ("AMBIGUOUS", None), (5002, 3306): ("INFERRED", 9), (5003, 3306): ("UNKNOWN", None)}
 
 
+def test_attribution_reasons(spark):
+    """Why a flow's other end isn't known: no samples, samples outside its life, or samples without it."""
+    for obs, want in (([], "peer not sampled"), ([(3306, -9, -8)], "peer sampled outside the flow's life"), ([(3306, 90, 91)], "peer sampled outside the flow's life"), ([(1, 0, 1)], "connection not seen at the peer"), ([(3306, 0, 1)], None)):
+        df = spark.createDataFrame([("10.0.0.2", p, "10.0.0.1", 5000, AT(a), AT(b), 7, "proc", "app") for p, a, b in obs], "local_ip string, local_port int, peer_ip string, peer_port int, obs_start timestamp, obs_end timestamp, pid int, process string, app string")
+        assert [r["reason"] for r in flows.attribute(states(spark).where("local_port = 5000"), df).collect()] == [want]
+
+
 def test_targets(spark):
     f = states(spark).where("local_port = 5000")
     l = spark.createDataFrame([("10.0.0.2", b, 3306, "tcp", i, "x") for i, b in enumerate(["*", "0.0.0.0", "::", "10.0.0.2", "127.0.0.1"])] + [("10.0.0.2", "*", 99, "tcp", 9, "x")], "host_ip string, bind string, port int, protocol string, pid int, process string")  # noqa: E741

@@ -63,16 +63,20 @@ def attribute(flows: DataFrame, observations: DataFrame) -> DataFrame:
     observations: samples at the peer with obs_start and obs_end (on our clock), pid, process, app.  Those of the
     reversed tuple that can overlap the flow's life are candidates.  One process: EXACT if an
     observation lies between the flow's first and last sample, of which there are two, and the flow has a socket id and
-    wasn't interrupted, else INFERRED; several: AMBIGUOUS; none: UNKNOWN.
+    wasn't interrupted, else INFERRED; several: AMBIGUOUS; none: UNKNOWN.  reason, of UNKNOWN only: whether the peer has no samples
+    at all, none while the flow lived, or some but none of this connection.
     """
     j = rel.reversed_pairs(flows, observations, LOCAL, PEER).where((F.col("o_obs_end") >= F.col("first_at")) & (F.col("o_obs_start") <= F.col("last_at")))
     bracketed = (F.col("first_at") <= F.col("o_obs_start")) & (F.col("o_obs_end") <= F.col("last_at")) & (F.col("samples") >= 2) & F.col("socket_id").isNotNull() & ~F.col("interrupted")
     found = j.groupBy(*KEY).agg(F.countDistinct("o_pid").alias("n"), F.max(bracketed).alias("sure"), F.min(F.struct("o_pid", "o_process", "o_app")).alias("p"), F.count("*").alias("evidence"))
     named = [F.col(f"f.{k}").eqNullSafe(F.col(f"x.{k}")) for k in KEY]
-    out = flows.alias("f").join(found.alias("x"), named, "left")
+    covered = observations.groupBy(F.col("local_ip").alias("c_ip")).agg(F.min("obs_start").alias("c_start"), F.max("obs_end").alias("c_end"))
+    out = flows.alias("f").join(found.alias("x"), named, "left").join(covered.alias("c"), F.col("f.peer_ip") == F.col("c.c_ip"), "left")
     n = F.coalesce("n", F.lit(0))
     confidence = F.when(n == 0, "UNKNOWN").when(n > 1, "AMBIGUOUS").when(F.col("sure"), "EXACT").otherwise("INFERRED")
-    return out.select("f.*", F.when(n == 1, F.col("p.o_pid")).alias("remote_pid"), F.when(n == 1, F.col("p.o_process")).alias("remote_process"), F.when(n == 1, F.col("p.o_app")).alias("remote_app"), confidence.alias("resolution"), F.coalesce("evidence", F.lit(0)).alias("evidence"))
+    outside = (F.col("c_end") < F.col("f.first_at")) | (F.col("c_start") > F.col("f.last_at"))
+    reason = F.when(n == 0, F.when(F.col("c_ip").isNull(), "peer not sampled").when(outside, "peer sampled outside the flow's life").otherwise("connection not seen at the peer"))
+    return out.select("f.*", F.when(n == 1, F.col("p.o_pid")).alias("remote_pid"), F.when(n == 1, F.col("p.o_process")).alias("remote_process"), F.when(n == 1, F.col("p.o_app")).alias("remote_app"), confidence.alias("resolution"), F.coalesce("evidence", F.lit(0)).alias("evidence"), reason.alias("reason"))
 
 
 def keep_evidence(observations: DataFrame, owner: Sequence[str], at: str, first: int = 2, last: int = 8) -> DataFrame:
