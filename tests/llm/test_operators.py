@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import brute
 import pytest
@@ -166,8 +167,8 @@ def test_myers():
 
 def test_decontaminate(spark):
     r = random.Random(5)
-    items = [words(r, 30) for _ in range(12)] + [None, "", "short one", LONG[:2000]]
-    texts = [None, "", LONG]
+    items = [words(r, 30) for _ in range(12)] + [None, "", "short one", "数学", LONG[:2000]]
+    texts = [None, "", LONG, "A Short-one.", "short ones", "数学 x", "大数学"]
     for i, t in enumerate(items[:12]):
         w = t.split()
         texts.append(words(r, 50) + " " + t.upper().replace(" ", ", ") + "! " + words(r, 10))  # other case and punctuation
@@ -179,23 +180,68 @@ def test_decontaminate(spark):
     want = {}
     for i, t in enumerate(items):
         flat = decontaminate.normalise(t or "")
-        if len(flat) < decontaminate.LEAST_CHARS or t == items[-1]:
+        if not flat or t == items[-1]:
             continue
+        k = decontaminate.budget(len(flat))
         for d, x in enumerate(texts):
-            if x != LONG and (e := edit_distance_in(flat, decontaminate.normalise(x or ""))[0]) <= decontaminate.budget(len(flat)):
-                want[d, i] = e
+            seen = decontaminate.normalise(x or "")
+            if x != LONG and (k and (e := edit_distance_in(flat, seen)[0]) <= k or not k and f" {flat} " in f" {seen} "):
+                want[d, i] = e if k else 0
     want[2, len(items) - 1] = 0
-    assert {k: x["distance"] for k, x in got.items()} == want and len(want) == 25
-    x = got[3, 0]
-    assert decontaminate.normalise(texts[3][x["start"] : x["end"]]) == items[0]
+    assert {k: x["distance"] for k, x in got.items()} == want and len(want) == 27
+    x = got[7, 0]
+    assert decontaminate.normalise(texts[7][x["start"] : x["end"]]) == items[0]
     kept = decontaminate.drop_contaminated(docs_of(spark, texts), bench)
     assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
     blocks = {(x["doc_id"], x["item_id"]): x["distance"] for x in decontaminate.contaminated(docs_of(spark, texts), bench, block_chars=600).collect()}
     assert blocks == want
+    kept = decontaminate.drop_contaminated(docs_of(spark, texts), bench, block_chars=600)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(len(texts))) - {d for d, _ in want}
     assert decontaminate.contaminated(docs_of(spark, texts), bench.limit(0)).count() == 0
     assert decontaminate.contaminated(docs_of(spark, texts).limit(0), bench).count() == 0
 
 
+def test_items_of_one_template():
+    """Many items that share most of their pieces, in a text that repeats these: in proportion, and what plain Myers over the whole text finds."""
+    r = random.Random(15)
+    head = words(r, 26)[:120]
+    items = [(i, decontaminate.normalise(head + " " + words(r, 9)[:40])) for i in range(200)]
+    text = " ".join(items[i][1] + " " + words(r, 30)[:140] for i in range(60))
+    began = time.time()
+    got = decontaminate.Matcher(items).matches([text])[0]
+    assert time.time() - began < 5  # under one second on an idle machine
+    want = [(i, e[0]) for i, p in items if (e := decontaminate.myers(p, text, decontaminate.budget(len(p))))]
+    assert [x[:2] for x in got] == want and len(want) >= 60
+
+
+def test_matcher_against_every_place():
+    """Repeated pieces, items of a few characters and several texts at a time."""
+    r = random.Random(16)
+    for _ in range(40):
+        items = [(i, decontaminate.normalise("".join(r.choice("ab  ") for _ in range(r.randint(1, 120))))) for i in range(12)]
+        texts = ["".join(r.choice("ab  ") for _ in range(r.randint(0, 300))) for _ in range(6)] + [None, " ".join(t for _, t in items)]
+        for text, got in zip(texts, decontaminate.Matcher(items, 6).matches(texts), strict=True):
+            flat, want = decontaminate.normalise(text or ""), []
+            for i, p in items:
+                k = decontaminate.budget(len(p), 6)
+                if k and (e := edit_distance_in(p, flat))[0] <= k:
+                    want.append((i, e[0]))
+                elif p and not k and f" {p} " in f" {flat} ":
+                    want.append((i, 0))
+            assert [x[:2] for x in got] == want
+
+
+def test_fifty_blocks(spark):
+    r = random.Random(17)
+    items = [(i, words(r, 25)) for i in range(60)]
+    docs = docs_of(spark, [words(r, 20), *(t for _, t in items)]).coalesce(1)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    size = sum(len(t) for _, t in items) // 50
+    assert decontaminate.item_blocks(bench, block_chars=size)[0] >= 50
+    got = decontaminate.contaminated(docs, bench, block_chars=size)
+    assert sorted((x["doc_id"], x["item_id"]) for x in got.collect()) == [(i + 1, i) for i in range(60)]
+
+
 # 5 -------------------------------------------------------------------------------------------------
 PII_TEXTS = [
     None, "", "a@b", "x.y+z@mail-1.example.com.", "é a@b.c@d.e@@f.g", "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.255", "4111 1111 1111 1111 4111111111111111", "12345678901234567890 4-1-1-1", "+1 (555) 010-2030 +12 +1 2", "+1234567890123456",
