@@ -13,14 +13,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    ``spark.checkpoint.dir`` of the session; where that is unset (tests, a
-    notebook) a fresh local folder is set as the checkpoint folder.
+    Where that is unset a local master (tests, a notebook) gets a fresh local folder; on a cluster, where each
+    machine would write to a disk of its own, it is an error.
     """
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not told:
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         told = f"file://{tempfile.mkdtemp(prefix='tidegrid-')}"
         sc.setCheckpointDir(told)
     return told
@@ -42,6 +44,24 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """The settled tables of one run, below one folder that clear() removes."""
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, scratch_path(spark, name)
+
+    def settle(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.path}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        """Remove the tables; nothing that reads them may be run any more."""
+        jvm, jsc = self.spark._jvm, self.spark._jsc
+        path = jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null counting as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import Scratch, settle
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -21,23 +21,29 @@ def _small_star(e: DataFrame) -> DataFrame:
     return tied.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _settled(e: DataFrame) -> bool:
+    """Whether the edges are stars around each component's least node: no node has two smaller ones or is between two others."""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): component is the least node reachable over the undirected edges (a, b).
 
     Nodes without an edge do not appear.  Null ends and loops are ignored; no
     edges give an empty table.  Each round is written to the shared folder, so
-    the plan does not grow with the rounds.  The driver sees two numbers a
-    round: how many edges there are and the sum of their hashes.
+    the plan does not grow with the rounds; the result is written too, and the rounds
+    are removed.  The driver sees one bit a round.
     """
+    scratch = Scratch(edges.sparkSession, "components")
     e = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = settle(e, "edges")
-    seen = None
+    e = scratch.settle(e, "edges")
     for _ in range(max_rounds):
-        e = settle(_small_star(_large_star(e)), "star")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == seen:
+        if _settled(e):
             break
-        seen = now
+        e = scratch.settle(_small_star(_large_star(e)), "star")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = settle(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    scratch.clear()
+    return out
