@@ -92,11 +92,12 @@ def read_back(formatted: Column, template: Template = CHAT) -> Column:
 
 
 def loss_text(formatted: Column, segments: Column, template: Template = CHAT) -> Column:
-    """The text under the loss mask, unescaped, cut out of formatted by the segments' lengths."""
-    at = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("cut"))
+    """The text under the loss mask, unescaped, cut out of formatted by the segments' lengths.
 
-    def step(s: Column, x: Column) -> Column:
-        n = F.length(x["text"])
-        return F.struct((s["at"] + n).alias("at"), F.when(x["loss"], F.concat(s["cut"], F.array(F.substr(formatted, s["at"], n)))).otherwise(s["cut"]).alias("cut"))
-
-    return F.aggregate(segments, at, step, lambda s: F.array_join(F.transform(s["cut"], template.unescape), ""))
+    formatted is split at the turns' ends, which no text contains, so that a cut counts characters within its own turn only.
+    """
+    turns = F.split(formatted, rf"\Q{template.end}\E", -1)
+    heads, texts = F.filter(segments, lambda _, i: i % 3 == 0), F.filter(segments, lambda _, i: i % 3 == 1)
+    each = F.filter(F.arrays_zip(turns.alias("turn"), heads.alias("head"), texts.alias("text")), lambda x: x["text"]["loss"])
+    cut = lambda x: F.substr(x["turn"], F.length(x["head"]["text"]) + F.lit(1), F.length(x["text"]["text"]))
+    return F.array_join(F.transform(each, lambda x: template.unescape(cut(x))), "")
