@@ -1,11 +1,12 @@
 """Exact duplicates by Patricia tries whose terminal nodes hold the owner of a text.
 
 Texts go to partitions by length and content hash, and in each partition full byte
-strings are inserted into a compressed radix trie.  Before the shuffle every task
+strings are inserted into one compressed radix trie.  Before the shuffle every task
 inserts what it reads into a trie of its own, so that a text with a million copies
 crosses the network once a task; when that trie outgrows its bound, its largest subtree is
-spilled, which here means handed on to the shuffle as partial owners.  After the shuffle rows
-come in byte order, so that a subtree is complete, and freed, once its prefix is passed.
+spilled, which here means handed on to the shuffle as partial owners.  After the shuffle a
+partition's texts come in byte order: once a text leaves a prefix, the subtree below that prefix is complete and
+is handed on and freed, so that a trie of any number of texts is as small as its open branch.
 """
 
 from __future__ import annotations
@@ -22,38 +23,65 @@ from .common import settle, text_of
 TRIE_BYTES = 48 << 20
 
 
+#: What a node costs besides its edge.
+NODE = 200
+
+
 class Node:
-    __slots__ = ("edge", "kids", "owner", "count")
+    """edge: the bytes that lead here; size: bytes of all edges from this node down, its own too, and NODE for each node."""
+
+    __slots__ = ("edge", "kids", "owner", "count", "size")
 
     def __init__(self, edge: bytes) -> None:
-        self.edge, self.kids, self.owner, self.count = edge, {}, None, 0
+        self.edge, self.kids, self.owner, self.count, self.size = edge, {}, None, 0, len(edge) + NODE
 
 
 class RadixTrie:
     """Byte strings with an owner (an id, None if all are null) and a count; keep is max or min."""
 
     def __init__(self, keep=max) -> None:
-        self.root, self.keep, self.size = Node(b""), keep, 0
+        self.root, self.keep = Node(b""), keep
 
-    def insert(self, key: bytes, owner: int | None, count: int = 1) -> None:
-        node, at = self.root, 0
+    @property
+    def size(self) -> int:
+        return self.root.size - NODE
+
+    def insert(self, key: bytes, owner: int | None, count: int = 1, done: list | None = None) -> None:
+        """Add a key.  done, for keys in byte order: gets (key, owner, count) of the subtrees that no later key can reach, which are freed."""
+        node, at, above = self.root, 0, [self.root]
         while at < len(key):
             kid = node.kids.get(key[at])
             if kid is None:
+                if done is not None:
+                    self._free(node, key[:at], above, done)
                 kid = node.kids[key[at]] = Node(key[at:])
-                self.size += len(kid.edge) + 200
+                for n in above:
+                    n.size += kid.size
             elif not key.startswith(kid.edge, at):
                 n = len(commonprefix([kid.edge, key[at : at + len(kid.edge)]]))
                 upper = node.kids[key[at]] = Node(kid.edge[:n])
                 kid.edge = kid.edge[n:]
+                kid.size -= n
                 upper.kids[kid.edge[0]] = kid
+                upper.size += kid.size
+                for a in above:
+                    a.size += NODE
                 kid = upper
-                self.size += 200
             node, at = kid, at + len(kid.edge)
+            above.append(node)
         node.owner = owner if node.owner is None else node.owner if owner is None else self.keep(node.owner, owner)
         node.count += count
 
-    def _walk(self, node: Node, key: bytes) -> Iterator[tuple[bytes, int | None, int]]:
+    def _free(self, node: Node, key: bytes, above: list[Node], done: list) -> None:
+        gone = sum(kid.size for kid in node.kids.values())
+        for kid in node.kids.values():
+            done.extend(self._walk(kid, key + kid.edge))
+        node.kids = {}
+        for n in above:
+            n.size -= gone
+
+    @staticmethod
+    def _walk(node: Node, key: bytes) -> Iterator[tuple[bytes, int | None, int]]:
         left = [(node, key)]
         while left:
             node, key = left.pop()
@@ -63,28 +91,15 @@ class RadixTrie:
 
     def drain(self) -> Iterator[tuple[bytes, int | None, int]]:
         """All (key, owner, count); the trie is empty afterwards."""
-        root, self.root, self.size = self.root, Node(b""), 0
+        root, self.root = self.root, Node(b"")
         yield from self._walk(root, b"")
 
     def spill(self) -> Iterator[tuple[bytes, int | None, int]]:
         """The largest subtree below the root, taken out."""
-        weigh = lambda kid: sum(len(k) for k, _, _ in self._walk(kid, b""))
-        first = max(self.root.kids, key=lambda b: weigh(self.root.kids[b]))
-        kid = self.root.kids.pop(first)
-        freed = 0
-        for n in self._nodes(kid):
-            freed += len(n.edge) + 200
-        self.size -= freed
+        kid = self.root.kids.pop(max(self.root.kids, key=lambda b: self.root.kids[b].size))
+        self.root.size -= kid.size
         yield from self._walk(kid, kid.edge)
 
-    @staticmethod
-    def _nodes(node: Node) -> Iterator[Node]:
-        left = [node]
-        while left:
-            node = left.pop()
-            yield node
-            left += node.kids.values()
-
 
 def _pack(rows: Iterator[tuple], names: list[str], types: list[pa.DataType], most: int = 256) -> Iterator[pa.RecordBatch]:
     part, size = [], 0
@@ -116,26 +131,22 @@ def owners(texts: DataFrame, keep: str = "min", trie_bytes: int = TRIE_BYTES) ->
 
     def late(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            trie, now = RadixTrie(best), None
+            trie, done = RadixTrie(best), []
             for batch in batches:
-                for size, part, text, owner, n in zip(*(batch.column(k) for k in range(5)), strict=True):
-                    at = (size.as_py(), part.as_py())
-                    if at != now or trie.size > trie_bytes:
-                        yield from trie.drain()
-                        now = at
-                    trie.insert(text.as_py(), owner.as_py(), n.as_py())
+                for text, owner, n in zip(*(batch.column(k) for k in range(3)), strict=True):
+                    trie.insert(text.as_py(), owner.as_py(), n.as_py(), done)
+                    if done:
+                        yield from done
+                        done.clear()
             yield from trie.drain()
 
         yield from _pack(rows(), ["text", "owner", "group_size"], [pa.binary(), pa.int64(), pa.int64()])
 
     first = texts.select("id", F.col("text").cast("binary").alias("text")).mapInArrow(early, "text binary, owner long, n long")
-    keyed = first.select(F.octet_length("text").alias("n_bytes"), F.xxhash64("text").alias("part"), "text", "owner", "n")
-    dealt = keyed.repartition("n_bytes", "part").sortWithinPartitions("n_bytes", "part", "text")
+    # the hash chooses the partition only; in it texts go by their bytes, so that equal ones meet in one trie whatever their hash
+    dealt = first.repartition(F.octet_length("text"), F.xxhash64("text")).sortWithinPartitions("text")
     whole = dealt.mapInArrow(late, "text binary, owner long, group_size long")
-    named = whole.select(F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "owner", "group_size")
-    # a trie that was emptied within a run of equal texts gives a text's owner in parts
-    best_of = F.min if keep == "min" else F.max
-    return named.groupBy("n_bytes", "text_sha256").agg(best_of("owner").alias("owner"), F.sum("group_size").alias("group_size"))
+    return whole.select(F.octet_length("text").alias("n_bytes"), F.sha2("text", 256).alias("text_sha256"), "owner", "group_size")
 
 
 def exact_duplicates(docs: DataFrame, keep: str = "min", normalise=None, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
