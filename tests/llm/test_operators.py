@@ -85,9 +85,8 @@ def test_minhash(spark, k):
     assert {r["doc_id"]: tuple(r)[1:] for r in found} == brute.near(list(enumerate(texts)), k)
 
 
-def test_minhash_large_bucket(spark, monkeypatch):
-    """A bucket of more than SMALL members, most of them no links of each other."""
-    monkeypatch.setattr(minhash, "SMALL", 4)
+def test_minhash_family(spark):
+    """A family around one text, most of its members no links of each other."""
     r = random.Random(3)
     base = words(r, 100).split()
     texts = []
@@ -100,11 +99,59 @@ def test_minhash_large_bucket(spark, monkeypatch):
     assert {r["doc_id"]: tuple(r)[1:] for r in found} == brute.near(list(enumerate(texts)), 4)
 
 
+def two_clusters(n, seed=4):
+    """Members of either cluster are links, across them the similarity is about 0.7."""
+    r = random.Random(seed)
+    base, tails = words(r, 160).split(), [words(r, 32).split(), words(r, 32).split()]
+    texts = []
+    for i in range(n):
+        c = base + tails[i % 2]
+        c[r.randrange(160)] = f"z{i}"
+        texts.append(" ".join(c))
+    return texts
+
+
+def test_minhash_two_clusters(spark, monkeypatch):
+    """Where a bucket has two clusters, their members don't meet in what both have: candidates stay few."""
+    texts, seen = two_clusters(240), []
+    across = minhash._across
+    monkeypatch.setattr(minhash, "_across", lambda *a: seen.append(across(*a)) or seen[-1])
+    monkeypatch.setattr(minhash.Scratch, "clear", lambda self: None)
+    found = minhash.near_duplicates(docs_of(spark, texts), words=4).collect()
+    assert {r["doc_id"]: tuple(r)[1:] for r in found} == brute.near(list(enumerate(texts)), 4)
+    assert seen[0].count() < 240
+
+
+@pytest.mark.parametrize("percent", [60, 80])
+def test_prefixes_lose_no_pair(spark, percent):
+    """All pairs of different labels that are similar enough are among the candidates, whatever their sizes."""
+    r = random.Random(percent)
+    sets = []
+    for _ in range(12):
+        core = r.sample(range(10**6), r.randint(1, 60))
+        sets += [sorted({*(x for x in core if r.random() < 0.93), *(r.randrange(10**6) for _ in range(r.randint(0, 4)))} or {1}) for _ in range(12)]
+    labels = [r.randrange(40) for _ in sets]
+    members = spark.createDataFrame([(i, len(s), labels[i]) for i, s in enumerate(sets)], "rep long, n long, label long")
+    found = minhash._across(members, spark.createDataFrame(list(enumerate(sets)), "node long, hashes array<long>"), percent, minhash.Scratch(spark, "test"))
+    got = {(x["a"], x["b"]) for x in found.collect()}
+    want = set()
+    for i, s in enumerate(sets):
+        for j in range(i):
+            both = len(set(s) & set(sets[j]))
+            if labels[i] != labels[j] and 100 * both >= percent * (len(s) + len(sets[j]) - both):
+                want.add((j, i))
+    assert want and want <= got and len(got) < len(sets) ** 2 / 4
+
+
 def test_minhash_odd_ids(spark):
     docs = docs_of(spark, ["a b c d e f", "a b c d e f", "q r s", "q r s"], ids=[7, 7, None, 3])
     rows = sorted((tuple(r) for r in minhash.near_duplicates(docs).collect()), key=str)
     assert rows == sorted([(7, 2, 7, True), (7, 2, 7, True), (None, 1, None, True), (3, 1, 3, True)], key=str)
     assert minhash.near_duplicates(docs.limit(0)).count() == 0
+    # 9 has a text of 2's and one of 12's, so all three are one component; so are both rows of 5, one of them empty
+    docs = docs_of(spark, ["a b c d e f", "a b c d e f", "x y z", "x y z", "", "u v w"], ids=[2, 9, 9, 12, 5, 5])
+    rows = sorted(tuple(r) for r in minhash.near_duplicates(docs).collect())
+    assert rows == [(2, 2, 2, True), (5, 0, 5, True), (5, 1, 5, True), (9, 1, 2, False), (9, 2, 2, False), (12, 1, 2, False)]
 
 
 def test_components(spark):
@@ -142,6 +189,16 @@ def test_chat(spark):
         chat.Template(reserved=("!stop",))
 
 
+def test_chat_of_many_turns(spark):
+    """Time grows with the turns, not with their square: 16,000 turns took 115 s before."""
+    rows = [(1, t, ("user", "assistant")[t % 2], f"turn {t} <|end|> é") for t in range(16_000)]
+    made = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4))
+    began = time.time()
+    got = made.select(chat.loss_text(F.col("formatted"), F.col("segments")).alias("loss"), chat.read_back(F.col("formatted")).alias("turns")).first()
+    assert time.time() - began < 20
+    assert got["loss"] == "".join(x for _, _, r, x in rows if r == "assistant") and [tuple(t) for t in got["turns"]] == [r[2:] for r in rows]
+
+
 # 4 -------------------------------------------------------------------------------------------------
 def edit_distance_in(pattern, text):
     row = list(range(len(pattern) + 1))
@@ -423,8 +480,8 @@ def test_line_dedup(spark):
     for i in range(40):
         texts.append(f"head\nbody {i}\n\nfoot" if i % 4 else f"body {i}\nbody {i}")
         sources.append("a" if i < 30 else "b")
-    texts += ["head", None, "", "head\nonly here", "rare\nhead"]
-    sources += ["a", "a", "a", None, "c"]
+    texts += ["head", None, "", "head\nonly here", "rare\nhead", "one\ntop", "two\ntop", "three"]
+    sources += ["a", "a", "a", None, "c", "d", "d", "d"]
     docs = docs_of(spark, texts, sources)
     got = {r["doc_id"]: r for r in lines.drop_boilerplate(docs, ratio=0.3).collect()}
     gone = {}
@@ -432,9 +489,9 @@ def test_line_dedup(spark):
         mine = [t for t, x in zip(texts, sources, strict=True) if x == s]
         for line in {x for t in mine if t is not None for x in t.split("\n") if x.strip(" ")}:
             n = sum(t is not None and line in t.split("\n") for t in mine)
-            if n >= 5 and n > 0.3 * len(mine):
+            if n >= 2 and n > 0.3 * len(mine):
                 gone.setdefault(s, set()).add(line)
-    assert gone == {"a": {"head", "foot"}, "b": {"head", "foot"}}
+    assert gone == {"a": {"head", "foot"}, "b": {"head", "foot"}, "d": {"top"}}
     for i, t in enumerate(texts):
         want = None if t is None else "\n".join(x for x in t.split("\n") if x not in gone.get(sources[i], ()))
         assert got[i]["text"] == want
@@ -475,3 +532,18 @@ def test_trie():
     assert {k: (o, n) for k, o, n in [*spilt, *trie.drain()]} == want and trie.size == 0
 
 
+def test_trie_in_byte_order():
+    """Sorted keys leave the trie as soon as their prefix is passed, each once, and the open branch is all that stays."""
+    r = random.Random(12)
+    keys = sorted(bytes(r.choice(b"abc\xff") for _ in range(r.randint(0, 9))) for _ in range(4000))
+    trie, done, most = exact.RadixTrie(max), [], 0
+    for i, k in enumerate(keys):
+        trie.insert(k, i, 1, done)
+        most = max(most, trie.size)
+        inside = lambda node: len(node.edge) + exact.NODE + sum(map(inside, node.kids.values()))
+        assert trie.root.size == inside(trie.root)
+    got = [*done, *trie.drain()]
+    assert sorted(k for k, _, _ in got) == sorted(set(keys)) and sum(n for _, _, n in got) == len(keys)
+    assert {k: o for k, o, _ in got} == {k: i for i, k in enumerate(keys)} and most < 12 * 2 * exact.NODE
+
+

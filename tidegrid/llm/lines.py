@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-RATIO, LEAST_PAGES = 0.1, 5
+#: Ratio above which a line goes. A line that one page alone holds is repeated nowhere, whatever share of a small host that page is.
+RATIO, LEAST_PAGES = 0.1, 2
 
 
 def _digest(line: Column) -> Column:
@@ -24,7 +25,8 @@ def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST
     """(host, lines): digests of the lines that go, for each host that has any.
 
     pages has (host, text).  A line is boilerplate if more than ratio of the host's
-    pages, and at least least_pages, contain it.  Blank lines never are.  At most
+    pages, and at least least_pages, contain it; the method is the ratio alone, and the default only asks for a
+    second page.  Blank lines never are.  At most
     (lines per page) / ratio lines of a host can pass, so the list stays short however large the host is.
     """
     totals = pages.groupBy("host").agg(F.count("*").alias("pages"))

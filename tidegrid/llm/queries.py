@@ -89,7 +89,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = """
 WITH pages AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 lines AS (SELECT DISTINCT d.rowid AS r, source, line FROM (SELECT row_number() OVER () AS rowid, source, text FROM documents) d, unnest(string_split(text, chr(10))) AS u(line) WHERE trim(line) <> ''),
-often AS (SELECT l.source, line FROM lines l JOIN pages p ON l.source IS NOT DISTINCT FROM p.source GROUP BY l.source, line, pages HAVING count(*) >= 5 AND count(*) > 0.1 * pages),
+often AS (SELECT l.source, line FROM lines l JOIN pages p ON l.source IS NOT DISTINCT FROM p.source GROUP BY l.source, line, pages HAVING count(*) >= 2 AND count(*) > 0.1 * pages),
 lists AS (SELECT source, list(line) AS gone FROM often GROUP BY source),
 kept AS (SELECT doc_id, text, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(gone, x)), chr(10)) END AS rest
  FROM documents d LEFT JOIN lists g ON d.source IS NOT DISTINCT FROM g.source)

@@ -49,8 +49,6 @@ def width(vocabulary: str) -> int:
 def encode(text: str, vocabulary: str = VOCABULARY) -> list[int]:
     """Token ids of a text; the pattern's pieces of very long runs of white space are cut here instead of by the pattern."""
     coder = encoder(vocabulary)[0]
-    if len(text) < 10_000:
-        return coder.encode_ordinary(text)
     out: list[int] = []
     at = 0
     for m in LONG_SPACE.finditer(text):
