@@ -126,6 +126,15 @@ def test_yaml(spark):
     assert [tuple(r)[2:] for r in settings.direct_declarations(direct, "host").collect()] == [("a:1", "", "DEFAULT_GROUP", "d")]
 
 
+def test_yaml_depths(spark):
+    """Depths that come back, keys beside a value, comments, quotes, a separator with nothing before it; rows that repeat stay apart."""
+    text = "---\na:\n    b: 1\n  c:\n      d: ' x '\n  e: y # z\nf: g\n  h: no parent\n\n# i: j\nk:\n- l: m\nk:\n  n:\n--- # next\n\n...\na: \nb: \"q\"\n  a.b-c: '\n"
+    df = spark.createDataFrame([("x", text), ("x", text), ("y", None), ("y", "")], "host string, text string")
+    got = sorted((r["document"], r["line"], r["path"], r["value"]) for r in settings.scalars(df, "text", "host").collect())
+    want = [(0, 1, "a", None), (0, 2, "a.b", "1"), (0, 3, "a.c", None), (0, 4, "a.c.d", " x "), (0, 5, "a.e", "y"), (0, 6, "f", "g"), (0, 7, "h", "no parent"), (0, 10, "k", None), (0, 12, "k", None), (0, 13, "k.n", None), (1, 17, "a", ""), (1, 18, "b", "q"), (1, 19, "a.b-c", "'")]
+    assert got == sorted(want * 2)
+
+
 def test_properties(spark):
     text = "nacos.config.server-addr=a:1\nnacos.config.ext-config[0].data-id=one\nnacos.config.ext-config[1].data-id=${two}\nnacos.config.ext-config[1].group=G\n# no=1\nx=a\\\n"
     p = settings.properties(one(spark, text), "text", "host")

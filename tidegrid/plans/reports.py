@@ -14,9 +14,9 @@ from tidegrid.sources import parsers
 
 c = F.col
 SOURCES = ("inventory", "cloud", "assets", "eip", "nat", "dns", "backend")
-#: Folder names that say nothing about an application.
-COMMON_FOLDERS = "www app apps var opt lib libs bin sbin etc tmp srv home usr local conf config static webapps share data log logs".split()
-GENERIC_NAMES = "java node python python3 redis-server mysqld postgres".split()
+# Folder names, and process names, that say nothing about an application.
+COMMON_FOLDERS = ("www", "app", "apps", "var", "opt", "lib", "libs", "bin", "sbin", "etc", "tmp", "srv", "home", "usr", "local", "conf", "config", "static", "webapps", "share", "data", "log", "logs")
+GENERIC_NAMES = ("java", "node", "python", "python3", "redis-server", "mysqld", "postgres")
 
 
 # presence and periods ----------------------------------------------------------------------------

@@ -1,17 +1,17 @@
 """Settings that applications declare: YAML and properties texts, build files, and the configuration centre they point to.
 
-Two short generators walk what nests, indented scalars and XML; everything that is decided about them
+A short generator walks XML; indentation is read by windows over lines, and everything that is decided
 (which profile, which identity, which file belongs to which module) is joins, aggregations and columns.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.functions import udtf
 
 from tidegrid.functions import strings
@@ -19,38 +19,15 @@ from tidegrid.operators.graph import settle
 from tidegrid.sources.parsers import lines
 
 c = F.col
+# Where the keys of the configuration centre begin, and below the names that these keys have.
 CENTRE = "spring.cloud.nacos.config."
 #: Values that aren't literals: placeholders, and what begins a YAML structure, alias or block.
 NOT_LITERAL = r"\$\{|^[\[{&*!|>]"
-CONFIG_FILE = r"(?i)\.(ya?ml|properties|xml|json|conf|toml|ini)$"
+# Endings of settings files.
+CONFIG_ENDINGS = ("properties", "yaml", "yml", "xml", "conf", "ini", "json", "toml")
 IDENTITY = ("address", "namespace", "group", "data_id")
 
 
-@udtf(returnType="document int, line int, indent int, path string, value string")
-class YamlScalars:
-    """Scalars of simple YAML by their dotted path; a key without a value opens a level."""
-
-    def eval(self, text: str) -> Iterator[tuple]:
-        document, filled, stack = 0, False, []
-        for number, line in enumerate((text or "").splitlines()):
-            if re.fullmatch(r"(---|\.\.\.)(\s+#.*)?\s*", line):
-                document, filled, stack = document + filled, False, []
-                continue
-            filled = True
-            m = re.match(r"( *)([\w.-]+):(?:\s+(.*?))?\s*$", line)
-            if not m:
-                continue
-            indent, key, value = len(m[1]), m[2], m[3]
-            stack = [x for x in stack if x[0] < indent]
-            path = ".".join([k for _, k in stack] + [key])
-            if value is None:
-                stack.append((indent, key))
-            else:
-                value = re.sub(r"\s+#.*$", "", value).strip()
-                value = value[1:-1] if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'" else value
-            yield document, number, indent, path, value
-
-
 @udtf(returnType="node int, parent int, xpath string, text string, attributes map<string,string>")
 class XmlNodes:
     """Elements of an XML text with their path of local names, in order; none of a text that isn't well-formed."""
@@ -70,8 +47,29 @@ class XmlNodes:
 
 
 def scalars(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
-    """(keep..., document, line, indent, path, value) of YAML texts; keep has none of these names."""
-    return df.select(*keep, text_col).lateralJoin(YamlScalars(c(text_col).outer())).select(*keep, "document", "line", "indent", "path", "value")
+    """(keep..., document, line, indent, path, value) of the keys of YAML texts; keep has none of these names.
+
+    A key with nothing after its colon has no value and opens a level for deeper lines.  A line's path: for each depth that is less than its own, the
+    last line above it of that depth or less, if it has just that depth and opens a level.  Sequences, flow collections and blocks are not read.
+    """
+    texts = df.select(*keep, F.monotonically_increasing_id().alias("_text"), text_col)
+    rows = lines(texts, text_col, *keep, "_text").withColumnRenamed("line", "_line").withColumnRenamed("line_no", "line")
+    cut = c("_line").rlike(r"^(---|\.\.\.)(\s+#.*|\s*)$")
+    rows = rows.withColumn("_part", F.sum(cut.cast("int")).over(W.partitionBy("_text").orderBy("line"))).where(~cut)
+    rows = rows.withColumn("document", F.dense_rank().over(W.partitionBy("_text").orderBy("_part")) - 1)
+    form = r"^( *)([\w.-]+):(\s.*)?$"
+    tail = F.regexp_extract("_line", form, 3)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(tail, r"^\s+|\s+$", ""), r"\s+#.*$", ""))
+    value = F.when(tail != "", F.regexp_replace(bare, r"^([\"'])(.*)\1$", "$2"))
+    keys = rows.where(c("_line").rlike(form)).select(*keep, "_text", "document", "line", F.length(F.regexp_extract("_line", form, 1)).alias("indent"), F.regexp_extract("_line", form, 2).alias("_key"), value.alias("value"))
+    every = keys.withColumn("_depths", F.collect_set("indent").over(W.partitionBy("_text", "document"))).withColumn("_depth", F.explode("_depths"))
+    above = W.partitionBy("_text", "document", "_depth").orderBy("line").rowsBetween(W.unboundedPreceding, -1)
+    near = F.last(F.when(c("indent") <= c("_depth"), F.struct("indent", "_key", c("value").isNull().alias("opens"))), ignorenulls=True).over(above)
+    every = every.withColumn("_near", near)
+    parent = F.when((c("_depth") < c("indent")) & (c("_near.indent") == c("_depth")) & c("_near.opens"), F.struct("_depth", "_near._key"))
+    same = [F.first(k).alias(k) for k in (*keep, "indent", "value", "_key")]
+    made = every.groupBy("_text", "document", "line").agg(*same, F.array_sort(F.collect_list(parent)).alias("_parents"))
+    return made.select(*keep, "document", "line", "indent", F.concat_ws(".", F.col("_parents._key"), "_key").alias("path"), "value")
 
 
 def fields(found: DataFrame, *keep: str) -> DataFrame:
@@ -315,7 +313,7 @@ def resource_rules(nodes: DataFrame, modules: DataFrame) -> DataFrame:
 def configuration_files(files: DataFrame, modules: DataFrame, rules: DataFrame) -> DataFrame:
     """(repository, app, path, relative, environment) of the settings that a unique module packs: below a source folder, included, not excluded, each path once."""
     wanted = rules.where("certain").join(modules.where("status = 'unique'").select("repository", "app", "module"), ["repository", "module"])
-    config = files.where(c("path").rlike(CONFIG_FILE)).select("repository", "path")
+    config = files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*CONFIG_ENDINGS)).select("repository", "path")
     inside = config.join(wanted, "repository").where(c("path").startswith(F.concat("source", F.lit("/")))).withColumn("relative", F.substr("path", F.length("source") + F.lit(2)))
     hit = lambda patterns: F.exists(patterns, lambda p: F.regexp_like("relative", ant_pattern(p)))
     kept = inside.where(hit("includes") & ~hit("excludes"))
