@@ -471,7 +471,28 @@ def test_codewords():
     c = langid.codewords(20)
     far = min((c[i] != c[j]).sum() for i in range(20) for j in range(i))
     assert far >= 10
-    assert len(langid.training_sample.__doc__) > 0
+
+
+def test_training_sample(spark):
+    """The bound holds for rows, never for languages."""
+    langs = ["en"] * 300 + ["de"] * 120 + [f"l{i}" for i in range(70) for _ in range(3)]
+    docs = docs_of(spark, [f"text {i}" for i in range(len(langs))], langs=langs)
+    for options, want in (({}, {"en": 44, "de": 44}), ({"total": 72, "least": 2}, {"en": 2, "de": 2, "l5": 2}), ({"per_language": 1}, {"en": 1, "l69": 1})):
+        found = [r["lang"] for r in langid.training_sample(docs, **options).collect()]
+        assert len(set(found)) == 72 and {k: found.count(k) for k in want} == want
+
+
+def test_many_languages(spark):
+    """More than 64 languages: all are learnt and can be told."""
+    r = random.Random(18)
+    parts = {f"l{i}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)] for i in range(80)}
+    rows = [(k, " ".join("".join(r.choice(v) for _ in range(3)) for _ in range(30))) for k, v in parts.items() for _ in range(8)]
+    docs = docs_of(spark, [t for _, t in rows], langs=[k for k, _ in rows])
+    model = langid.train(docs.where("doc_id % 2 = 0"))
+    assert len(model.languages) == 80
+    got = {x["doc_id"]: x["lang_pred"] for x in langid.identify(docs, model).collect()}
+    held = [i for i in range(len(rows)) if i % 2]
+    assert sum(got[i] == rows[i][0] for i in held) / len(held) > 0.95
 
 
 # 9 -------------------------------------------------------------------------------------------------

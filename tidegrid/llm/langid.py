@@ -19,10 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from .common import settle
+
 UNKNOWN = "und"
 DIMENSIONS = 1 << 13
-#: Bounds of the training sample: so many documents of each of so many languages (the most frequent ones).
-PER_LANGUAGE, LANGUAGES = 400, 64
+#: Bounds of the training sample: at most so many documents of a language and so many in all, shared out evenly over however many languages there are, each
+#: having the least number. What the driver gets of a document are its n-gram counts' square roots, at most 6 bytes for each dimension.
+PER_LANGUAGE, TOTAL, LEAST = 400, 3200, 16
+EPOCHS, BATCH, RATE = 10, 64, 0.3
 AMBIGUOUS = 0.15
 
 _tables: dict[str, np.ndarray] = {}
@@ -83,46 +87,68 @@ class Model:
         return np.logaddexp(0, -margin[:, None, :] * self.codes[None]) @ self.trust
 
 
-def fit(texts: list[str], langs: list[str], dimensions: int = DIMENSIONS, rounds: int = 300) -> Model:
-    """Train on texts with their languages; texts without letters are left out."""
-    rows = [(x, lang) for t, lang in zip(texts, langs, strict=True) if (x := features(t, dimensions)) is not None]
-    names = sorted({lang for _, lang in rows})
+def fit(x: np.ndarray, langs: list[str], epochs: int = EPOCHS, batch: int = BATCH, rate: float = RATE, seed: int = 3) -> Model:
+    """Train on rows of features() with their languages: AdaGrad on the mean logistic loss of all bits, every language weighing the same."""
+    names, dimensions = sorted(set(langs)), x.shape[1]
     codes = codewords(len(names))
+    bits = codes.shape[1]
     if len(names) < 2:
-        return Model(names, codes, np.zeros((dimensions, codes.shape[1]), np.float32), np.ones(codes.shape[1], np.float32), np.ones(codes.shape[1], np.float32))
-    x = np.stack([r for r, _ in rows])
-    y = codes[[names.index(lang) for _, lang in rows]]
-    share = np.array([sum(lang == n for _, lang in rows) for n in names], float)[[names.index(lang) for _, lang in rows]]
-    weight = (1 / share / len(names))[:, None].astype(np.float32)
-    w, b = np.zeros((dimensions, codes.shape[1]), np.float32), np.zeros(codes.shape[1], np.float32)
-    vw, vb, step = w.copy(), b.copy(), 40.0
-    for _ in range(rounds):  # gradient descent with momentum on the mean logistic loss
-        g = -y * weight / (1 + np.exp(y * (x @ w + b)))
-        vw, vb = 0.9 * vw - step * 0.1 * (x.T @ g + 1e-5 * w), 0.9 * vb - step * 0.1 * g.sum(0) * 0.1
-        w, b = w + vw, b + vb
+        return Model(names, codes, np.zeros((dimensions, bits), np.float32), np.ones(bits, np.float32), np.ones(bits, np.float32))
+    of = np.searchsorted(names, langs)
+    y, weight = codes[of], (len(langs) / len(names) / np.bincount(of))[of][:, None].astype(np.float32)
+    w, b = np.zeros((dimensions, bits), np.float32), np.zeros(bits, np.float32)
+    seen_w, seen_b, chance = np.full_like(w, 1e-4), np.full_like(b, 1e-2), np.random.default_rng(seed)
+    for _ in range(epochs):
+        order = chance.permutation(len(x))
+        for at in range(0, len(order), batch):
+            k = order[at : at + batch]
+            g = -y[k] * weight[k] / (1 + np.exp(y[k] * (x[k] @ w + b))) / len(k)
+            for value, step, seen in ((w, x[k].T @ g + np.float32(1e-5) * w, seen_w), (b, g.sum(0), seen_b)):
+                seen += step * step
+                value -= rate * step / np.sqrt(seen)
     right = ((y * (x @ w + b)) > 0).astype(np.float32)
-    trust = np.clip(2 * (weight * right).sum(0) - 1, 0.05, 1)
+    trust = np.clip(2 * (weight * right).mean(0) - 1, 0.05, 1)
     return Model(names, codes, w, b, (trust / trust.sum()).astype(np.float32))
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(text, lang): at most per_language documents, those of the least hash of their id, of each of the most frequent languages."""
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, lang, text): of each language that occurs the documents of the least hash of their id, as many as all languages can have within the bounds.
+
+    A language has min(per_language, max(least, total / number of languages)) documents, or all of its own if these are fewer.
+    """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    often = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    often = settle(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    share = min(per_language, max(least, total // max(1, often.count())))
     chance = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 40))
     order = W.partitionBy("lang").orderBy(chance, "id")
     # three times the share that is wanted, by the same hash, so that no language's rows need meet
-    likely = known.select("id", "lang").join(F.broadcast(often), "lang").where(chance < F.lit(float(1 << 40)) * 3 * per_language / F.col("n"))
-    ids = likely.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("id", "lang").distinct()
-    picked = known.join(F.broadcast(ids), ["id", "lang"])  # at most per_language * languages ids
-    return picked.groupBy("id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
-
-
-def train(docs: DataFrame, **options) -> Model:
-    """A model from labelled documents; the driver gets the bounded training sample only."""
-    rows = training_sample(docs, **options).collect()
-    rows.sort()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    likely = known.select("id", "lang").join(often, "lang").where(chance < F.lit(float(1 << 40)) * 3 * share / F.col("n"))
+    ids = settle(likely.withColumn("k", F.row_number().over(order)).where(F.col("k") <= share).select("id", "lang").distinct(), "sample")
+    picked = known.join(ids, ["id", "lang"])
+    return picked.groupBy("id", "lang").agg(F.min("text").alias("text"))
+
+
+def _features_of(dimensions: int):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for i, lang, text in zip(f["id"], f["lang"], f["text"], strict=True):
+                x = features(text, dimensions)
+                if x is not None:
+                    at = np.flatnonzero(x).astype(np.uint16)
+                    rows.append((str(i), lang, at.tobytes(), x[at].tobytes()))
+            yield pd.DataFrame(rows, columns=["id", "lang", "at", "value"])
+
+    return run
+
+
+def train(docs: DataFrame, dimensions: int = DIMENSIONS, **options) -> Model:
+    """A model from labelled documents; the driver gets the n-grams of the bounded training sample only. Texts without letters are left out."""
+    rows = sorted(map(tuple, training_sample(docs, **options).mapInPandas(_features_of(dimensions), "id string, lang string, at binary, value binary").collect()))
+    x = np.zeros((len(rows), dimensions), np.float32)
+    for i, (_, _, at, value) in enumerate(rows):
+        x[i, np.frombuffer(at, np.uint16)] = np.frombuffer(value, np.float32)
+    return fit(x, [r[1] for r in rows])
 
 
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
