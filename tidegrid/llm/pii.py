@@ -12,7 +12,7 @@ from __future__ import annotations
 import random
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -28,6 +28,7 @@ IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT, NOT_DIGIT = re.compile(r"[0-9]"), re.compile(r"[^0-9]")
+RUNS, MARKS = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S), "@.+-()/:_%,;#"
 LABELS = ("O", *(f"{b}-{k}" for k in KINDS for b in "BI"))
 CUES = frozenset("at dot phone tel call mobile cell fax mail email e-mail contact write reach ip host address server card visa number account pay".split())
 
@@ -66,23 +67,30 @@ def base_spans(text: str) -> list[tuple[int, int, str, int]]:
     return sorted(out)
 
 
+#: Units at either end of a shape that are kept one by one; of what lies between them, only which characters there are.
+ENDS = 12
+
+
 def signature(word: str) -> str:
     """A word's shape: A, a and 9 for runs of letters and digits (digit runs with their length), other characters as they are; a cue word is itself."""
     low = word.strip(".,;:!?\"'").lower()
     if low in CUES:
         return "w:" + low
     shape: list[str] = []
-    for m in re.finditer(r"[0-9]+|[^\W\d_]+|.", word[:64], re.S):
+    for m in RUNS.finditer(word):
         run = m.group()
         if run[0].isdigit() and run.isascii():
             shape.append(f"9{min(len(run), 20)}")
         elif run[0].isalpha():
             shape.append(("A" if run[0].isupper() else "") + ("a" if len(run) > 1 or not run[0].isupper() else ""))
-        elif run in "@.+-()/:_%,;#":
+        elif run in MARKS:
             shape.append(run)
         elif not shape or shape[-1] != "*":
             shape.append("*")
-    return "".join(shape[:24])
+    if len(shape) > 2 * ENDS:
+        between = sorted({u[0] for u in shape[ENDS:-ENDS]})
+        shape = [*shape[:ENDS], "~", *between, "~", *shape[-ENDS:]]
+    return "".join(shape)
 
 
 def shape_features(sig: str) -> list[str]:
@@ -159,25 +167,11 @@ class CRF:
     after: dict[str, np.ndarray]
     moves: np.ndarray
     start: np.ndarray
-    _ids: dict[str, int] = field(default_factory=dict)
-    _rows: list[np.ndarray] = field(default_factory=list)
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_ids": {}, "_rows": []}
 
-    def _sum(self, table: dict[str, np.ndarray], sig: str) -> np.ndarray:
-        return sum((table[f] for f in shape_features(sig) if f in table), np.zeros(len(LABELS), np.float32))
-
-    def row(self, sig: str) -> int:
-        """The place of a signature's scores (own, for the word after it, for the word before it) in rows."""
-        k = self._ids.get(sig)
-        if k is None:
-            k = self._ids[sig] = len(self._rows)
-            self._rows.append(np.stack([self._sum(t, sig) for t in (self.own, self.before, self.after)]))
-        return k
-
-    def rows(self) -> np.ndarray:
-        return np.stack(self._rows).astype(np.float32)
+    def scores(self, sig: str) -> np.ndarray:
+        """A signature's scores: its own, those for the word after it, those for the word before it."""
+        seen = shape_features(sig)
+        return np.stack([sum((table[f] for f in seen if f in table), np.zeros(len(LABELS), np.float32)) for table in (self.own, self.before, self.after)])
 
     def most_gain(self) -> float:
         """The most that label pairs can give to a stretch of labels other than O, for each of its words."""
@@ -281,28 +275,42 @@ def plausible(kind: str, found: str) -> bool:
     return 10 <= digits <= 15 and bool(re.search(r"[-.() +]", found.strip("+")))
 
 
-class _Words(dict):
-    """word -> place of its signature's scores; emptied when it has grown large."""
+class Words(dict):
+    """word -> place of its signature's scores in table, which grows as signatures come."""
 
-    def __init__(self, model: CRF) -> None:
+    def __init__(self, model: CRF, most_words: int = 300_000, most_signatures: int = 50_000) -> None:
         super().__init__()
-        self.model = model
+        self.model, self.most, self.places = model, (most_words, most_signatures), {}
+        self.table = np.empty((1024, 3, len(LABELS)), np.float32)
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        k = self[word] = self.model.row(signature(word))
+        sig = signature(word)
+        k = self.places.get(sig)
+        if k is None:
+            k = self.places[sig] = len(self.places)
+            if k == len(self.table):
+                self.table = np.concatenate([self.table, np.empty_like(self.table)])
+            self.table[k] = self.model.scores(sig)
+        self[word] = k
         return k
 
+    def trim(self) -> None:
+        """Forget everything if it has grown large; places given before are void then."""
+        if len(self) > self.most[0] or len(self.places) > self.most[1]:
+            self.clear()
+            self.places = {}
+            self.table = self.table[:1024].copy()
+
 
-def added_spans(texts: list[str], model: CRF, words: _Words | None = None, lines_at_once: int = 512) -> list[list[tuple[int, int, str, int]]]:
+def added_spans(texts: list[str], model: CRF, words: Words | None = None, lines_at_once: int = 512) -> list[list[tuple[int, int, str, int]]]:
     """(start, rank, kind, end) for each text of what the CRF finds; ranks go on after the patterns'."""
-    words = _Words(model) if words is None else words
+    words = Words(model) if words is None else words
+    words.trim()
     seqs = [(i, j, list(map(words.__getitem__, line.split()))) for i, text in enumerate(texts) for j, line in enumerate(text.split("\n"))]
     seqs = [s for s in seqs if s[2]]
     if not seqs:
         return [[] for _ in texts]
-    table = model.rows()
+    table = words.table[: len(words.places)]
     lead = (table[:, :, :1] - table[:, :, 1:]).min(2)
     flat = np.fromiter((x for s in seqs for x in s[2]), np.int64)
     first = np.cumsum([0, *(len(s[2]) for s in seqs)])[:-1]
@@ -351,7 +359,7 @@ def added_spans(texts: list[str], model: CRF, words: _Words | None = None, lines
     return out
 
 
-def all_spans(texts: list[str], model: CRF, words: _Words | None = None) -> list[tuple[list, list]]:
+def all_spans(texts: list[str], model: CRF, words: Words | None = None) -> list[tuple[list, list]]:
     """(base spans, base and added spans) of each text; an added span that overlaps a base one is left out."""
     done = []
     for text, more in zip(texts, added_spans(texts, model, words), strict=True):
@@ -371,7 +379,7 @@ def find(docs: DataFrame, model: CRF | None = None, id_col: str = "doc_id", text
     model = model or default_model()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = _Words(model)
+        words = Words(model)
         for f in frames:
             at = 0
             while at < len(f):
