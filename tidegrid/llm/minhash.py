@@ -33,7 +33,7 @@ from .components import components
 
 BANDS, ROWS = 48, 6
 #: Sizes of sets within this ratio are one class when prefixes are matched.
-SIZE_RATIO = 1.03
+SIZE_RATIO = 1.02
 #: Words whose hashes a worker keeps.
 KNOWN_WORDS = 500_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -203,10 +203,12 @@ def _across(members: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     down = F.explode(F.sequence(_size_class(F.greatest(F.ceil(n * percent / F.lit(100)), F.lit(1))), F.col("k")))
     least = F.ceil(n * percent / F.lit(100))
     large = told.withColumn("k1", down).where(F.col("at") <= n - _least_overlap(n, F.greatest(least, _least_of_class(F.col("k1"))), percent) + 1)
-    x = small.select("h", F.col("k").alias("k1"), "k2", "rep", "n", "label", "stray")
-    y = large.select("h", "k1", F.col("k").alias("k2"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("label").alias("label2"), F.col("stray").alias("stray2"))
+    x = small.select("h", F.col("k").alias("k1"), "k2", "rep", "n", "label", "at", "stray")
+    y = large.select("h", "k1", F.col("k").alias("k2"), *[F.col(c).alias(f"{c}2") for c in ("rep", "n", "label", "at", "stray")])
     met = [x.where("stray").join(y, ["h", "k1", "k2"]), x.where("not stray").join(y.where("stray2"), ["h", "k1", "k2"])]
-    fits = (F.col("label") != F.col("label2")) & (n <= F.col("n2")) & _close_in_size(n, F.col("n2"), percent)
+    # after their first common shingle two sets can't share more than either has left; the classes' bounds are looser than this pair's
+    enough = F.least(n - F.col("at"), F.col("n2") - F.col("at2")) + 1 >= _least_overlap(n, F.col("n2"), percent)
+    fits = (F.col("label") != F.col("label2")) & (n <= F.col("n2")) & _close_in_size(n, F.col("n2"), percent) & enough
     pairs = [p.where(fits).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")) for p in met]
     return pairs[0].unionByName(pairs[1]).distinct()
 
