@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 import time
 
@@ -418,6 +419,8 @@ def test_mixing(spark):
     assert all(abs(taken[s] - want[s]) <= 0.02 * want[s] + 5 for s in sizes)
     assert sorted(map(str, rows)) == sorted(str(x.asDict()) for x in mixing.mix(docs.repartition(7)).collect())
     assert mixing.mix(docs.limit(0)).count() == 0
+    carried = mixing.mix(docs, carry=("text", "kept")).collect()
+    assert sorted((x["doc_id"], x["copies"]) for x in carried) == sorted((x["doc_id"], x["copies"]) for x in rows) and all(x["text"] == texts[x["doc_id"]] and x["kept"] == "x" for x in carried)
     one = mixing.mix(docs_of(spark, ["", None, " "], ids=[None, None, 1])).collect()
     assert len(one) == 3 and all(x["taken"] == 0 for x in one)
 
@@ -431,10 +434,40 @@ def test_mixing_giants(spark, share):
     assert abs(sum(x["taken"] for x in rows) - rows[0]["target"]) < 20
 
 
-def test_targets_by_newton(spark):
-    sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 5), ("d", 0), (None, 700)], "source string, size long")
-    for r in mixing.source_targets(sizes).collect():
-        assert r["source_size"] * r["rate"] == pytest.approx(r["target"], abs=1e-6)
+def test_balance_by_newton(spark):
+    """The dual's optimum: every source's rates make its target, tilted by size and inside the box; targets without a single partition are the plain form's."""
+    r = random.Random(19)
+    rows = [(k, r.choice([0, 1, 3, 20, 50, 400, 9000])) for k in ["a", "b", "c", None, *(f"s{i}" for i in range(40))] for _ in range(r.randint(1, 60))] + [("empty", 0)]
+    sizes = spark.createDataFrame(rows, "source string, size long").repartition(5)
+    for share in (0.3, 1.5, 1.9):
+        targets = mixing.source_targets(sizes, total_share=share)
+        got = {x["source"]: x for x in mixing.balance(sizes, targets).collect()}
+        total: dict = {}
+        for k, n in rows:
+            total[k] = total.get(k, 0) + n
+        if share == 1.5:
+            assert {k: x["target"] for k, x in got.items()} == pytest.approx(brute.targets(total))
+        for k, x in got.items():
+            rate = lambda n, x=x: 0.0 if x["mean"] is None else 2.0 if x["tilt"] is None else min(2.0, math.exp(x["tilt"] * n / (n + x["mean"])))
+            assert sum(n * rate(n) for s, n in rows if s == k) == pytest.approx(x["target"], rel=1e-6) and x["expected"] == pytest.approx(x["target"], rel=1e-6)
+
+
+def test_copies_against_plain(spark):
+    """One lot: copies are what carrying the rounding error down the sizes gives, written out."""
+    r = random.Random(20)
+    texts = ["w " * n for n in r.sample(range(1, 900), 200)]
+    rows = sorted(mixing.mix(docs_of(spark, texts), total_share=0.7).collect(), key=lambda x: -x["size"])
+    total, large = sum(x["size"] for x in rows), {}
+    for part in (True, False):  # the large ones first, then the others at what is left
+        some = [x for x in rows if (x["size"] > mixing.LARGE * total) == part]
+        factor = 1.0 if part else (rows[0]["target"] - sum(large.get(x["doc_id"], 0) * x["size"] for x in rows)) / sum(x["size"] * x["rate"] for x in some)
+        carry = 0.0
+        for x in some:
+            due = carry + min(2.0, x["rate"] * factor) * x["size"]
+            n = max(0, min(2, math.floor(due / x["size"] + 0.5)))
+            carry, large[x["doc_id"]] = due - n * x["size"], n
+    assert sum(x["copies"] != large[x["doc_id"]] for x in rows) <= 2  # what the lot leaves is given to its first documents
+    assert abs(sum(x["taken"] for x in rows) - rows[0]["target"]) < 3
 
 
 # 7 -------------------------------------------------------------------------------------------------
