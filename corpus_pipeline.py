@@ -35,7 +35,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: shingles of 5 words, similarity 0.8 or more."""
+    """One document of each group of near duplicates stays: shingles of 5 words, similarity 0.8 or more.
+
+    Documents are known by doc_id: rows that repeat the id that stays all stay, and rows without an id are no one's copies.
+    """
     found = minhash.near_duplicates(docs)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -47,8 +50,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How often the mix takes each document (copies, 0 to 2), with the words that makes."""
-    return mixing.mix(docs)
+    """Every document with how often the mix takes it (copies, 0 to 2; 0 leaves it out) and the words that makes."""
+    return mixing.mix(docs, carry=("text", "lang", "n_chars"))
 
 
 STAGES = [("language ID", language), ("line dedup", line_dedup), ("MinHash near-dedup", near_dedup), ("benchmark decontamination", decontamination), ("mixing", mix)]
