@@ -88,6 +88,7 @@ def test_history(spark):
     first = catalog.observations(a, "id", ["status"], "r1", AT(0))
     assert catalog.observations(a, "id", ["status"], "r2", AT(1), first).count() == 0
     assert catalog.search(a.union(spark.createDataFrame([("6", "s", "P", "50%_x")], a.schema)), "%_", ["name"]).count() == 1
+    assert [catalog.search(spark.createDataFrame([(r"a\n'B",), ("other",), (None,)], "name string"), x, ["name"]).count() for x in (r"\n'b", "\n", "", "OTHER")] == [1, 0, 2, 1]
     paths = spark.createDataFrame([("team/a/x",), ("other/y",), ("both/z",)], "path string")
     rules = spark.createDataFrame([("team", "D", "S"), ("both", "D", "S"), ("both/z", "E", "S")], "prefix string, domain string, system string")
     assert {r["path"]: r["status"] for r in catalog.assign_once(paths, "path", rules).collect()} == {"team/a/x": "assigned", "other/y": "unassigned", "both/z": "ambiguous"}

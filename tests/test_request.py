@@ -39,5 +39,6 @@ def test_cases(traced):
 
 def test_locations(spark, traced):
     t, _, _ = traced
-    found = request.find_locations(t, spark.createDataFrame([("/PAY/",), ("",), ("/none",)], "asked string")).collect()
-    assert [(r["uri"], r["exact"]) for r in found] == [("/pay/", True)]
+    found = request.find_locations(t, spark.createDataFrame([("/PAY/",), ("",), ("/none",), ("y",), ("Y/",), ("/payment",)], "asked string"))
+    assert sorted((r["asked"], r["uri"], r["exact"]) for r in found.collect()) == [("/PAY/", "/pay/", True), ("Y/", "/pay/", False), ("y", "/deny", False), ("y", "/dyn/", False), ("y", "/pay/", False)]
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()

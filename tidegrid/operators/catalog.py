@@ -101,10 +101,6 @@ def assign_once(items: DataFrame, path_col: str, rules: DataFrame) -> DataFrame:
 
 
 def search(units: DataFrame, text: str, columns: list[str]) -> DataFrame:
-    """Units with the text in one of the columns; the text's own wildcards are plain characters."""
-    safe = text.replace("=", "==").replace("%", "=%").replace("_", "=_")
-    hit = [F.expr(f"lower(`{c}`) LIKE lower('%{safe.replace(chr(39), chr(39) * 2)}%') ESCAPE '='") for c in columns]
-    test = hit[0]
-    for h in hit[1:]:
-        test = test | h
-    return units.where(F.coalesce(test, F.lit(False)))
+    """Units with the text in one of the columns, whatever the case; wildcards, quotes and backslashes in the text are plain characters."""
+    asked = F.lower(F.lit(text))
+    return units.where(F.exists(F.array(*[F.col(c).cast("string") for c in columns]), lambda c: F.coalesce(F.contains(F.lower(c), asked), F.lit(False))))

@@ -79,10 +79,11 @@ def attribute(flows: DataFrame, observations: DataFrame) -> DataFrame:
     return out.select("f.*", F.when(n == 1, F.col("p.o_pid")).alias("remote_pid"), F.when(n == 1, F.col("p.o_process")).alias("remote_process"), F.when(n == 1, F.col("p.o_app")).alias("remote_app"), confidence.alias("resolution"), F.coalesce("evidence", F.lit(0)).alias("evidence"), reason.alias("reason"))
 
 
-def keep_evidence(observations: DataFrame, owner: Sequence[str], at: str, first: int = 2, last: int = 8) -> DataFrame:
-    """The first and last observations of each owner."""
-    up, down = W.partitionBy(*owner).orderBy(at), W.partitionBy(*owner).orderBy(F.desc(at))
-    return observations.withColumn("_a", F.row_number().over(up)).withColumn("_b", F.row_number().over(down)).where((F.col("_a") <= first) | (F.col("_b") <= last)).drop("_a", "_b")
+def keep_evidence(observations: DataFrame, owner: Sequence[str], at: str | Sequence[str], first: int = 2, last: int = 8) -> DataFrame:
+    """The first and last observations of each owner, by one or more columns, with place, their number from the first."""
+    order = [at] if isinstance(at, str) else list(at)
+    up, down = W.partitionBy(*owner).orderBy(*order), W.partitionBy(*owner).orderBy(*map(F.desc, order))
+    return observations.withColumn("place", F.row_number().over(up)).withColumn("_b", F.row_number().over(down)).where((F.col("place") <= first) | (F.col("_b") <= last)).drop("_b")
 
 
 def listener_candidates(flows: DataFrame, listeners: DataFrame) -> DataFrame:
@@ -99,18 +100,23 @@ def listener_candidates(flows: DataFrame, listeners: DataFrame) -> DataFrame:
 def published_targets(flows: DataFrame, containers: DataFrame) -> DataFrame:
     """Containers behind a published port: (flow key, container, container_ip, container_port).
 
-    containers: (container, host_ip, published_port, container_port, ips array<string>).
+    containers: (container, host_ip, published_port, container_port, ips array<string>).  A flow asks for its peer's
+    address and for the wildcard of its family, so that the join is on address and port and not on a port that all hosts publish; what is
+    published on a wildcard fits every address, as it says.
     """
-    v6 = F.col("peer_ip").contains(":")
-    fits = (F.col("host_ip") == F.col("peer_ip")) | ((F.col("host_ip") == "0.0.0.0") & ~v6) | ((F.col("host_ip") == "::") & v6)
-    hit = flows.join(containers, F.col("peer_port") == F.col("published_port")).where(fits)
+    wildcard = F.when(F.col("peer_ip").contains(":"), "::").otherwise("0.0.0.0")
+    asked = flows.withColumn("_host", F.explode(F.array_distinct(F.array("peer_ip", wildcard))))
+    hit = asked.join(containers, (F.col("_host") == F.col("host_ip")) & (F.col("peer_port") == F.col("published_port")))
     return hit.select(*KEY, "container", F.explode("ips").alias("container_ip"), "container_port")
 
 
 def config_matches(flows: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """Settings that name where a flow goes: (flow key, file, key).  endpoints: (file, key, host, port, resolved array<string>)."""
-    there = (F.col("host") == F.col("peer_ip")) | F.coalesce(F.array_contains("resolved", F.col("peer_ip")), F.lit(False))
-    return flows.join(endpoints, F.col("peer_port") == F.col("port")).where(there).select(*KEY, "file", "key")
+    """Settings that name where a flow goes: (flow key, file, key).  endpoints: (file, key, host, port, resolved array<string>).
+
+    Joined on address and port: an endpoint is repeated for its host and each address that this resolves to.
+    """
+    named = endpoints.withColumn("_ip", F.explode(F.array_distinct(F.concat(F.array("host"), F.coalesce("resolved", F.array().cast("array<string>")))))).where("_ip is not null")
+    return flows.join(named, (F.col("peer_ip") == F.col("_ip")) & (F.col("peer_port") == F.col("port"))).select(*KEY, "file", "key")
 
 
 def by_peer(flows: DataFrame) -> DataFrame:

@@ -20,10 +20,12 @@ MERGE = 16
 
 
 def settle(df: DataFrame, name: str = "graph") -> DataFrame:
-    """Write df into the folder that the session shares (spark.checkpoint.dir) and read it back."""
+    """Write df into the folder that the session shares (spark.checkpoint.dir) and read it back; a folder of its own is for local masters only."""
     spark: SparkSession = df.sparkSession
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not told:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         told = f"file://{tempfile.mkdtemp(prefix='tidegrid-')}"
         spark.sparkContext.setCheckpointDir(told)
     path = f"{told.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -46,6 +46,19 @@ def first_per(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Colum
     return df.withColumn("_k", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
 
 
+def latest_per(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The row of each key that is last by order, by one aggregation with partial maxima instead of a sort."""
+    rest = [c for c in df.columns if c not in (*keys, *order)]
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*order, *rest), F.struct(*order)).alias("_x"))
+    return best.select(*keys, *[F.col(f"_x.{c}").alias(c) for c in (*order, *rest)]).select(df.columns)
+
+
+def first_by_content(df: DataFrame, content: Sequence[str], order: str) -> DataFrame:
+    """The first row by order of all rows that agree in content, nulls being equal, with repeats, how many these are."""
+    rest = [c for c in df.columns if c not in content]
+    return df.groupBy(*content).agg(F.min_by(F.struct(*rest), order).alias("_x"), F.count("*").alias("repeats")).select(*content, *[F.col(f"_x.{c}").alias(c) for c in rest], "repeats")
+
+
 def best_with_ties(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
     """All rows of each key that share its first rank; column ties counts them."""
     ranked = df.withColumn("_k", F.rank().over(W.partitionBy(*keys).orderBy(*order))).where("_k = 1").drop("_k")
@@ -162,6 +175,12 @@ def claim_once(candidates: DataFrame, record: str, target: str, order: str) -> D
     return c.join(n_targets, record).join(n_records, target).withColumn("status", status)
 
 
+def unique_on_a_side(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """Pairs of which one side is in no other pair."""
+    alone = lambda k: pairs.groupBy(k).agg(F.count("*").alias("_n")).where("_n = 1").select(k)
+    return pairs.join(alone(left), left, "left_semi").unionByName(pairs.join(alone(right), right, "left_semi")).distinct()
+
+
 def reversed_pairs(flows: DataFrame, others: DataFrame, local: Sequence[str], peer: Sequence[str], prefix: str = "o_") -> DataFrame:
     """flows joined to the observations of the other end: its local is the flow's peer and the reverse."""
     named = others.select(*[F.col(c).alias(prefix + c) for c in others.columns])
@@ -170,6 +189,17 @@ def reversed_pairs(flows: DataFrame, others: DataFrame, local: Sequence[str], pe
 
 
 # summaries ---------------------------------------------------------------------------------------
+def single_dependency(df: DataFrame, group: Sequence[str], host: str) -> DataFrame:
+    """(group..., host, rows) of the groups that depend on one host only; a group with a row whose host isn't known has incomplete data and is left out."""
+    made = df.groupBy(*group).agg(F.min(host).alias(host), F.max(host).alias("_most"), F.count("*").alias("rows"), F.count(host).alias("_known"))
+    return made.where((F.col(host) == F.col("_most")) & (F.col("rows") == F.col("_known"))).select(*group, host, "rows")
+
+
+def shared_hosts(df: DataFrame, host: Sequence[str], member: str, port: str) -> DataFrame:
+    """(host..., members, rows, ports) of the hosts that serve more than one member."""
+    return df.groupBy(*host).agg(F.countDistinct(member).alias("members"), F.count("*").alias("rows"), F.countDistinct(port).alias("ports")).where("members > 1")
+
+
 def group_tree(df: DataFrame, keys: Sequence[str], measures: dict[str, Column]) -> DataFrame:
     """One row for each prefix of the key values, with depth from 1; missing values are the label "(none)"."""
     filled = df.select(*df.columns, *[F.coalesce(F.nullif(F.col(k).cast("string"), F.lit("")), F.lit("(none)")).alias(f"_{k}") for k in keys])

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import dates, net, strings
-from tidegrid.operators import graph
+from tidegrid.operators import flows, graph
 from tidegrid.operators import relational as rel
+from tidegrid.streaming import flows as streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -51,8 +52,7 @@ def env_stats(spark, d):
 @query("SELECT l_orderkey, min(l_suppkey) AS l_suppkey, count(*) AS items FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_suppkey) = 1")
 def single_dependency(spark, d):
     """Groups that depend on exactly one host."""
-    items = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.min("l_suppkey").alias("l_suppkey"), F.max("l_suppkey").alias("most"), F.count("*").alias("items"))
-    return items.where("l_suppkey = most").select("l_orderkey", "l_suppkey", "items")
+    return rel.single_dependency(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey"), ["l_orderkey"], "l_suppkey").withColumnRenamed("rows", "items")
 
 
 @query("""
@@ -63,7 +63,7 @@ def shared_members(spark, d):
     """Hosts that serve more than one unit, with what they serve."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     i = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_partkey").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    return i.groupBy("l_suppkey").agg(F.countDistinct("o_custkey").alias("customers"), F.count("*").alias("items"), F.countDistinct("l_partkey").alias("parts")).where("customers > 1")
+    return rel.shared_hosts(i, ["l_suppkey"], "o_custkey", "l_partkey").select("l_suppkey", F.col("members").alias("customers"), F.col("rows").alias("items"), F.col("ports").alias("parts"))
 
 
 @query("""
@@ -103,8 +103,7 @@ SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (SELECT *, row_numb
 """)
 def latest_per_key(spark, d):
     """The latest order of each customer, by one aggregation instead of a sort."""
-    o = table(spark, d, "orders").groupBy("o_custkey").agg(F.max(F.struct("o_orderdate", "o_orderkey", "o_totalprice")).alias("o"))
-    return o.select("o_custkey", "o.o_orderkey", "o.o_orderdate", "o.o_totalprice")
+    return rel.latest_per(table(spark, d, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_totalprice"), ["o_custkey"], ["o_orderdate", "o_orderkey"])
 
 
 @query("""
@@ -130,7 +129,7 @@ def daily_activity(spark, d):
 def dedupe_first(spark, d):
     """The first record of each content."""
     docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-    return docs.groupBy("text_sha256").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
+    return rel.first_by_content(docs, ["text_sha256"], "doc_id").select("text_sha256", "doc_id", F.col("repeats").alias("n"))
 
 
 @query("""
@@ -272,23 +271,21 @@ def scan_membership(spark, d):
 
 
 @query("""
-SELECT o_custkey, l_partkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 49 AND l_returnflag = 'R' GROUP BY 1, 2
-QUALIFY count(*) OVER (PARTITION BY o_custkey) = 1 OR count(*) OVER (PARTITION BY l_partkey) = 1
+SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY 1, 2 QUALIFY count(*) OVER (PARTITION BY l_orderkey) = 1 OR count(*) OVER (PARTITION BY l_suppkey) = 1
 """)
 def unique_in_group(spark, d):
-    """Pairs where one side is in no other pair."""
-    p = table(spark, d, "lineitem").where("l_quantity > 49 and l_returnflag = 'R'").select("l_orderkey", "l_partkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.count("*").alias("n"))
-    one = lambda k: p.groupBy(k).agg(F.count("*").alias("_n")).where("_n = 1").select(k)
-    return p.join(one("o_custkey"), "o_custkey", "left_semi").unionByName(p.join(one("l_partkey"), "l_partkey", "left_semi")).distinct()
+    """Pairs of an order and a supplier where one side is in no other pair."""
+    p = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"))
+    return rel.unique_on_a_side(p, "l_orderkey", "l_suppkey")
 
 
 @query("""
-WITH p AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_quantity > 45)
+WITH p AS (SELECT DISTINCT o_custkey AS a, l_suppkey AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
 SELECT a, b, CASE WHEN count(*) OVER (PARTITION BY a) = 1 AND count(*) OVER (PARTITION BY b) = 1 THEN 'matched' ELSE 'ambiguous' END AS status FROM p
 """)
 def claim_once(spark, d):
     """One-to-one claims; what is wanted twice is ambiguous."""
-    i = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 45").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    i = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, d, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     return rel.claim_once(i.select(F.col("o_custkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("o_custkey").alias("ord")), "a", "b", "ord").select("a", "b", "status")
 
 
@@ -315,13 +312,19 @@ def ip_extract(spark, d):
     return t.groupBy("ip").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"), F.min("doc_id").alias("first_doc"))
 
 
-@query("""
-SELECT doc_id, sha256(regexp_replace(text, '(?i)(password|token)(\\s*[=:]\\s*)("[^"]*"|[^\\s"'',;&]+)', '\\1\\2***', 'g')) AS clean FROM documents WHERE regexp_matches(text, '(?i)(password|token)\\s*[=:]')
+NAMES = strings.SECRET_NAMES
+
+
+@query(f"""
+WITH x AS (SELECT doc_id, regexp_replace(regexp_replace(text, '-----BEGIN [A-Z ]*PRIVATE KEY-----(?:.|\\n)*?-----END [A-Z ]*PRIVATE KEY-----', '***', 'g'), '(?i)(<[\\w.\\-]*(?:{NAMES})[\\w.\\-]*>)[^<]*(</)', '\\1***\\2', 'g') AS a, text FROM documents),
+y AS (SELECT doc_id, text, regexp_replace(a, '(?i)((?:^|[\\s\\-_.])[\\w.\\-]*(?:{NAMES})[\\w.\\-]*\\s*[=:]\\s*)("[^"]*"|''[^'']*''|[^\\s"'',;&]+)', '\\1***', 'g') AS b FROM x),
+z AS (SELECT doc_id, text, regexp_replace(regexp_replace(b, '([A-Za-z][A-Za-z0-9+.\\-]*://)[^/\\s:@]+:[^/\\s@]+@', '\\1***@', 'g'), '(?i)(bearer\\s+)[A-Za-z0-9._~+/\\-]+=*', '\\1***', 'g') AS clean FROM y)
+SELECT doc_id, sha256(clean) AS clean, text <> clean AS changed FROM z
 """)
 def redact_text(spark, d):
-    """Documents with secrets, redacted."""
-    t = table(spark, d, "documents").where(F.col("text").rlike(r"(?i)(password|token)\s*[=:]"))
-    return t.select("doc_id", F.sha2(F.regexp_replace("text", r"""(?i)(password|token)(\s*[=:]\s*)("[^"]*"|[^\s"',;&]+)""", "$1$2***"), 256).alias("clean"))
+    """Every document with secrets in arguments, settings, elements and addresses hidden."""
+    t = table(spark, d, "documents").select("doc_id", "text", strings.redact_config(F.col("text")).alias("clean"))
+    return t.select("doc_id", F.sha2("clean", 256).alias("clean"), (F.col("text") != F.col("clean")).alias("changed"))
 
 
 @query("""
@@ -367,10 +370,7 @@ FROM events GROUP BY 1
 """)
 def flow_state(spark, d):
     """State of each flow: first and last seen, samples, the counter's change; a counter that went back is unknown."""
-    at = F.struct("ts", "event_id")
-    e = table(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.count("*").alias("samples"), F.min_by("value", at).alias("a"), F.max_by("value", at).alias("b"))
-    activity = F.when(F.col("b") > F.col("a"), "DATA_OBSERVED").when(F.col("b") == F.col("a"), "NO_DATA_OBSERVED").otherwise("UNKNOWN")
-    return e.select("user_id", "first_at", "last_at", "samples", F.when(F.col("b") >= F.col("a"), F.round(F.col("b") - F.col("a"), 4)).alias("delta"), activity.alias("activity"))
+    return streams.flow_state(table(spark, d, "events")).withColumn("delta", F.round("delta", 4))
 
 
 @query("""
@@ -399,11 +399,8 @@ SELECT user_id, event_id, k FROM (SELECT user_id, event_id, row_number() OVER (P
 """)
 def bounded_evidence(spark, d):
     """The first two and last eight observations of each owner."""
-    from pyspark.sql import Window as W
-
-    w, back = W.partitionBy("user_id").orderBy("ts", "event_id"), W.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-    e = table(spark, d, "events").select("user_id", "event_id", F.row_number().over(w).alias("k"), F.row_number().over(back).alias("r"))
-    return e.where("k <= 2 or r <= 8").select("user_id", "event_id", "k")
+    e = table(spark, d, "events").select("user_id", "event_id", "ts")
+    return flows.keep_evidence(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", F.col("place").alias("k"))
 
 
 # graph -------------------------------------------------------------------------------------------
@@ -440,26 +437,44 @@ def star_edges(spark, d) -> DataFrame:
 
 @query(f"SELECT type, count(*) AS n, count(DISTINCT id) AS ids FROM ({NODE_SQL}) GROUP BY 1")
 def graph_nodes(spark, d):
-    """Nodes of each type."""
-    return star_nodes(spark, d).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
+    """Nodes of each type, merged by id."""
+    empty = F.create_map().cast("map<string,string>")
+    candidates = star_nodes(spark, d).select("id", "type", F.col("id").alias("label"), "status", F.lit("GLOBAL").alias("environment"), empty.alias("identity"), empty.alias("attributes"), F.array(F.lit("table")).alias("evidence"), F.col("id").alias("ord"))
+    return graph.upsert_nodes(candidates).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 
 @query(f"SELECT src, dst, type, n::BIGINT AS n FROM ({EDGE_SQL})")
 def graph_edges(spark, d):
-    """Edges with merged evidence."""
-    return star_edges(spark, d).select("src", "dst", "type", "n")
+    """Edges with merged evidence: an edge from orders to suppliers has an item's line as proof, the others their table."""
+    proof = table(spark, d, "lineitem").select(F.concat_ws(">", F.concat(F.lit("order:"), F.col("l_orderkey")), F.lit("SUPPLIED_BY"), F.concat(F.lit("supplier:"), F.col("l_suppkey"))).alias("id"), F.array(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))).alias("evidence"), F.col("l_linenumber").alias("ord"))
+    none = F.array(F.struct(F.lit(0).alias("line"), F.lit(0).cast("long").alias("part")))
+    others = star_edges(spark, d).where("type <> 'SUPPLIED_BY'").select("id", none.alias("evidence"), F.lit(0).alias("ord"))
+    every = proof.select("id", F.col("evidence").cast("array<struct<line:int,part:bigint>>").alias("evidence"), F.col("ord").cast("int").alias("ord")).unionByName(others)
+    ends = F.split("id", ">")
+    merged = graph.upsert_edges(every.select("id", ends[0].alias("src"), ends[1].alias("type"), ends[2].alias("dst"), F.lit("GLOBAL").alias("env"), F.lit("EXACT").alias("confidence"), "evidence", "ord"))
+    return merged.select("src", "dst", "type", F.size("evidence").cast("long").alias("n"))
+
+
+#: Nodes (id, type, identity) and edges (id, src, dst, type, confidence, proofs) with one fault of each code, beside the whole graph.
+PLANTED_NODES = [("twin", "HOST", {}), ("twin", "HOST", {}), ("endpoint:1.2.3.4:80:tcp", "ENDPOINT", {"ip": "1.2.3.4", "port": "80", "protocol": "tcp"}), ("host:1.2.3.4", "HOST", {"ip": "1.2.3.4"}), ("endpoint:bad", "ENDPOINT", {"ip": "1.2.3.4", "port": "x", "protocol": "tcp"}), ("dep:1", "DEPLOYMENT", {"ip": "1.2.3.4"}), ("dep:2", "DEPLOYMENT", {}), ("dep:3", "DEPLOYMENT", {"ip": "1.2.3.4"})]
+PLANTED_EDGES = [("e1", "twin", "host:1.2.3.4", "HAS", "EXACT", 1), ("e1", "twin", "host:1.2.3.4", "HAS", "EXACT", 1), ("e2", "twin", "nowhere", "HAS", "EXACT", 1), ("e3", "noone", "twin", "HAS", "AMBIGUOUS", 0), ("e4", "twin", "twin", "HAS", "PERHAPS", 1), ("e5", "dep:3", "endpoint:1.2.3.4:80:tcp", "LISTENS_ON", "EXACT", 1)]
 
 
 @query(f"""
-WITH n AS ({NODE_SQL}), e AS ({EDGE_SQL})
-SELECT 'DANGLING_' || type AS code, count(*) AS n FROM e WHERE dst NOT IN (SELECT id FROM n WHERE type <> 'SUPPLIER' OR id NOT LIKE '%7') GROUP BY 1
+WITH n AS ({NODE_SQL}), e AS ({EDGE_SQL}), loose AS (SELECT 1 FROM e WHERE src NOT IN (SELECT id FROM n) UNION ALL SELECT 1 FROM e WHERE dst NOT IN (SELECT id FROM n)),
+found(severity, code, n) AS (VALUES ('error', 'DUPLICATE_NODE_ID', 1), ('error', 'DUPLICATE_EDGE_ID', 1), ('error', 'MISSING_EDGE_NODE', 2), ('error', 'EDGE_WITHOUT_EVIDENCE', 1), ('error', 'INVALID_CONFIDENCE', 1), ('error', 'INVALID_ENDPOINT_FORMAT', 1),
+ ('error', 'DEPLOYMENT_WITHOUT_ENDPOINT', 1), ('warning', 'DEPLOYMENT_WITHOUT_ENDPOINT', 1), ('warning', 'ENDPOINT_WITHOUT_EXPECTED_HOST', 1), ('error', 'AMBIGUOUS_EDGE_COUNT_MISMATCH', 1))
+SELECT severity, code, sum(n)::BIGINT AS n FROM (SELECT * FROM found UNION ALL SELECT 'error', 'MISSING_EDGE_NODE', 1 FROM loose
+ UNION ALL SELECT 'error', 'DUPLICATE_NODE_ID', count(*) - 1 FROM n GROUP BY id HAVING count(*) > 1) GROUP BY 1, 2
 """)
 def graph_validate(spark, d):
-    """Dangling edges once the suppliers whose key ends in 7 are gone."""
-    nodes = star_nodes(spark, d).where("type <> 'SUPPLIER' or id not like '%7'")
-    edges = star_edges(spark, d).withColumn("evidence", F.array(F.lit("table")))
-    issues = graph.validate(nodes, edges).where("code = 'MISSING_EDGE_NODE'").select(F.col("edge_id").alias("id"))
-    return edges.join(issues, "id").groupBy(F.concat(F.lit("DANGLING_"), "type").alias("code")).agg(F.count("*").alias("n"))
+    """All that is wrong with the whole graph and the planted faults, by code."""
+    nodes = star_nodes(spark, d).select("id", "type", F.create_map().cast("map<string,string>").alias("identity"))
+    edges = star_edges(spark, d).select("id", "src", "dst", "type", "confidence", F.array(F.lit("table")).alias("evidence"))
+    planted = spark.createDataFrame(PLANTED_EDGES, "id string, src string, dst string, type string, confidence string, proofs int")
+    planted = planted.select("id", "src", "dst", "type", "confidence", F.slice(F.array(F.lit("table")), F.lit(1), F.col("proofs")).alias("evidence"))
+    nodes = nodes.unionByName(spark.createDataFrame(PLANTED_NODES, "id string, type string, identity map<string,string>"))
+    return graph.validate(nodes, edges.unionByName(planted), ambiguous_edges=0).groupBy("severity", "code").agg(F.count("*").alias("n"))
 
 
 @query(f"""
@@ -492,7 +507,7 @@ def bounded_paths(spark, d):
 
 @query("""
 WITH RECURSIVE l AS (SELECT p_partkey AS src, p_partkey // 3 AS dst FROM part WHERE p_partkey >= 3),
-w AS (SELECT p_partkey AS start, p_partkey AS node, 0 AS distance FROM part UNION ALL SELECT start, dst, distance + 1 FROM w JOIN l ON node = src WHERE distance < 16)
+w AS (SELECT p_partkey AS start, p_partkey AS node, 0 AS distance FROM part UNION ALL SELECT start, dst, distance + 1 FROM w JOIN l ON node = src)
 SELECT start, node, distance FROM w
 """)
 def cname_closure(spark, d):

@@ -175,8 +175,22 @@ def statuses(paths: DataFrame) -> DataFrame:
     return each.select("req", status.alias("status"), "paths")
 
 
+def _grams(text: Column, size: int) -> Column:
+    """The distinct runs of so many characters; null for a shorter text."""
+    last = F.length(text) - size + 1
+    return F.when(last >= 1, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(size)))))
+
+
 def find_locations(t: dict[str, DataFrame], asked: DataFrame) -> DataFrame:
-    """(asked, route_id, uri, exact, domains, asset, file): routes whose location contains the text, whatever the case; exact ones are marked."""
+    """(asked, route_id, uri, exact, domains, asset, file): routes whose location contains the text, whatever the case; exact ones are marked.
+
+    A text that contains another has all its runs of up to three characters: each text asks for its rarest run, and what has that is compared.
+    """
     a = asked.where(F.trim("asked") != "").select("asked", F.lower(F.trim("asked")).alias("q")).distinct()
-    r = routes_of(t).select("route_id", "uri", F.array_join("domains", ",").alias("domains"), "asset", "file")
-    return a.join(r, F.lower("uri").contains(F.col("q"))).select("asked", "route_id", "uri", (F.lower("uri") == F.col("q")).alias("exact"), "domains", "asset", "file")
+    r = routes_of(t).select("route_id", "uri", F.array_join("domains", ",").alias("domains"), "asset", "file").withColumn("low", F.lower("uri"))
+    grams = r.select("low").distinct().select("low", F.explode(F.array_distinct(F.flatten(F.filter(F.array(*[_grams(F.col("low"), k) for k in (1, 2, 3)]), lambda x: x.isNotNull())))).alias("gram"))
+    often = grams.groupBy("gram").agg(F.count("*").alias("uris"))
+    mine = a.select("q", F.explode(_grams(F.col("q"), 3)).alias("gram")).unionByName(a.where(F.length("q") < 3).select("q", F.col("q").alias("gram")))
+    rarest = mine.join(often, "gram").groupBy("q").agg(F.min_by("gram", F.struct("uris", "gram")).alias("gram"))
+    hit = rarest.join(grams, "gram").where(F.col("low").contains(F.col("q"))).select("q", "low")
+    return a.join(hit, "q").join(r, "low").select("asked", "route_id", "uri", (F.col("low") == F.col("q")).alias("exact"), "domains", "asset", "file")
