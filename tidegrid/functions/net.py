@@ -139,6 +139,32 @@ def git_key(value: Column) -> Column:
     return F.when(fine, F.concat(host, F.when((port != "") & (port != "22"), F.concat(F.lit(":"), port)).otherwise(""), path)).otherwise("")
 
 
+def git_parts(value: Column) -> Column:
+    """(scheme, host, port, path) of a repository address in any form, path without .git and end slashes; empty strings where there is none."""
+    raw = text(value)
+    url = F.when(raw.contains("://"), raw).otherwise(F.regexp_replace(raw, r"^(?:[^/@:]+@)?([^/:]+):(.+)$", "ssh://$1/$2"))
+    form = r"^([A-Za-z]+)://(?:[^@/]*@)?([^:/?#]+)(?::(\d+))?/?([^?#]*)"
+    path = F.regexp_replace(F.regexp_replace(F.regexp_extract(url, form, 4), r"^/+|/+$", ""), r"\.git$", "")
+    return F.struct(F.lower(F.regexp_extract(url, form, 1)).alias("scheme"), F.lower(F.regexp_extract(url, form, 2)).alias("host"), F.regexp_extract(url, form, 3).alias("port"), path.alias("path"))
+
+
+def repository_folder(value: Column) -> Column:
+    """The groups above a repository, empty if the address is no repository's."""
+    return F.when(git_key(value) == "", "").otherwise(F.regexp_replace(git_parts(value)["path"], r"/?[^/]*$", ""))
+
+
+def repository_category(value: Column, hosts: list[str]) -> Column:
+    """own, if the host is one of the site's code hosts; other for another host, none if there is no repository."""
+    host = git_parts(value)["host"]
+    return F.when((git_key(value) != "") & host.isin(*hosts), "own").when((host != "") & ~host.isin(*hosts), "other").otherwise("none")
+
+
+def repository_words(value: Column) -> Column:
+    """What a search compares of an address: host, port and path in lower case, with blanks for what divides them."""
+    p = git_parts(value)
+    return F.trim(F.lower(F.regexp_replace(F.concat_ws(" ", p["host"], F.nullif(p["port"], F.lit("")), p["path"]), r"[/_\s]+", " ")))
+
+
 def canonical_git_url(value: Column) -> Column:
     """https://host/path of a repository address: ssh becomes https, .git and end slashes go, the host in lower case."""
     raw = text(value)
