@@ -19,18 +19,22 @@ CONFIDENCE = {"UNKNOWN": 0, "AMBIGUOUS": 1, "INFERRED": 2, "EXACT": 3}
 MERGE = 16
 
 
-def settle(df: DataFrame, name: str = "graph") -> DataFrame:
-    """Write df into the folder that the session shares (spark.checkpoint.dir) and read it back; a folder of its own is for local masters only."""
-    spark: SparkSession = df.sparkSession
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the session shares (spark.checkpoint.dir); a folder of its own is for local masters only."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not told:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         told = f"file://{tempfile.mkdtemp(prefix='tidegrid-')}"
         spark.sparkContext.setCheckpointDir(told)
-    path = f"{told.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{told.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, name: str = "graph") -> DataFrame:
+    """Write df into the shared folder and read it back."""
+    path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def merged(seen: DataFrame, front: DataFrame, k: int, name: str) -> DataFrame:

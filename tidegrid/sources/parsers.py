@@ -59,12 +59,12 @@ def port_owners(listening: DataFrame, procs: DataFrame, sockets: DataFrame, user
     return known.withColumn("confidence", F.lit("EXACT")).unionByName(guessed.select(host, "port", "pids", F.when(F.size("pids") == 1, "INFERRED").when(F.size("pids") > 1, "AMBIGUOUS").otherwise("UNKNOWN").alias("confidence")))
 
 
-def container_of(procs: DataFrame, inits: DataFrame, host: str, depth: int = 32) -> DataFrame:
-    """(host, pid, container): processes below a container's first process (host, pid, container), over their parents."""
+def container_of(procs: DataFrame, inits: DataFrame, host: str) -> DataFrame:
+    """(host, pid, container): processes below a container's first process (host, pid, container), over all their parents."""
     found, front = inits.select(host, "pid", "container"), inits.select(host, F.col("pid").alias("ppid"), "container")
     from tidegrid.operators.graph import settle
 
-    for _ in range(depth):
+    while True:  # ends when no new process is found
         new = settle(procs.select(host, "pid", "ppid").join(front, [host, "ppid"]).select(host, "pid", "container").join(found, [host, "pid"], "left_anti"), "containers")
         if new.isEmpty():
             break

@@ -246,14 +246,14 @@ def build_files(files: DataFrame) -> DataFrame:
     return settle(poms.lateralJoin(XmlNodes(c("content").outer())).select("repository", "path", "node", "parent", "xpath", "text"), "build")
 
 
-def reachable_builds(nodes: DataFrame, depth: int = 64) -> DataFrame:
+def reachable_builds(nodes: DataFrame) -> DataFrame:
     """(repository, path) of the build files below the root's modules; where there is no root, of all of them."""
     every = nodes.select("repository", "path").distinct()
     rooted = every.where("path = 'pom.xml'")
     name = F.regexp_replace("text", "^(\\./)+|/+$", "")
     steps = nodes.where("xpath = '/project/modules/module' and text <> ''").select("repository", "path", _join(_folder(c("path")), F.concat(name, F.lit("/pom.xml"))).alias("next")).distinct()
     found = front = rooted
-    for _ in range(depth):
+    while True:  # ends when no new build file is found
         step = front.join(steps, ["repository", "path"]).select("repository", c("next").alias("path")).distinct()
         front = settle(step.join(every, ["repository", "path"], "left_semi").join(found, ["repository", "path"], "left_anti"), "modules")
         if front.isEmpty():
