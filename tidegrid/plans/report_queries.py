@@ -87,7 +87,7 @@ def server_comparison(spark, d):
 
 @query(f"""
 WITH {INSPECTED}, {MATCHED}
-SELECT 'a' || d.k AS app_id, known AND m.pid IS NULL AS unmatched, NOT coalesce(known, FALSE) AS not_collected FROM d LEFT JOIN s ON s.k = d.h LEFT JOIN m ON m.k = d.k
+SELECT 'a' || d.k AS app_id, coalesce(known AND m.pid IS NULL, FALSE) AS unmatched, NOT coalesce(known, FALSE) AS not_collected FROM d LEFT JOIN s ON s.k = d.h LEFT JOIN m ON m.k = d.k
 """)
 def process_status(spark, d):
     """Applications a server of which lacks their process or isn't collected."""
