@@ -16,7 +16,11 @@ def read_events(spark: SparkSession, folder: str, schema, names: str = "*.parque
 
 
 def flow_state(events: DataFrame, key: str = "user_id", at: str = "ts", tie: str = "event_id", value: str = "value") -> DataFrame:
-    """First and last seen, samples, the counter's change and activity of each key so far; for update or complete mode."""
+    """First and last seen, samples, the counter's change and activity of each key so far; for update or complete mode, or a batch.
+
+    A key's state is kept for good, as its first sample counts: keys must be bounded (sockets of a site, say). For keys that
+    come and go use sessions(), whose watermark drops them.
+    """
     order = F.struct(at, tie)
     g = events.groupBy(key).agg(F.min(at).alias("first_at"), F.max(at).alias("last_at"), F.count("*").alias("samples"), F.min_by(value, order).alias("a"), F.max_by(value, order).alias("b"))
     activity = F.when(F.col("b") > F.col("a"), "DATA_OBSERVED").when(F.col("b") == F.col("a"), "NO_DATA_OBSERVED").otherwise("UNKNOWN")
