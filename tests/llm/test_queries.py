@@ -112,7 +112,7 @@ def test_pipeline(spark, folder):
     gone = {}
     for s in {r["source"] for r in told.values()}:
         mine = [r["text"] for r in told.values() if r["source"] == s]
-        gone[s] = {x for t in mine for x in t.split("\n") if x.strip(" ") and sum(x in u.split("\n") for u in mine) >= lines.LEAST_PAGES and sum(x in u.split("\n") for u in mine) > lines.RATIO * len(mine)}
+        gone[s] = {x for t in mine for x in t.split("\n") if x.strip(" ") and sum(x in u.split("\n") for u in mine) >= corpus_pipeline.PAGES and sum(x in u.split("\n") for u in mine) > lines.RATIO * len(mine)}
     assert any(gone.values()) and set(deduped) == set(told)
     for i, r in deduped.items():
         assert r["text"] == "\n".join(x for x in told[i]["text"].split("\n") if x not in gone[r["source"]]) and r["n_chars"] == len(r["text"])
@@ -126,6 +126,27 @@ def test_pipeline(spark, folder):
     assert sorted(map(str, whole)) == sorted(map(str, mixed.values()))
 
 
+def test_stages_on_odd_rows(spark, folder):
+    """Null and repeated ids, null texts and sources, and columns whose names results use: every stage works and keeps what is clean."""
+    path, docs, bench, _ = folder
+    d = f"file://{path}"
+    r = random.Random(21)
+    texts = [prose(r, lang, 60) for lang in ("en", "de", "fr", "en", "de")]
+    rows = [(900, texts[0], "en", "s"), (900, texts[0], "en", "s"), (None, texts[1], "de", None), (None, texts[1], "de", None), (901, texts[2], None, "s"), (902, texts[2], None, "s"), (903, texts[3] + " " + bench[0], "en", "s"), (904, None, "en", "s"), (905, "", None, None)]
+    odd = [(i, t, lang, s, len(t or ""), "kept", "component", 1) for i, t, lang, s in rows]
+    known = [(*x[:5], "kept", "component", 1) for x in docs[:200] if x[1]]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, component_id string, copies int"
+    now = spark.createDataFrame(odd + known, schema).repartition(3)
+    mine = lambda df: sorted((x["doc_id"] or -1) for x in df.collect() if x["doc_id"] is None or x["doc_id"] >= 900)
+    want = {"language ID": [-1, -1, 900, 900, 901, 902, 903], "line dedup": [-1, -1, 900, 900, 901, 902, 903], "MinHash near-dedup": [-1, -1, 900, 900, 901, 903], "benchmark decontamination": [-1, -1, 900, 900, 901]}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, d)
+        now = spark.createDataFrame(now.collect(), now.schema)
+        assert tuple(now.columns) == corpus_pipeline.COLUMNS and mine(now) == want[name], name
+    mixed = corpus_pipeline.mix(spark, now, d)
+    assert mine(mixed) == want["benchmark decontamination"] and {"text", "copies", "taken"} <= set(mixed.columns)
+
+
 def test_no_documents(spark, folder, tmp_path):
     spark.read.parquet(f"file://{folder[0]}/documents.parquet").limit(0).write.parquet(f"file://{tmp_path}/documents.parquet")
     for t in ("benchmark", "conversations"):
