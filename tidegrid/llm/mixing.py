@@ -72,6 +72,11 @@ def _rate(size: Column, tilt: Column, mean: Column, most: float) -> Column:
     return F.when(mean.isNull(), 0.0).when(tilt.isNull(), most).otherwise(F.least(F.exp(tilt * f), F.lit(most)))
 
 
+def _total(value: Column) -> Column:
+    """The sum of a column of doubles, to a millionth: in whole numbers, so that it doesn't depend on the order of the rows."""
+    return F.sum((value * 1e6).cast("decimal(38,0)")).cast("double") / 1e6
+
+
 def balance(sizes: DataFrame, targets: DataFrame, most: float = 2.0) -> DataFrame:
     """targets with (tilt, mean, expected): each source's dual optimum, its documents' mean size, and the words that its rates make.
 
@@ -87,10 +92,10 @@ def balance(sizes: DataFrame, targets: DataFrame, most: float = 2.0) -> DataFram
         at = counted.join(state.where("expected is null"), F.col("h_source").eqNullSafe(F.col("source")))
         f, r = F.col("size") / (F.col("size") + F.col("mean")), _rate(F.col("size"), F.col("tilt"), F.col("mean"), most)
         words = F.col("size") * F.col("docs")
-        sums = at.groupBy("h_source").agg(F.sum(words * r).alias("got"), F.sum(F.when(r < most, words * f * r)).alias("slope"))
+        sums = at.groupBy("h_source").agg(_total(words * r).alias("got"), _total(F.when(r < most, words * f * r)).alias("slope"))
         now = state.join(sums, F.col("h_source").eqNullSafe(F.col("source")), "left").drop("h_source")
         over = F.col("got") - F.col("target")
-        done = F.col("expected").isNotNull() | (F.abs(over) <= NEAR * F.col("target"))
+        done = F.col("expected").isNotNull() | (F.abs(over) <= F.greatest(NEAR * F.col("target"), F.lit(2e-6)))
         now = now.withColumn("low", F.when(over < 0, F.col("tilt")).otherwise(F.col("low"))).withColumn("high", F.when(over > 0, F.col("tilt")).otherwise(F.col("high")))
         newton = F.col("tilt") - over / F.col("slope")
         inside = F.coalesce(newton > F.col("low"), newton.isNotNull()) & F.coalesce(newton < F.col("high"), newton.isNotNull())
@@ -163,7 +168,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, total_share: floa
     large = F.col("size") * F.col("rows") * n_lots > LARGE * F.col("source_size")  # fewer than n_lots / LARGE of them
     rate = F.when(F.col("size") > 0, _rate(F.col("size"), F.col("tilt"), F.col("mean"), float(most))).otherwise(0.0)
     first = _lots(items.join(aims, in_source).where(large).withColumn("rate", rate).withColumn("factor", F.lit(1.0)).withColumn("due", F.col("target")), F.ceil(n_lots / (LARGE * GROUP)), most)
-    gone = first.groupBy(F.col("source").alias("g_source")).agg(F.sum("rated").alias("g_rated"), F.sum("got").alias("g_got"))
+    gone = first.groupBy(F.col("source").alias("g_source")).agg(_total(F.col("rated")).alias("g_rated"), F.sum("got").alias("g_got"))
     over = aims.join(gone, F.col("a_source").eqNullSafe(F.col("g_source")), "left").withColumn("due", F.col("target") - F.coalesce("g_got", F.lit(0)))
     left = F.col("expected") - F.coalesce("g_rated", F.lit(0.0))
     over = settle(over.withColumn("factor", F.when(left > 0, F.greatest(F.col("due") / left, F.lit(0.0))).otherwise(F.lit(0.0))), "aims")
