@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, exact, langid, lines, minhash, mixing, pii, prefix_trie, secrets, tokens, vectors
+from . import chat, decontaminate, exact, langid, lines, minhash, mixing, pii, prefix_trie, quality, secrets, tokens, vectors
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +86,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document; labels whose id's crc32 leaves 0 modulo 5 are never learnt from."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    model = quality.train(docs, labels.where(~held_out))
+    return quality.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of the trie of all rebuilt conversations."""
     return prefix_trie.trie(table(spark, sf_dir, "conversations"))
@@ -153,5 +161,5 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_minhash, op3_chat_format, op4_decontaminate, op5_pii, op6_mixing, op7_token_counts, op8_language_id, op9_line_dedup, op10_exact_dedup, op12_prefix_trie, op13_vector_codes)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_minhash, op3_chat_format, op4_decontaminate, op5_pii, op6_mixing, op7_token_counts, op8_language_id, op9_line_dedup, op10_exact_dedup, op11_quality, op12_prefix_trie, op13_vector_codes)}
 ORACLE_SQL = {"op9_line_dedup": OP9_SQL, "op10_exact_dedup": OP10_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_codes": _op13_sql()}
