@@ -64,6 +64,76 @@ def test_secret_ledger(spark):
     assert {r["rule"] for r in again.collect()} == {"hex@2"}
 
 
+def test_secret_ledger_in_a_folder(spark, tmp_path):
+    """Runs write what they scan; a run without Spark's mark of completion is not believed."""
+    ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.rows() is None
+    plain = lambda df: sorted(map(str, df.collect()))
+    first = docs_of(spark, SECRET_TEXTS[:6])
+    assert plain(ledger.scan(first, path_col="doc_id")) == plain(secrets.scan_files(first, path_col="doc_id")[0])
+    before = ledger.rows().count()
+    more = docs_of(spark, SECRET_TEXTS)
+    assert plain(ledger.scan(more, path_col="doc_id")) == plain(secrets.scan_files(more, path_col="doc_id")[0])
+    blobs = len({t or "" for t in SECRET_TEXTS})
+    assert before < ledger.rows().count() == blobs * len(secrets.RULES)
+    assert plain(ledger.scan(more, path_col="doc_id")) == plain(secrets.scan_files(more, path_col="doc_id")[0]) and ledger.rows().count() == blobs * len(secrets.RULES)
+    runs = sorted((tmp_path / "ledger").glob("run=*"))
+    assert len(runs) == 3
+    for run in runs:
+        (run / "_SUCCESS").unlink()
+    assert ledger.rows() is None
+
+
+def seconds_of(f):
+    began = time.time()
+    f()
+    return time.time() - began
+
+
+def test_many_findings_take_linear_time(spark):
+    """Fifty thousand findings in one text, and runs that rules must give up on."""
+    def secrets_in(n):
+        one = spark.createDataFrame([(1, "token=abcdef " * n)], "doc_id long, text string")
+        row = secrets.scan_files(one, path_col="doc_id")[0].collect()[0]
+        assert [(s["start"], s["end"]) for s in row["found"]] == [(13 * k, 13 * k + 12) for k in range(n)]
+
+    secrets_in(100)
+    assert seconds_of(lambda: secrets_in(50_000)) < 20
+    jwt = next(r for r in secrets.RULES if r.kind == "jwt")
+    for text in ("eyJaaaaaaaa-" * 50_000, "eyJaaaaaaaa." * 50_000):
+        one = spark.createDataFrame([(text,)], "text string").repartition(1)
+        assert seconds_of(lambda one=one: one.select(F.size(secrets.spans_of(F.col("text"), jwt))).collect()) < 20
+    token = "eyJabcdefghij.eyJabcdefghij.abcdefgh-1"
+    one = spark.createDataFrame([(f"x {token} y",)], "text string")
+    assert [tuple(s) for s in one.select(secrets.spans_of(F.col("text"), jwt).alias("s")).collect()[0].s] == [(2, 2 + len(token))]
+    model = pii.default_model()
+    line = "write to jo.1@mail.example.com or jo at mail dot example dot org\n"
+    base, found = pii.all_spans([line * 25_000], model)[0]
+    assert len(base) == 25_000 and len(found) >= 50_000
+    took = [seconds_of(lambda n=n: pii.all_spans([line * n], model)) for n in (5_000, 20_000)]
+    assert took[1] < 8 * took[0] + 1
+    items = [(k, f"question number {k} asks about {words(random.Random(k), 6)}") for k in range(2000)]
+    m = decontaminate.Matcher([(k, decontaminate.normalise(t)) for k, t in items])
+    text = ". ".join(t for _, t in items)
+    found = m.matches([text])[0]
+    assert len(found) == 2000 and all(text[a:b] == items[k][1] for k, d, a, b in found)
+    took = [seconds_of(lambda n=n: m.matches([". ".join(t for _, t in items[:n])])) for n in (500, 2000)]
+    assert took[1] < 8 * took[0] + 1
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_ids_come_back_as_they_are(spark, kind):
+    """Ids that a double can't hold beside a null, and ids that are strings."""
+    ids = [(1 << 60) + 1, None, (1 << 53) + 1, -((1 << 60) + 1)] if kind == "long" else ["a", None, "7", "é"]
+    text = "jo.1@mail.example.com asks what the capital of the northern province was called before the war"
+    docs = spark.createDataFrame([(i, text) for i in ids], f"doc_id {kind}, text string").coalesce(1)
+    items = spark.createDataFrame([(ids[0], text[22:]), (None, "nothing of this kind is in there at all")], f"item_id {kind}, text string")
+    order = lambda rows: sorted(rows, key=str)
+    assert order(r["doc_id"] for r in pii.find(docs).collect()) == order(ids)
+    assert order(r["doc_id"] for r in tokens.document_tokens(docs).collect()) == order(ids)
+    assert order((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()) == order((i, ids[0]) for i in ids)
+
+
 # 2 -------------------------------------------------------------------------------------------------
 def near_texts():
     r = random.Random(1)
@@ -540,9 +610,21 @@ def test_training_sample(spark):
     """The bound holds for rows, never for languages."""
     langs = ["en"] * 300 + ["de"] * 120 + [f"l{i}" for i in range(70) for _ in range(3)]
     docs = docs_of(spark, [f"text {i}" for i in range(len(langs))], langs=langs)
-    for options, want in (({}, {"en": 44, "de": 44}), ({"total": 72, "least": 2}, {"en": 2, "de": 2, "l5": 2}), ({"per_language": 1}, {"en": 1, "l69": 1})):
+    for options, n, want in (({}, 72, {"en": 44, "de": 44}), ({"total": 144}, 72, {"en": 2, "de": 2, "l5": 2}), ({"per_language": 1}, 72, {"en": 1, "l69": 1}), ({"total": 10}, 10, {"en": 1, "de": 1})):
         found = [r["lang"] for r in langid.training_sample(docs, **options).collect()]
-        assert len(set(found)) == 72 and {k: found.count(k) for k in want} == want
+        assert len(set(found)) == n and len(found) <= options.get("total", langid.TOTAL) and {k: found.count(k) for k in want} == want
+
+
+def test_languages_of_rows_without_ids(spark):
+    """Rows without an id are learnt from like others, and repeats of a row don't crowd out the rest."""
+    r = random.Random(3)
+    fr = [" ".join("".join(r.choice(["eau", "oi", "é"]) for _ in range(3)) for _ in range(12)) for _ in range(60)]
+    rows = [(None, t, "fr") for t in fr] + [(i, words(r, 12), "en") for i in range(60)] + [(None, fr[0], "fr")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = [x["lang"] for x in langid.training_sample(docs).collect()]
+    assert found.count("fr") > 20 and found.count("en") == 60
+    model = langid.train(docs)
+    assert model.languages == ["en", "fr"] and {x["lang_pred"] for x in langid.identify(docs.where("lang = 'fr'"), model).collect()} == {"fr"}
 
 
 def test_many_languages(spark):

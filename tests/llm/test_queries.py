@@ -45,6 +45,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(list(enumerate(bench)), "item_id long, text string").write.parquet(f"file://{path}/benchmark.parquet")
     turns = [(c, t, "user" if t % 2 == 0 else "assistant", prose(r, "en", 5)) for c in range(5) for t in range(4)]
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"file://{path}/conversations.parquet")
+    spark.createDataFrame([(i, int(i % 7 > 0), 0) for i in range(0, 300, 2)], "doc_id long, quality int, toxic int").write.parquet(f"file://{path}/labels.parquet")
+    spark.createDataFrame([(i, [r.gauss(0, 0.2) for _ in range(16)], i % 3) for i in range(90)], "vec_id long, embedding array<float>, label int").write.parquet(f"file://{path}/embeddings.parquet")
     return str(path), docs, bench, turns
 
 
@@ -86,7 +88,8 @@ def test_contracts(spark, folder):
 @pytest.mark.parametrize("name", list(queries.ORACLE_SQL))
 def test_sql(spark, folder, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{folder[0]}/documents.parquet/*.parquet'")
+    for t in ("documents", "conversations", "embeddings"):
+        con.sql(f"create view {t} as select * from '{folder[0]}/{t}.parquet/*.parquet'")
     want = con.sql(queries.ORACLE_SQL[name])
     cols = sorted(want.columns)
     got = queries.QUERIES[name](spark, f"file://{folder[0]}")
@@ -111,8 +114,8 @@ def test_pipeline(spark, folder):
     assert set(seen[0]) - set(told) >= {300, 301, 302} and len(told) > 280
     gone = {}
     for s in {r["source"] for r in told.values()}:
-        mine = [r["text"] for r in told.values() if r["source"] == s]
-        gone[s] = {x for t in mine for x in t.split("\n") if x.strip(" ") and sum(x in u.split("\n") for u in mine) >= corpus_pipeline.PAGES and sum(x in u.split("\n") for u in mine) > lines.RATIO * len(mine)}
+        mine = list({r["text"] for r in told.values() if r["source"] == s})
+        gone[s] = {x for t in mine for x in t.split("\n") if x.strip(" ") and sum(x in u.split("\n") for u in mine) >= lines.LEAST_PAGES and sum(x in u.split("\n") for u in mine) > lines.RATIO * len(mine)}
     assert any(gone.values()) and set(deduped) == set(told)
     for i, r in deduped.items():
         assert r["text"] == "\n".join(x for x in told[i]["text"].split("\n") if x not in gone[r["source"]]) and r["n_chars"] == len(r["text"])
@@ -149,8 +152,23 @@ def test_stages_on_odd_rows(spark, folder):
 
 def test_no_documents(spark, folder, tmp_path):
     spark.read.parquet(f"file://{folder[0]}/documents.parquet").limit(0).write.parquet(f"file://{tmp_path}/documents.parquet")
-    for t in ("benchmark", "conversations"):
+    for t in ("benchmark", "conversations", "labels", "embeddings"):
         spark.read.parquet(f"file://{folder[0]}/{t}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{t}.parquet")
     for name, f in queries.QUERIES.items():
         assert f(spark, f"file://{tmp_path}").count() == (name == "op3_chat_format")
     assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_token_counts_of_the_query(spark, folder):
+    """The registered query against the tokenizer."""
+    from tidegrid.llm import tokens
+
+    assert {r["doc_id"]: r["n_tokens"] for r in run(spark, folder, "op7_token_counts")} == {d[0]: len(tokens.encode(d[1] or "")) for d in folder[1]}
+
+
+def test_contaminated_documents_of_the_query(spark, folder):
+    """The registered query against the matcher on one text at a time: the same findings, none more."""
+    _, docs, bench, _ = folder
+    m = decontaminate.Matcher([(k, decontaminate.normalise(b)) for k, b in enumerate(bench) if b])
+    want = sorted((d[0], *x) for d in docs for x in m.matches([d[1]])[0])
+    assert sorted(map(tuple, run(spark, folder, "op4_decontaminate"))) == want and len({w[0] for w in want}) >= 12

@@ -17,8 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import settle
 
@@ -178,8 +181,11 @@ class Matcher:
             while at + n < len(flats) and (n == 0 or size + len(flats[at + n]) < BATCH_CHARS):
                 size += len(flats[at + n]) + 1
                 n += 1
+            last, spots = None, None
             for i, item, distance, end in self._best(flats[at : at + n]):
-                out[at + i].append((self.items[item][0], distance, *self._place(texts[at + i], flats[at + i], item, distance, end)))
+                if i != last:  # a text's words are placed once, however many items it holds
+                    last, spots = i, _spots(texts[at + i], flats[at + i])
+                out[at + i].append((self.items[item][0], distance, *self._place(*spots, flats[at + i], item, distance, end)))
             at += n
         return out
 
@@ -228,21 +234,25 @@ class Matcher:
             at = flat.find(pattern, at + 1, high)
         return None
 
-    def _place(self, text: str, flat: str, n: int, distance: int, end: int) -> tuple[int, int]:
+    def _place(self, spaces: np.ndarray, words: list[tuple[int, int]], flat: str, n: int, distance: int, end: int) -> tuple[int, int]:
         """Where the words of the text lie that make up the occurrence which ends at end of flat."""
         pattern = self.items[n][1]
         low = max(0, end - len(pattern) - distance)
         _, length = myers(pattern[::-1], flat[low:end][::-1], distance)
-        first, last = flat.count(" ", 0, end - length), flat.count(" ", 0, end)
-        low_case = text.lower()
-        at = [m.span() for m in TOKEN.finditer(low_case if len(low_case) == len(text) else text)]
-        last = min(last, len(at) - 1)
-        return at[min(first, last)][0], at[last][1]
+        first, last = np.searchsorted(spaces, [end - length, end]).tolist()
+        last = min(last, len(words) - 1)
+        return words[min(first, last)][0], words[last][1]
+
+
+def _spots(text: str, flat: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Where flat has its spaces, and where text has its words."""
+    low_case = text.lower()
+    return np.flatnonzero(codes(flat) == 32), [m.span() for m in TOKEN.finditer(low_case if len(low_case) == len(text) else text)]
 
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, piece: int = PIECE) -> tuple[int, Iterator[Matcher]]:
     """The number of blocks, and their matchers, each made when it is asked for: the driver holds one block of about block_chars characters."""
-    rows = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = items.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-total // block_chars) or 1
 
@@ -258,25 +268,28 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """(id_col, item_id, distance, start, end): the best occurrence of each item in each document that holds it within its budget.
 
     Items of fewer than two pieces have no budget and must occur whole, at word ends.
-    Null and empty texts hold nothing; null items and items without letters and digits match nothing; a null id is
-    returned as null; repeated rows are matched each; items that repeat an id are
+    Null and empty texts hold nothing; null items and items without letters and digits match nothing; ids of any type
+    are returned as they are, null too; repeated rows are matched each; items that repeat an id are
     matched each.  No documents or no items give an empty table.  Of several blocks of items
     each one's rows are written before the next is made.
     """
     n, blocks = item_blocks(items, item_id_col, item_text_col, block_chars, piece)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    made = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("item_id", items.schema[item_id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("distance", "start", "end"))])
     out = None
     for matcher in blocks:
-        made = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(_found(matcher), "id long, item_id long, distance long, start long, end long")
-        made = made if n == 1 else settle(made, "contaminated")
-        out = made if out is None else out.unionByName(made)
+        found = rows.mapInArrow(_found(matcher, to_arrow_type(made["item_id"].dataType)), made)
+        found = found if n == 1 else settle(found, "contaminated")
+        out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col)
 
 
-def _found(matcher: Matcher):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(i, *m) for i, found in zip(f["id"], matcher.matches(list(f["text"])), strict=True) for m in found]
-            yield pd.DataFrame(rows, columns=["id", "item_id", "distance", "start", "end"]).astype({"id": "Int64", "item_id": "Int64"})
+def _found(matcher: Matcher, item_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = [(k, *m) for k, found in enumerate(matcher.matches(batch.column(1).to_pylist())) for m in found]
+            at, items, *places = zip(*each, strict=True) if each else [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(items, item_type), *(pa.array(p, pa.int64()) for p in places)], ["id", "item_id", "distance", "start", "end"])
 
     return run
 
@@ -284,6 +297,9 @@ def _found(matcher: Matcher):
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_chars: int = BLOCK_CHARS, piece: int = PIECE) -> DataFrame:
     """docs without the rows that hold an item; all columns stay, whatever their names.
 
+    Null and empty texts hold nothing and stay, ids play no part (null, repeated), equal rows stay or go together, and no
+    documents give none. Null items match nothing.
+
     The last block of items is a filter on docs; what earlier blocks find is written as digests of texts, by which rows are left out.
     """
     n, blocks = item_blocks(items, item_id_col, item_text_col, block_chars, piece)

@@ -23,9 +23,9 @@ from .common import settle
 
 UNKNOWN = "und"
 DIMENSIONS = 1 << 13
-#: Bounds of the training sample: at most so many documents of a language and so many in all, shared out evenly over however many languages there are, each
-#: having the least number. What the driver gets of a document are its n-gram counts' square roots, at most 6 bytes for each dimension.
-PER_LANGUAGE, TOTAL, LEAST = 400, 3200, 16
+#: Bounds of the training sample: at most so many documents of a language and so many in all, shared out evenly over however many languages there are.
+#: What the driver gets of a document are its n-gram counts' square roots, at most 6 bytes for each dimension.
+PER_LANGUAGE, TOTAL = 400, 3200
 EPOCHS, BATCH, RATE = 10, 64, 0.3
 AMBIGUOUS = 0.15
 
@@ -111,21 +111,21 @@ def fit(x: np.ndarray, langs: list[str], epochs: int = EPOCHS, batch: int = BATC
     return Model(names, codes, w, b, (trust / trust.sum()).astype(np.float32))
 
 
-def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL, least: int = LEAST, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, lang, text): of each language that occurs the documents of the least hash of their id, as many as all languages can have within the bounds.
+def training_sample(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = TOTAL, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(id, lang, text): of each language that occurs the documents of the least hash of id and text, as many as all languages can have within the bounds.
 
-    A language has min(per_language, max(least, total / number of languages)) documents, or all of its own if these are fewer.
+    A language has min(per_language, total / number of languages) documents, at least one, or all of its own if these are
+    fewer; of more than total different values of lang the most frequent are learnt, so that the sample never
+    has more than total rows. Null texts and languages are left out; rows without an id take part; a row that is repeated counts once.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    often = settle(known.groupBy("lang").agg(F.count("*").alias("n")), "languages")
-    share = min(per_language, max(least, total // max(1, often.count())))
-    chance = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 40))
-    order = W.partitionBy("lang").orderBy(chance, "id")
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    often = settle(known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(total), "languages")
+    share = min(per_language, max(1, total // max(1, often.count())))
+    chance = F.pmod(F.xxhash64(F.lit(5), "id", "text"), F.lit(1 << 40))
     # three times the share that is wanted, by the same hash, so that no language's rows need meet
-    likely = known.select("id", "lang").join(often, "lang").where(chance < F.lit(float(1 << 40)) * 3 * share / F.col("n"))
-    ids = settle(likely.withColumn("k", F.row_number().over(order)).where(F.col("k") <= share).select("id", "lang").distinct(), "sample")
-    picked = known.join(ids, ["id", "lang"])
-    return picked.groupBy("id", "lang").agg(F.min("text").alias("text"))
+    likely = known.join(often, "lang").where(chance < F.lit(float(1 << 40)) * 3 * share / F.col("n")).select("id", "lang", "text").distinct()
+    order = W.partitionBy("lang").orderBy(chance, "id", "text")
+    return likely.withColumn("k", F.row_number().over(order)).where(F.col("k") <= share).drop("k")
 
 
 def _features_of(dimensions: int):
@@ -136,7 +136,7 @@ def _features_of(dimensions: int):
                 x = features(text, dimensions)
                 if x is not None:
                     at = np.flatnonzero(x).astype(np.uint16)
-                    rows.append((str(i), lang, at.tobytes(), x[at].tobytes()))
+                    rows.append((i or "", lang, at.tobytes(), x[at].tobytes()))
             yield pd.DataFrame(rows, columns=["id", "lang", "at", "value"])
 
     return run

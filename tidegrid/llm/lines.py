@@ -21,30 +21,36 @@ def _digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def boilerplate(pages: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, contents: bool = False) -> DataFrame:
     """(host, lines): digests of the lines that go, for each host that has any.
 
     pages has (host, text).  A line is boilerplate if more than ratio of the host's
     pages, and at least least_pages, contain it; the method is the ratio alone, and the default only asks for a
-    second page.  Blank lines never are.  At most
+    second page.  contents: pages of equal text count as one, as totals and for a line, so that copies of a page don't
+    make its lines frequent.  Blank lines never are.  At most
     (lines per page) / ratio lines of a host can pass, so the list stays short however large the host is.
     """
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
-    lines = pages.where("text is not null").select("host", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where(F.trim("line") != "")
-    counts = lines.select("host", _digest(F.col("line")).alias("line")).groupBy("host", "line").agg(F.count("*").alias("with_line")).where(F.col("with_line") >= least_pages)
+    page = _digest(F.col("text")) if contents else F.lit(None).cast("binary")
+    each = pages.select("host", "text", page.alias("page"))
+    lines = each.where("text is not null").select("host", "page", F.explode(F.array_distinct(F.split("text", "\n", -1))).alias("line")).where(F.trim("line") != "")
+    lines, each = lines.select("host", "page", _digest(F.col("line")).alias("line")), each.select("host", "page")
+    if contents:
+        lines, each = lines.distinct(), each.distinct()
+    totals = each.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = lines.groupBy("host", "line").agg(F.count("*").alias("with_line")).where(F.col("with_line") >= least_pages)
     often = counts.join(totals.withColumnRenamed("host", "h"), F.col("host").eqNullSafe(F.col("h"))).where(F.col("with_line") > ratio * F.col("pages"))
     return often.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, host_col: str = "source", text_col: str = "text", out_col: str | None = None) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, ratio: float = RATIO, least_pages: int = LEAST_PAGES, host_col: str = "source", text_col: str = "text", out_col: str | None = None, contents: bool = False) -> DataFrame:
     """docs with text_col (or, if named, a new column out_col) without its host's boilerplate lines.
 
     Every row and all other columns stay.  A null text stays null, a text of nothing but
     boilerplate becomes empty; a null host is a host.  Lines end at "\\n"; repeated rows
-    are pages of their own.  An empty table gives an empty one.
+    are pages of their own (with contents: one page).  An empty table gives an empty one.
     """
     # settled, so that the planner knows the list's size and sends it to the pages if it is small enough, rather than pages to it
-    often = settle(boilerplate(docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")), ratio, least_pages), "boilerplate")
+    often = settle(boilerplate(docs.select(F.col(host_col).alias("host"), F.col(text_col).alias("text")), ratio, least_pages, contents), "boilerplate")
     names = ["tg_host", "tg_lines"]
     while set(names) & set(docs.columns):
         names = [n + "_" for n in names]

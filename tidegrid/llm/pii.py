@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -364,8 +366,9 @@ def all_spans(texts: list[str], model: CRF, words: Words | None = None) -> list[
     done = []
     for text, more in zip(texts, added_spans(texts, model, words), strict=True):
         base = base_spans(text)
-        extra = [x for x in more if not any(b[0] < x[3] and x[0] < b[3] for b in base)]
-        done.append((base, sorted(base + extra)))
+        starts, reach = [b[0] for b in base], list(accumulate((b[3] for b in base), max, initial=0))
+        # of the base spans that start before an added one ends, the one that reaches furthest tells whether any overlaps it
+        done.append((base, sorted(base + [x for x in more if reach[bisect_left(starts, x[3])] <= x[0]])))
     return done
 
 
@@ -373,26 +376,27 @@ def find(docs: DataFrame, model: CRF | None = None, id_col: str = "doc_id", text
     """(id_col, base, found), one row per document row: arrays of (start, rank, kind, end) by start, then kind.
 
     base are the patterns' spans, found those and the CRF's.  Places are code points, ends
-    exclusive.  Null and empty texts have none; a null id is returned as it is; repeated rows are each
+    exclusive.  Null and empty texts have none; ids of any type are returned as they are, null too; repeated rows are each
     returned; an empty table gives an empty one.
     """
     model = model or default_model()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    each = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(model)
-        for f in frames:
-            at = 0
-            while at < len(f):
-                n, size = 0, 0
-                while at + n < len(f) and n < texts_at_once and (n == 0 or size < 4_000_000):
-                    size += len(f["text"].iat[at + n] or "")
-                    n += 1
-                part = f.iloc[at : at + n]
-                at += n
-                made = all_spans([t or "" for t in part["text"]], model, words)
-                rows = lambda k, made=made: [[dict(zip(("start", "rank", "kind", "end"), s, strict=True)) for s in m[k]] for m in made]
-                yield pd.DataFrame({"id": part["id"], "base": rows(0), "found": rows(1)})
+        for batch in batches:
+            texts, at = batch.column(1), 0
+            while at < batch.num_rows:
+                part, size = [], 0
+                while at + len(part) < batch.num_rows and len(part) < texts_at_once and (not part or size < 4_000_000):
+                    part.append(texts[at + len(part)].as_py() or "")
+                    size += len(part[-1])
+                made = all_spans(part, model, words)
+                rows = lambda k, made=made: pa.array([[dict(zip(("start", "rank", "kind", "end"), s, strict=True)) for s in m[k]] for m in made], pa.list_(each))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), rows(0), rows(1)], ["id", "base", "found"])
+                at += len(part)
 
     spans = "array<struct<start:int,rank:int,kind:string,end:int>>"
     field = docs.select(F.col(id_col).alias("id")).schema[0].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(run, f"id {field}, base {spans}, found {spans}").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {field}, base {spans}, found {spans}").withColumnRenamed("id", id_col)

@@ -9,9 +9,10 @@ and a changed rule costs its own column only.  All of it is DataFrame functions.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
@@ -47,7 +48,7 @@ MORE_RULES = (
     Rule("pem", 1, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----", base=False),
     Rule("github", 1, r"\bgh[pousr]_[A-Za-z0-9]{36}\b", base=False),
     Rule("slack", 1, r"\bxox[abprs]-[A-Za-z0-9-]{10,}", base=False),
-    Rule("jwt", 1, r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", base=False),
+    Rule("jwt", 2, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", base=False),  # from the start of a run only, which is read once
     Rule("urlpass", 1, r"\b[a-z][a-z0-9+]{1,15}://[^\s/:@]{1,64}:[^\s/:@]{1,64}@", base=False),
 )
 RULES = BASE_RULES + MORE_RULES
@@ -60,21 +61,19 @@ def spans_of(text: Column, rule: Rule) -> Column:
     """Array of (start, end) of a rule's matches, in code points, end exclusive.
 
     The texts between matches and the matches themselves, put end to end, are the
-    whole text; adding up their lengths gives the places.
+    whole text, so running sums of their lengths give the places. The sums are made by doubling (first each length
+    plus its neighbour's, then plus that two places before, four, ...): n log n, where an array that grows by one
+    in a fold would be copied n times.
     """
     matches = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     keys = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
     gaps = F.split(text, rule.pattern, -1)
-    parts = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), F.transform(matches, F.length).alias("match"), F.transform(keys, F.length).alias("key"))
-
-    def step(at: Column, x: Column) -> Column:
-        start = at["at"] + x["gap"]
-        end = start + x["match"]
-        found = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(F.coalesce(end, start).alias("at"), F.when(x["key"] >= rule.least, F.concat(at["found"], found)).otherwise(at["found"]).alias("found"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found"))
-    return F.when(F.regexp_like(text, F.lit(rule.pattern)), F.aggregate(parts, start, step, lambda at: at["found"])).otherwise(F.array().cast(SPANS))
+    own = F.zip_with(F.transform(gaps, F.length), F.transform(matches, F.length), lambda gap, match: gap + match)  # null after the last match
+    steps = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda step: step < F.size(matches))
+    ends = F.aggregate(steps, own, lambda sums, step: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - step), F.lit(0))))
+    parts = F.arrays_zip(ends.alias("end"), F.transform(matches, F.length).alias("match"), F.transform(keys, F.length).alias("key"))
+    found = F.transform(F.filter(parts, lambda x: x["key"] >= rule.least), lambda x: F.struct((x["end"] - x["match"]).alias("start"), x["end"].alias("end")))
+    return F.when(F.regexp_like(text, F.lit(rule.pattern)), found).otherwise(F.array()).cast(SPANS)
 
 
 def blobs_of(files: DataFrame, path_col: str, text_col: str) -> DataFrame:
@@ -107,8 +106,8 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return now.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(found))).alias("found"))
 
 
-def scan_files(files: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "path", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(result, new ledger rows).
+def scan_files(files: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, path_col: str = "path", text_col: str = "text", known: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(result, new ledger rows). known: the ledger has all blobs of files, none is scanned.
 
     result: (path, blob, found) for every row of files, found being all its spans
     (empty array: none).  Null texts are the empty blob; a null path is a path; rows that
@@ -116,8 +115,8 @@ def scan_files(files: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     ledger rows to the ledger to skip their blobs next time.
     """
     view = blobs_of(files, path_col, text_col)
-    new = scan(view, ledger, rules)
-    whole = new if ledger is None else ledger.select("blob", "rule", "spans").join(view.select("blob"), "blob", "left_semi").unionByName(new)
+    new = scan(view.limit(0) if known else view, ledger, rules)
+    whole = new if ledger is None else ledger.select("blob", "rule", "spans") if known else ledger.select("blob", "rule", "spans").join(view.select("blob"), "blob", "left_semi").unionByName(new)
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     # blobs with findings are few and some have very many paths: the former are repeated so that the latter meet them in several tasks
     spread = findings(whole, rules).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -126,6 +125,31 @@ def scan_files(files: DataFrame, ledger: DataFrame | None = None, rules: tuple[R
     return result, new
 
 
+class Ledger:
+    """A ledger in a folder: a folder of Parquet files for each run, which counts once Spark has marked it as whole.
+
+    A run writes what it has scanned and then reads findings from the ledger, so texts are scanned once, and
+    a run that fails half-way leaves nothing that later ones believe.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def rows(self) -> DataFrame | None:
+        """(blob, rule, spans) of all finished runs; None before the first."""
+        jvm, jsc = self.spark._jvm, self.spark.sparkContext._jsc
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/run=*/_SUCCESS")
+        done = at.getFileSystem(jsc.hadoopConfiguration()).globStatus(at) or []
+        runs = sorted(x.getPath().getParent().toString() for x in done)
+        return self.spark.read.schema(f"blob string, rule string, spans {SPANS}").parquet(*runs) if runs else None
+
+    def scan(self, files: DataFrame, rules: tuple[Rule, ...] = RULES, path_col: str = "path", text_col: str = "text") -> DataFrame:
+        """scan_files()' result; what is new is written to the ledger first."""
+        _, new = scan_files(files, self.rows(), rules, path_col, text_col)
+        new.write.parquet(f"{self.path}/run={uuid.uuid4().hex}")
+        return scan_files(files, self.rows(), rules, path_col, text_col, known=True)[0]
+
+
 def spell(found: Column) -> Column:
     """kind:start:end of each span, comma-joined."""
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

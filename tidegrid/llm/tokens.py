@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,19 +77,20 @@ def write_token_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY,
     store, at = _open(path)
     store.create_dir(at, recursive=True)  # there even if no task runs
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, at = _open(path)
         name, n = f"tokens-{uuid.uuid4().hex}.bin", 0
         with store.open_output_stream(f"{at}/{name}") as out:
-            for f in frames:
-                for lo in range(0, len(f), 200):
-                    part = f.iloc[lo : lo + 200]
-                    for text in part["text"]:
-                        out.write(np.array([*encode(text, vocabulary), end], kind).tobytes())
-                    yield pd.DataFrame({"file": name, "ordinal": np.arange(n, n + len(part)), "id": part["id"].astype("Int64")})
-                    n += len(part)
-
-    made = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).mapInPandas(run, "file string, ordinal long, id long")
+            for batch in batches:
+                for lo in range(0, batch.num_rows, 200):
+                    part = batch.slice(lo, 200)
+                    for text in part.column(1):
+                        out.write(np.array([*encode(text.as_py(), vocabulary), end], kind).tobytes())
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * part.num_rows), pa.array(np.arange(n, n + part.num_rows)), part.column(0)], ["file", "ordinal", "id"])
+                    n += part.num_rows
+
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    made = rows.mapInArrow(run, f"file string, ordinal long, id {rows.schema['id'].dataType.simpleString()}")
     return settle(made, "manifest")
 
 
@@ -133,7 +133,7 @@ def count_tokens(spark: SparkSession, path: str, end: int, files: DataFrame | No
 def document_tokens(docs: DataFrame, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(id_col, n_tokens), one row per document row, by way of flat token files in the shared folder.
 
-    Null and empty texts have 0 tokens; a null id is returned as it is; repeated rows are each returned;
+    Null and empty texts have 0 tokens; ids of any type are returned as they are, null too; repeated rows are each returned;
     an empty table gives an empty one.
     """
     spark = docs.sparkSession
