@@ -14,8 +14,6 @@ from tidegrid.llm.common import settle
 
 #: Two languages whose shares are closer than this are one text's in equal parts; it is rejected as neither.
 UNDECIDED = 0.02
-#: Pages that must hold a line before it can go: this stage comes before near-dedup, and on a small source a page and its few copies would otherwise erase each other.
-PAGES = 5
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -32,8 +30,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that more than a tenth of their source's documents, and at least PAGES, hold go; every document stays."""
-    return lines.drop_boilerplate(docs.select(*COLUMNS), least_pages=PAGES).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Lines that more than a tenth of their source's different texts hold go; every document stays.
+
+    Near-dedup comes later, so equal texts count as one page here: copies don't make their own lines frequent.
+    """
+    return lines.drop_boilerplate(docs.select(*COLUMNS), contents=True).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
