@@ -48,9 +48,12 @@ def test_frames(spark):
 
 def test_transfer(spark):
     good = "CHECK_BLOB_BEGIN\tx\n" + base64.b64encode(gzip.compress(b"inside\n")).decode() + "\nCHECK_BLOB_END\n"
-    df = spark.createDataFrame([(0, "a\n" + good + "z"), (1, "CHECK_BLOB_BEGIN\tx\n!!\nCHECK_BLOB_END\n"), (2, None)], "i int, t string")
-    got = {r["i"]: r["x"] for r in df.select("i", probes.expand_transfer("t").alias("x")).collect()}
-    assert got[0].startswith("a\ninside\n") and got[1] is None and got[2] is None
+    bomb = "CHECK_BLOB_BEGIN\tx\n" + base64.b64encode(gzip.compress(bytes(probes.MOST_INFLATED + 1))).decode() + "\nCHECK_BLOB_END\n"
+    cut = "CHECK_BLOB_BEGIN\tx\n" + base64.b64encode(gzip.compress(b"inside\n" * 99)[:-9]).decode() + "\nCHECK_BLOB_END\n"
+    texts = ["a\n" + good + "z", "CHECK_BLOB_BEGIN\tx\n!!\nCHECK_BLOB_END\n", None, good + "b\n" + good, "plain", "a\n" + bomb, "a\n" + cut, good + cut]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r["i"]: r["x"] for r in df.select("i", probes.expand_transfer(F.col("t")).alias("x")).collect()}
+    assert got == {0: "a\ninside\nz", 1: None, 2: None, 3: "inside\nb\ninside\n", 4: "plain", 5: None, 6: None, 7: None}
 
 
 def test_containers(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -104,18 +106,17 @@ def squeezed(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[^a-z0-9]", "")
 
 
+def _segment_regex(segment: str) -> str:
+    """One name of a pattern: stars stand for any characters of a name, two of them for folders too."""
+    kinds = {"*": "[^/]*", "?": "[^/]", "**": ".*"}
+    return "".join(kinds.get(part) or re.escape(part) for part in re.split(r"(\*\*|\*|\?)", segment))
+
+
 def glob_regex(pattern: str) -> str:
     """Regular expression of an Ant-style pattern: **/ any folders, * and ? within one name."""
-    out, i = "", 0
-    while i < len(pattern):
-        if pattern.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif pattern.startswith("**", i):
-            out, i = out + ".*", i + 2
-        else:
-            c = pattern[i]
-            out, i = out + {"*": "[^/]*", "?": "[^/]"}.get(c, "\\" + c if not c.isalnum() and c != "_" else c), i + 1
-    return f"^{out}$"
+    *folders, name = pattern.split("/")
+    any_depth = [_segment_regex(f[:-2]) + "(?:.*/)?" if f.endswith("**") else _segment_regex(f) + "/" for f in folders]
+    return f"^{''.join(any_depth)}{_segment_regex(name)}$"
 
 
 def stable_key(*columns: Column) -> Column:

@@ -79,6 +79,39 @@ def attribute(flows: DataFrame, observations: DataFrame) -> DataFrame:
     return out.select("f.*", F.when(n == 1, F.col("p.o_pid")).alias("remote_pid"), F.when(n == 1, F.col("p.o_process")).alias("remote_process"), F.when(n == 1, F.col("p.o_app")).alias("remote_app"), confidence.alias("resolution"), F.coalesce("evidence", F.lit(0)).alias("evidence"), reason.alias("reason"))
 
 
+#: A check follows so many connections, takes so many sockets of one frame of a peer, and remembers so many observations.
+MOST_FLOWS, MOST_SOCKETS, MOST_OBSERVATIONS = 100, 400, 2000
+TUPLE = ["local_ip", "local_port", "peer_ip", "peer_port", "protocol"]
+
+
+def buffered_matches(events: DataFrame, observations: int = MOST_OBSERVATIONS, flows: int = MOST_FLOWS, sockets: int = MOST_SOCKETS) -> DataFrame:
+    """(check, ref, other, n, status): what each sample of a connection finds new in its check's buffer of peer observations.
+
+    events: (check, at, seq, kind, frame, local_ip, local_port, peer_ip, peer_port, protocol, context, ref) in the order of
+    (at, seq). A peer event is numbered n within its check and stays among the last observations; of one
+    frame the first sockets are taken, each further one gives a row "socket left out". A flow event
+    finds the observations of the reversed tuple that are still there and that came after the flow's last sample; after
+    a change of context, all that are there: "seen", with the observation's ref as other. Only the first flows
+    of a check are followed, the first sample of each further one gives "flow left out".
+    streaming.flows.buffered() gives the same rows from a stream.
+    """
+    order = W.partitionBy("check").orderBy("at", "seq")
+    e = events.withColumn("place", F.when(F.col("kind") == "peer", F.row_number().over(W.partitionBy("check", "kind", "frame").orderBy("at", "seq"))))
+    e = e.withColumn("taken", (F.col("place") <= sockets).cast("long")).withColumn("total", F.coalesce(F.sum("taken").over(order.rowsBetween(W.unboundedPreceding, W.currentRow)), F.lit(0)))
+    peers = e.where("taken = 1").select("check", *[F.col(k).alias(f"o_{k}") for k in TUPLE], F.col("total").alias("n"), F.col("ref").alias("other"))
+    samples = e.where("kind = 'flow'").withColumn("first", F.min(F.struct("at", "seq")).over(W.partitionBy("check", *TUPLE)))
+    number = samples.select("check", *TUPLE, "first").distinct().withColumn("number", F.row_number().over(W.partitionBy("check").orderBy("first")))
+    followed = samples.join(number.select("check", *TUPLE, "number"), ["check", *TUPLE])
+    mine = W.partitionBy("check", *TUPLE).orderBy("at", "seq")
+    cursor = F.when(F.lag("context").over(mine).eqNullSafe(F.col("context")), F.lag("total").over(mine))
+    asked = followed.where(F.col("number") <= flows).withColumn("low", F.greatest(F.coalesce(cursor, F.lit(0)), F.col("total") - observations))
+    meets = [asked["check"] == peers["check"], *[F.col(a) == F.col(f"o_{b}") for a, b in (("local_ip", "peer_ip"), ("local_port", "peer_port"), ("peer_ip", "local_ip"), ("peer_port", "local_port"), ("protocol", "protocol"))]]
+    seen = asked.join(peers, meets).where((F.col("n") > F.col("low")) & (F.col("n") <= F.col("total"))).select(asked["check"], "ref", "other", "n", F.lit("seen").alias("status"))
+    none = [F.lit(None).cast(peers.schema["other"].dataType).alias("other"), F.lit(None).cast("long").alias("n")]
+    late = followed.where((F.col("number") > flows) & (F.struct("at", "seq") == F.col("first"))).select("check", "ref", *none, F.lit("flow left out").alias("status"))
+    return seen.unionByName(late).unionByName(e.where("taken = 0").select("check", "ref", *none, F.lit("socket left out").alias("status")))
+
+
 def keep_evidence(observations: DataFrame, owner: Sequence[str], at: str | Sequence[str], first: int = 2, last: int = 8) -> DataFrame:
     """The first and last observations of each owner, by one or more columns, with place, their number from the first."""
     order = [at] if isinstance(at, str) else list(at)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.functions import dates, net, strings
-from tidegrid.operators import flows, graph
+from tidegrid.operators import flows, graph, search
 from tidegrid.operators import relational as rel
 from tidegrid.streaming import flows as streams
 
@@ -491,18 +491,33 @@ def bfs_distance(spark, d):
     return nodes.join(far, F.col("id") == F.col("node")).groupBy("type", "distance").agg(F.count("*").alias("nodes"))
 
 
-@query("""
-WITH a AS (SELECT r_regionkey, n_nationkey FROM region JOIN nation ON n_regionkey = r_regionkey WHERE r_name = 'ASIA')
-SELECT 'region:' || r_regionkey AS start_id, 'supplier:' || s_suppkey AS end_id, 2 AS length, 'EXACT' AS confidence, count(*) AS paths FROM a JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL
-UNION ALL SELECT 'region:' || r_regionkey, 'supplier:' || s, 4, 'INFERRED', count(*) FROM a JOIN customer ON c_nationkey = n_nationkey JOIN orders ON o_custkey = c_custkey
- JOIN (SELECT DISTINCT l_orderkey, l_suppkey AS s FROM lineitem) ON l_orderkey = o_orderkey GROUP BY ALL
+PATHS_SQL = """
+hops AS (SELECT 'region:' || n_regionkey AS r, 'nation:' || n_nationkey AS n FROM nation),
+orders_of AS (SELECT 'nation:' || c_nationkey AS n, 'customer:' || c_custkey AS c, 'order:' || o_orderkey AS o FROM customer JOIN orders ON o_custkey = c_custkey),
+items_of AS (SELECT DISTINCT 'order:' || l_orderkey AS o, 'supplier:' || l_suppkey AS s FROM lineitem),
+every AS (
+ SELECT r AS start_id, 'supplier:' || s_suppkey AS end_id, 2 AS length, 'EXACT' AS confidence, r || '>HAS>' || n || '>' || n || '>HAS>supplier:' || s_suppkey AS edges FROM hops JOIN supplier ON n = 'nation:' || s_nationkey
+ UNION ALL SELECT r, s, 4, 'INFERRED', r || '>HAS>' || n || '>' || n || '>HAS>' || c || '>' || c || '>PLACED>' || o || '>' || o || '>SUPPLIED_BY>' || s FROM hops JOIN orders_of USING (n) JOIN items_of USING (o))
+"""
+
+
+@query(f"WITH {PATHS_SQL} SELECT start_id, end_id, length, confidence, count(*) AS paths FROM every GROUP BY ALL")
+def path_counts(spark, d):
+    """All paths of up to five steps from the regions to suppliers along the references, counted by their ends and weakest confidence."""
+    nodes, edges = star_nodes(spark, d), star_edges(spark, d)
+    found, _ = graph.paths(nodes, graph.adjacency(edges, directed=True), nodes.where("type = 'REGION'"), ["SUPPLIER"], depth=5, most=None)
+    return found.groupBy("start_id", "end_id", "length", "confidence").agg(F.count("*").alias("paths"))
+
+
+@query(f"""
+WITH {PATHS_SQL}
+SELECT start_id, end_id, length, confidence, edges, n > 50 AS truncated FROM (SELECT *, count(*) OVER (PARTITION BY start_id) AS n, row_number() OVER (PARTITION BY start_id ORDER BY confidence = 'EXACT' DESC, length, edges) AS k FROM every) WHERE k <= 50
 """)
 def bounded_paths(spark, d):
-    """All paths of up to five steps from ASIA to suppliers along the references, with their weakest confidence."""
+    """The first fifty paths of up to five steps from each region to suppliers: strong confidence first, then short ones, then by their edges."""
     nodes, edges = star_nodes(spark, d), star_edges(spark, d)
-    start = table(spark, d, "region").where("r_name = 'ASIA'").select(F.concat(F.lit("region:"), F.col("r_regionkey").cast("string")).alias("id"))
-    found, _ = graph.paths(nodes, graph.adjacency(edges, directed=True), start, ["SUPPLIER"], depth=5, most=None)
-    return found.groupBy("start_id", "end_id", "length", "confidence").agg(F.count("*").alias("paths"))
+    found = search.best_paths(nodes, graph.adjacency(edges, directed=True), nodes.where("type = 'REGION'"), ["SUPPLIER"], depth=5)
+    return found.select("start_id", "end_id", "length", "confidence", F.array_join("edges", ">").alias("edges"), "truncated")
 
 
 @query("""

@@ -107,36 +107,22 @@ def routing_forms(spark, d):
 
 
 # processes and texts -----------------------------------------------------------------------------
-#: (name, command, type, jar, port, middleware, command without secrets) of the forms of a process.
-PROCESSES = [
-    ("java", "/usr/bin/java -Xmx1g -jar /srv/shop.jar --server.port=8081 --db.password=x1", "Java Jar", "shop.jar", 8081, False, "/usr/bin/java -Xmx1g -jar /srv/shop.jar --server.port=8081 --db.password=***"),
-    ("java", "java -Dcatalina.base=/opt/tomcat_pay org.apache.catalina.startup.Bootstrap start", "Tomcat", None, None, False, "java -Dcatalina.base=/opt/tomcat_pay org.apache.catalina.startup.Bootstrap start"),
-    ("java", "java -cp x kafka.Kafka config/server.properties", "Kafka", None, None, True, "java -cp x kafka.Kafka config/server.properties"),
-    ("redis-server", "/usr/bin/redis-server *:6379 --requirepass 1", "Redis", None, None, True, "/usr/bin/redis-server *:6379 --requirepass 1"),
-    ("nginx", "nginx: worker process", "Nginx", None, None, False, "nginx: worker process"),
-    ("beam.smp", "/usr/lib/erlang/beam.smp -W w -s rabbit boot -noshell", "RabbitMQ", None, None, True, "/usr/lib/erlang/beam.smp -W w -s rabbit boot -noshell"),
-    ("python3", "python3 app.py --port 99999", "Python", None, None, False, "python3 app.py --port 99999"),
-    ("node", "node /srv/kibana/bin/kibana -p 5601", "Kibana", None, 5601, True, "node /srv/kibana/bin/kibana -p 5601"),
-    ("sh", "sh -c 'curl http://u:secret@h.example.com/'", "Other", None, None, False, "sh -c 'curl http://***@h.example.com/'"),
-    ("postgres", "postgres: writer process", "PostgreSQL", None, None, True, "postgres: writer process"),
-    ("java", "java -Dserver.port=0 -cp . Main", "Other Java", None, None, False, "java -Dserver.port=0 -cp . Main"),
-]
-
-
-def said(x) -> str:
-    return "NULL" if x is None else str(x) if isinstance(x, bool | int) else "'" + x.replace("'", "''") + "'"
-
-
-@query(f"""
-WITH f(i, name, command, type, jar, port, middleware, safe) AS (VALUES {", ".join(f"({i}, {', '.join(map(said, p))})" for i, p in enumerate(PROCESSES))})
-SELECT type, jar, port, middleware, safe, count(*) AS processes, min(p_partkey) AS first FROM part JOIN f ON p_partkey % {len(PROCESSES)} = i GROUP BY ALL
+@query("""
+WITH f AS (SELECT p_partkey, regexp_extract(p_container, '^[A-Z]+') AS form, replace(lower(p_name), ' ', '-') AS app, p_size + 8000 AS listen, lower(replace(p_brand, '#', 'x')) AS word, p_mfgr AS site FROM part)
+SELECT p_partkey, CASE form WHEN 'SM' THEN 'Java Jar' WHEN 'LG' THEN 'Tomcat' WHEN 'MED' THEN 'Redis' WHEN 'JUMBO' THEN 'Python' ELSE 'Other' END AS type,
+ CASE form WHEN 'SM' THEN app || '.jar' END AS jar, CASE WHEN form IN ('SM', 'JUMBO') THEN listen END::INTEGER AS port, form = 'MED' AS middleware,
+ CASE form WHEN 'SM' THEN 'java -jar /data/' || app || '.jar --server.port=' || listen || ' --store.password=***' WHEN 'LG' THEN 'java -Dcatalina.base=/data/tomcat_' || app || ' org.apache.catalina.startup.Bootstrap start'
+  WHEN 'MED' THEN '/data/bin/redis-server *:' || listen WHEN 'JUMBO' THEN 'python3 /data/' || app || '.py --port ' || listen ELSE 'fetch https://***@' || app || '.example.com/' END AS safe FROM f
 """)
 def process_forms(spark, d):
-    """Types, jars, ports and safe command lines of processes."""
-    f = spark.createDataFrame([(i, *p[:2]) for i, p in enumerate(PROCESSES)], "i int, name string, command string")
-    s = table(spark, d, "part").select("p_partkey", (c("p_partkey") % len(PROCESSES)).cast("int").alias("i")).join(F.broadcast(f), "i")  # one row a form
+    """Types, jars, ports and safe command lines of processes, whose commands are made of the parts' names, sizes and brands, their form of the container."""
+    s = table(spark, d, "part").select("p_partkey", F.regexp_extract("p_container", "^[A-Z]+", 0).alias("form"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")).alias("app"), (c("p_size") + 8000).cast("string").alias("listen"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("x"))).alias("word"))
+    j = lambda *x: F.concat(*[F.col(y[1:]) if y.startswith("$") else F.lit(y) for y in x])
+    command = F.when(c("form") == "SM", j("java -jar /data/", "$app", ".jar --server.port=", "$listen", " --store.password=", "$word")).when(c("form") == "LG", j("java -Dcatalina.base=/data/tomcat_", "$app", " org.apache.catalina.startup.Bootstrap start"))
+    command = command.when(c("form") == "MED", j("/data/bin/redis-server *:", "$listen")).when(c("form") == "JUMBO", j("python3 /data/", "$app", ".py --port ", "$listen")).otherwise(j("fetch https://", "$word", ":", "$listen", "@", "$app", ".example.com/"))
+    s = s.withColumn("command", command).withColumn("name", strings.base_name(F.split_part("command", F.lit(" "), F.lit(1))))
     kind = strings.process_type(c("name"), c("command"))
-    return s.groupBy(kind.alias("type"), strings.jar_name(c("command")).alias("jar"), strings.command_port(c("command")).alias("port"), strings.is_middleware(kind).alias("middleware"), strings.redact_arguments(c("command")).alias("safe")).agg(F.count("*").alias("processes"), F.min("p_partkey").alias("first"))
+    return s.select("p_partkey", kind.alias("type"), strings.jar_name(c("command")).alias("jar"), strings.command_port(c("command")).alias("port"), strings.is_middleware(kind).alias("middleware"), strings.redact_arguments(c("command")).alias("safe"))
 
 
 @query("""

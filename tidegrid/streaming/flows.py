@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections import defaultdict, deque
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tidegrid.operators import catalog
+from tidegrid.operators import flows as batch
 
 
 def read_events(spark: SparkSession, folder: str, schema, names: str = "*.parquet") -> DataFrame:
@@ -39,6 +44,66 @@ def attributed(flows: DataFrame, peers: DataFrame, late: str = "10 minutes", sla
     return f.join(p, F.expr(f"f.local_ip = p.peer_ip and f.local_port = p.peer_port and f.peer_ip = p.local_ip and f.peer_port = p.local_port and p.at between f.at - interval {slack} and f.at + interval {slack}"))
 
 
+BUFFER_STATE = "state string"
+
+
+def buffered(events: DataFrame, observations: int = batch.MOST_OBSERVATIONS, flows: int = batch.MOST_FLOWS, sockets: int = batch.MOST_SOCKETS, late: str = "10 minutes", idle: str = "1 hour") -> DataFrame:
+    """operators.flows.buffered_matches() as a stream, in append mode: a check's state is its last observations, and the cursors of the connections it follows.
+
+    Events of a check must come in order of (at, seq) from one micro-batch to the next. The state has at most observations
+    tuples with their numbers and refs, flows cursors and one frame's count; it is
+    dropped when the watermark is idle past the check's last event. A restarted stream goes on at the cursors.
+    """
+    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
+    ref = events.schema["ref"].dataType.simpleString()
+
+    def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = json.loads(state.get[0]) if state.exists else {"n": 0, "kept": [], "cursors": [], "frames": {}, "over": []}
+        kept = deque((tuple(t), n, other) for t, n, other in held["kept"])
+        index: dict[tuple, deque] = defaultdict(deque)
+        for t, n, other in kept:
+            index[t].append((n, other))
+        cursors, over, count, n, out, last = {tuple(k): (n, c) for k, n, c in held["cursors"]}, {tuple(k) for k in held["over"]}, held["frames"], held["n"], [], 0
+        rows = pd.concat(list(frames)).sort_values(["at", "seq"], kind="stable")
+        last = int(rows["at"].max().timestamp() * 1000)
+        for x in rows.itertuples(index=False):
+            own, back = (x.local_ip, int(x.local_port), x.peer_ip, int(x.peer_port), x.protocol), (x.peer_ip, int(x.peer_port), x.local_ip, int(x.local_port), x.protocol)
+            other_ref = None if pd.isna(x.ref) else x.ref.item() if hasattr(x.ref, "item") else x.ref
+            if x.kind == "peer":
+                frame = str(x.frame)
+                count = {frame: count.get(frame, 0) + 1}  # frames of a check come one after the other
+                if count[frame] > sockets:
+                    out.append((key[0], other_ref, None, None, "socket left out"))
+                    continue
+                if len(kept) >= observations:
+                    old, _, _ = kept.popleft()
+                    index[old].popleft()
+                    if not index[old]:
+                        del index[old]
+                n += 1
+                kept.append((own, n, other_ref))
+                index[own].append((n, other_ref))
+            elif own in cursors or len(cursors) < flows:
+                context = None if pd.isna(x.context) else str(x.context)
+                seen, before = cursors.get(own, (0, context))
+                low = seen if before == context else 0
+                out += [(key[0], other_ref, other, k, "seen") for k, other in index.get(back, ()) if k > low]
+                cursors[own] = (n, context)
+            elif own not in over:
+                over.add(own)
+                out.append((key[0], other_ref, None, None, "flow left out"))
+        state.update((json.dumps({"n": n, "kept": list(kept), "cursors": [(k, *v) for k, v in cursors.items()], "frames": count, "over": sorted(over)}),))
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + idle_ms)
+        yield pd.DataFrame(out, columns=["check", "ref", "other", "n", "status"]).astype({"n": "Int64"})
+
+    kind = events.schema["check"].dataType.simpleString()
+    timed = events.withWatermark("at", late)
+    return timed.groupBy("check").applyInPandasWithState(step, f"check {kind}, ref {ref}, other {ref}, n long, status string", BUFFER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_once(df: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process everything that is there and stop; what was processed is remembered in checkpoint."""
     q = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(handle).trigger(availableNow=True).start()
