@@ -35,7 +35,7 @@ _tables: dict[str, np.ndarray] = {}
 def _letters() -> np.ndarray:
     """Code point -> its own number if it is a letter, else 0."""
     if not _tables:
-        _tables["letters"] = np.array([i if chr(i).isalpha() else 0 for i in range(0x110000)], np.uint32)
+        _tables["letters"] = np.fromiter((i if chr(i).isalpha() else 0 for i in range(0x110000)), np.uint32, 0x110000)
     return _tables["letters"]
 
 

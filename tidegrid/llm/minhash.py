@@ -35,7 +35,7 @@ BANDS, ROWS = 48, 6
 #: Sizes of sets within this ratio are one class when prefixes are matched.
 SIZE_RATIO = 1.02
 #: Words whose hashes a worker keeps.
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 150_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33, _S32, _LOW = np.uint64(33), np.uint64(32), np.uint64(0xFFFFFFFF)
 

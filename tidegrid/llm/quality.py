@@ -40,7 +40,7 @@ def _kinds() -> np.ndarray:
     if not _tables:
         white = frozenset(" \t\n\x0b\x0c\r")
         of = lambda c: 0 if c in white else 2 if c.isupper() else 1 if c.isalpha() else 3 if c.isdigit() else 4
-        _tables["kinds"] = np.array([of(chr(i)) for i in range(0x110000)], np.uint8)
+        _tables["kinds"] = np.fromiter((of(chr(i)) for i in range(0x110000)), np.uint8, 0x110000)
         _tables["powers"] = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, np.uint64))
     return _tables["kinds"]
 
