@@ -123,3 +123,24 @@ def stable_key(*columns: Column) -> Column:
     """Digest of a record, whatever the order its fields are named in."""
     named = sorted(columns, key=str)
     return F.sha2(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(named)]), {"ignoreNullFields": "false"}), 256)
+
+
+def location_block(content: Column, uri: Column) -> Column:
+    """(start, end) of the lines, from 0, of the first location block with these arguments; null without one or if it isn't closed.
+
+    Blanks between the arguments don't matter. Braces in quotes and comments don't count. The nesting is a running sum over lines, kept in one fold.
+    """
+    lines = F.split(content, "\r?\n", -1)
+    words = F.transform(F.filter(F.split(F.trim(uri), r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(w, r"([.*+?^$(){}|\[\]\\])", r"\\$1"))
+    opening = F.concat(F.lit(r"^[ \t]*location[ \t]+"), F.array_join(words, r"[ \t]+"), F.lit(r"(?:[ \t]*\{|[ \t]*#|[ \t]*$)"))
+    bare = F.transform(lines, lambda s: F.regexp_replace(F.regexp_replace(s, r"""\\.|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""", ""), r"#.*$", ""))
+    start = F.array_position(F.transform(lines, lambda s: F.regexp_like(s, opening)), F.lit(True)) - 1
+    count = lambda s, brace: F.length(s) - F.length(F.replace(s, F.lit(brace), F.lit("")))
+    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end"))
+
+    def step(x: Column, s: Column) -> Column:
+        depth, opened = x["depth"] + count(s, "{") - count(s, "}"), x["opened"] | s.contains("{")
+        return F.struct(depth.alias("depth"), opened.alias("opened"), (x["at"] + 1).alias("at"), F.coalesce(x["end"], F.when(opened & (depth <= 0), x["at"])).alias("end"))
+
+    after = F.aggregate(F.slice(bare, (start + 1).cast("int"), F.size(lines)), state, step, lambda x: x["end"])
+    return F.when((start >= 0) & (F.size(words) > 0), F.when(after.isNotNull(), F.struct(start.cast("int").alias("start"), (start + after).cast("int").alias("end"))))

@@ -108,18 +108,18 @@ def routing_forms(spark, d):
 
 # processes and texts -----------------------------------------------------------------------------
 @query("""
-WITH f AS (SELECT p_partkey, regexp_extract(p_container, '^[A-Z]+') AS form, replace(lower(p_name), ' ', '-') AS app, p_size + 8000 AS listen, lower(replace(p_brand, '#', 'x')) AS word, p_mfgr AS site FROM part)
-SELECT p_partkey, CASE form WHEN 'SM' THEN 'Java Jar' WHEN 'LG' THEN 'Tomcat' WHEN 'MED' THEN 'Redis' WHEN 'JUMBO' THEN 'Python' ELSE 'Other' END AS type,
- CASE form WHEN 'SM' THEN app || '.jar' END AS jar, CASE WHEN form IN ('SM', 'JUMBO') THEN listen END::INTEGER AS port, form = 'MED' AS middleware,
- CASE form WHEN 'SM' THEN 'java -jar /data/' || app || '.jar --server.port=' || listen || ' --store.password=***' WHEN 'LG' THEN 'java -Dcatalina.base=/data/tomcat_' || app || ' org.apache.catalina.startup.Bootstrap start'
-  WHEN 'MED' THEN '/data/bin/redis-server *:' || listen WHEN 'JUMBO' THEN 'python3 /data/' || app || '.py --port ' || listen ELSE 'fetch https://***@' || app || '.example.com/' END AS safe FROM f
+WITH f AS (SELECT p_partkey, p_type AS form, replace(lower(p_name), ' ', '-') AS app, p_size + 8000 AS listen, lower(replace(p_brand, '#', 'x')) AS word FROM part)
+SELECT p_partkey, CASE form WHEN 'ECONOMY' THEN 'Java Jar' WHEN 'MEDIUM' THEN 'Tomcat' WHEN 'PROMO' THEN 'Redis' WHEN 'LARGE' THEN 'Python' ELSE 'Other' END AS type,
+ CASE form WHEN 'ECONOMY' THEN app || '.jar' END AS jar, CASE WHEN form IN ('ECONOMY', 'LARGE') THEN listen END::INTEGER AS port, form = 'PROMO' AS middleware,
+ CASE form WHEN 'ECONOMY' THEN 'java -jar /data/' || app || '.jar --server.port=' || listen || ' --store.password=***' WHEN 'MEDIUM' THEN 'java -Dcatalina.base=/data/tomcat_' || app || ' org.apache.catalina.startup.Bootstrap start'
+  WHEN 'PROMO' THEN '/data/bin/redis-server *:' || listen WHEN 'LARGE' THEN 'python3 /data/' || app || '.py --port ' || listen ELSE 'fetch https://***@' || app || '.example.com/' END AS safe FROM f
 """)
 def process_forms(spark, d):
-    """Types, jars, ports and safe command lines of processes, whose commands are made of the parts' names, sizes and brands, their form of the container."""
-    s = table(spark, d, "part").select("p_partkey", F.regexp_extract("p_container", "^[A-Z]+", 0).alias("form"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")).alias("app"), (c("p_size") + 8000).cast("string").alias("listen"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("x"))).alias("word"))
+    """Types, jars, ports and safe command lines of processes, whose commands are made of the parts' names, sizes and brands, their form of the type."""
+    s = table(spark, d, "part").select("p_partkey", c("p_type").alias("form"), F.replace(F.lower("p_name"), F.lit(" "), F.lit("-")).alias("app"), (c("p_size") + 8000).cast("string").alias("listen"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("x"))).alias("word"))
     j = lambda *x: F.concat(*[F.col(y[1:]) if y.startswith("$") else F.lit(y) for y in x])
-    command = F.when(c("form") == "SM", j("java -jar /data/", "$app", ".jar --server.port=", "$listen", " --store.password=", "$word")).when(c("form") == "LG", j("java -Dcatalina.base=/data/tomcat_", "$app", " org.apache.catalina.startup.Bootstrap start"))
-    command = command.when(c("form") == "MED", j("/data/bin/redis-server *:", "$listen")).when(c("form") == "JUMBO", j("python3 /data/", "$app", ".py --port ", "$listen")).otherwise(j("fetch https://", "$word", ":", "$listen", "@", "$app", ".example.com/"))
+    command = F.when(c("form") == "ECONOMY", j("java -jar /data/", "$app", ".jar --server.port=", "$listen", " --store.password=", "$word")).when(c("form") == "MEDIUM", j("java -Dcatalina.base=/data/tomcat_", "$app", " org.apache.catalina.startup.Bootstrap start"))
+    command = command.when(c("form") == "PROMO", j("/data/bin/redis-server *:", "$listen")).when(c("form") == "LARGE", j("python3 /data/", "$app", ".py --port ", "$listen")).otherwise(j("fetch https://", "$word", ":", "$listen", "@", "$app", ".example.com/"))
     s = s.withColumn("command", command).withColumn("name", strings.base_name(F.split_part("command", F.lit(" "), F.lit(1))))
     kind = strings.process_type(c("name"), c("command"))
     return s.select("p_partkey", kind.alias("type"), strings.jar_name(c("command")).alias("jar"), strings.command_port(c("command")).alias("port"), strings.is_middleware(kind).alias("middleware"), strings.redact_arguments(c("command")).alias("safe"))

@@ -243,3 +243,39 @@ def backends(nodes: DataFrame, edges: DataFrame, most_hints: int = 8) -> DataFra
     status = F.when(c("applications").isNull(), "unresolved").when((F.size("applications") > 1) | c("weak"), "ambiguous").otherwise("exact")
     empty = F.array().cast("array<string>")
     return asked.join(exact, "endpoint", "left").join(hint, "endpoint", "left").select("endpoint", status.alias("status"), F.coalesce("applications", empty).alias("applications"), F.coalesce("hints", empty).alias("hints"))
+
+
+def retired_members(events: DataFrame, key: str, at: str = "at", kind: str = "kind") -> DataFrame:
+    """(key, state, since): how far each member has got on the way seen, retired, confirmed, absent; unknown if it was never seen.
+
+    events: (key, at, kind). The steps must come one after the other; another "seen" begins again, steps out of order count for nothing, and
+    of events at the same time a "seen" is the later one. since is the time of the last step.
+    """
+    e = events.select(F.col(key), F.col(at).alias("_at"), F.col(kind).alias("_kind"))
+    state = e.groupBy(key).agg(F.max(F.when(F.col("_kind") == "seen", F.col("_at"))).alias("t0"))
+    steps = ("retired", "confirmed", "absent")
+    for k, step in enumerate(steps):
+        # the first event of this step after the one before; members that haven't come so far have no time there
+        later = e.where(F.col("_kind") == step).join(state.select(key, F.col(f"t{k}").alias("_last")), key).where(F.col("_at") > F.col("_last"))
+        state = state.join(later.groupBy(key).agg(F.min("_at").alias(f"t{k + 1}")), key, "left")
+    last = F.coalesce(*[F.col(f"t{k}") for k in (3, 2, 1, 0)])
+    name = F.when(F.col("t3").isNotNull(), "absent").when(F.col("t2").isNotNull(), "confirmed").when(F.col("t1").isNotNull(), "retired").when(F.col("t0").isNotNull(), "seen").otherwise("unknown")
+    return state.select(key, name.alias("state"), last.alias("since"))
+
+
+def trace_origins(connections: DataFrame, assets: DataFrame, probes: DataFrame) -> DataFrame:
+    """(target, port, origin, asset, process, status): who connects to a target's port, in two phases.
+
+    connections: (target, port, remote_ip); assets: (asset, ip, ord), ip being one or several addresses; probes: (asset, dest_ip, dest_port, process),
+    what processes of an asset connect to. Phase one reduces connections to distinct addresses of targets and finds the first
+    asset of each; phase two keeps only the probes of these assets that go to a target asked for, before it attributes them.
+    status: attributed (a row a process), no process, not in assets.
+    """
+    origins = connections.where("remote_ip is not null").select("target", "port", F.col("remote_ip").alias("origin")).distinct()
+    owner = assets.select("asset", "ord", F.explode(F.filter(F.split("ip", r"[\s,]+"), lambda x: x != "")).alias("origin")).groupBy("origin").agg(F.min_by("asset", F.struct("ord", "asset")).alias("asset"))
+    known = origins.join(owner, "origin", "left")
+    wanted = known.where("asset is not null").select("asset", F.col("target").alias("dest_ip"), F.col("port").alias("dest_port")).distinct()
+    seen = probes.join(wanted, ["asset", "dest_ip", "dest_port"], "left_semi").select(F.col("asset").alias("_asset"), "dest_ip", "dest_port", "process").distinct()
+    out = known.join(seen, (F.col("asset") == F.col("_asset")) & (F.col("target") == F.col("dest_ip")) & (F.col("port") == F.col("dest_port")), "left")
+    status = F.when(F.col("asset").isNull(), "not in assets").when(F.col("process").isNull(), "no process").otherwise("attributed")
+    return out.select("target", "port", "origin", "asset", "process", status.alias("status"))
