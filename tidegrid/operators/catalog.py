@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from tidegrid.functions import net, strings
 from tidegrid.operators import relational as rel
+from tidegrid.operators.graph import settle
 
 
 def snapshot_hash(df: DataFrame) -> str:
@@ -60,8 +61,11 @@ def match_members(records: DataFrame, bindings: DataFrame) -> DataFrame:
         return bindings.join(alone, [*scope, field], "left_semi").select(*scope, field, F.col("instance_id").alias("candidate"))
 
     made = rel.tiered_match(records, [("exact", exact, [*scope, "deploy", "ip", "port"]), ("address", only("ip"), [*scope, "ip"]), ("deploy", only("deploy"), [*scope, "deploy"])], scope)
-    wanted = F.count(F.when(F.col("status") == "matched", 1)).over(W.partitionBy("candidate"))
-    made = made.withColumn("basis", F.when((F.col("status") == "matched") & (wanted > 1), "ambiguous").when(F.col("status") == "matched", F.col("tier")).when(F.col("status") == "ambiguous", "ambiguous").otherwise("new"))
+    made = settle(made, "members")
+    # claims are counted where there are any: new records have no candidate, and a first import has nothing else
+    often = made.where("status = 'matched'").groupBy(F.col("candidate").alias("_claimed")).agg(F.count("*").alias("_wanted")).where("_wanted > 1")
+    made = made.join(often, F.col("candidate") == F.col("_claimed"), "left")
+    made = made.withColumn("basis", F.when((F.col("status") == "matched") & F.col("_claimed").isNotNull(), "ambiguous").when(F.col("status") == "matched", F.col("tier")).when(F.col("status") == "ambiguous", "ambiguous").otherwise("new"))
     fresh = F.sha2(F.concat_ws("|", *scope, "deploy", "ip", "port"), 256)
     return made.select(*records.columns, F.when(F.col("basis").isin("exact", "address", "deploy"), F.col("candidate")).otherwise(fresh).alias("instance_id"), "basis")
 

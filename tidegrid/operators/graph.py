@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Confidence from weak to strong; rounds of a search between two merges.
@@ -51,28 +52,55 @@ def name_of(rank: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, CONFIDENCE)), (rank + 1).cast("int"))
 
 
-def upsert_nodes(candidates: DataFrame) -> DataFrame:
+#: Proofs that a merged node or edge carries; evidence_count says how many there are, evidence_of() gives all as a table.
+MOST_EVIDENCE = 1000
+
+
+def evidence_of(candidates: DataFrame) -> DataFrame:
+    """(id, proof): the distinct proofs of candidates (id, evidence), a row each."""
+    return candidates.select("id", F.explode("evidence").alias("proof")).distinct()
+
+
+def _proofs(candidates: DataFrame, most: int) -> DataFrame:
+    """(_id, evidence, evidence_count): the first distinct proofs of each id in their order, and how many there are.
+
+    Repeats go before anything meets by id, and of an id with very many each task hands on its first ones only.
+    """
+    each = evidence_of(candidates)
+    place = F.row_number().over(W.partitionBy("id").orderBy("proof"))
+    first = each.withColumn("k", place).where(F.col("k") <= most).groupBy("id").agg(F.array_sort(F.collect_list("proof")).alias("evidence"))
+    count = each.groupBy(F.col("id").alias("_id")).agg(F.count("*").alias("evidence_count"))
+    return count.join(first, F.col("_id") == F.col("id")).drop("id")
+
+
+def upsert_nodes(candidates: DataFrame, most_evidence: int = MOST_EVIDENCE) -> DataFrame:
     """One row an id from candidates (id, type, label, status, environment, identity, attributes, evidence, ord).
 
     Of a field the first non-empty value by ord stays, but of attributes the last one; a
-    status that is "unknown" gives way to the first that isn't; evidence is the distinct union, sorted.
+    status that is "unknown" gives way to the first that isn't; evidence is the distinct union, sorted, the first most_evidence of evidence_count.
     types counts the distinct types, more than 1 being an error that validate() reports.
     """
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull() & (F.col(c).cast("string") != ""), F.col("ord")))
     known = F.when(F.col("status") != "unknown", F.col("status"))
     base = candidates.groupBy("id").agg(
         F.min_by("type", "ord").alias("type"), first("label").alias("label"), F.coalesce(F.min_by(known, F.when(known.isNotNull(), F.col("ord"))), F.lit("unknown")).alias("status"),
-        F.min_by("environment", "ord").alias("environment"), F.countDistinct("type").alias("types"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"),
+        F.min_by("environment", "ord").alias("environment"), F.countDistinct("type").alias("types"),
     )
     pick = lambda c, by: (candidates.select("id", "ord", F.explode(c).alias("k", "v")).where("v is not null and v <> ''").groupBy("id", "k").agg(by.alias("v")).groupBy("id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias(c)))
     identity, attributes = pick("identity", F.min_by("v", "ord")), pick("attributes", F.max_by("v", "ord"))
-    return base.join(identity, "id", "left").join(attributes, "id", "left")
+    return _with_proofs(base, candidates, most_evidence).join(identity, "id", "left").join(attributes, "id", "left")
 
 
-def upsert_edges(candidates: DataFrame) -> DataFrame:
-    """One row an id from candidates (id, src, dst, type, env, confidence, evidence, ord): the first by ord, with all evidence."""
+def _with_proofs(base: DataFrame, candidates: DataFrame, most: int) -> DataFrame:
+    none = F.array().cast(candidates.schema["evidence"].dataType)
+    found = base.join(_proofs(candidates, most), F.col("id") == F.col("_id"), "left").drop("_id")
+    return found.withColumns({"evidence": F.coalesce("evidence", none), "evidence_count": F.coalesce("evidence_count", F.lit(0))})
+
+
+def upsert_edges(candidates: DataFrame, most_evidence: int = MOST_EVIDENCE) -> DataFrame:
+    """One row an id from candidates (id, src, dst, type, env, confidence, evidence, ord): the first by ord, with the first most_evidence of its evidence_count proofs."""
     fields = [c for c in ("src", "dst", "type", "env", "confidence") if c in candidates.columns]
-    return candidates.groupBy("id").agg(*[F.min_by(c, "ord").alias(c) for c in fields], F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"))
+    return _with_proofs(candidates.groupBy("id").agg(*[F.min_by(c, "ord").alias(c) for c in fields]), candidates, most_evidence)
 
 
 def adjacency(edges: DataFrame, environments: Sequence[str] | None = None, directed: bool = False) -> DataFrame:
@@ -157,6 +185,9 @@ def reachable_types(nodes: DataFrame, steps: DataFrame, starts: DataFrame, depth
 def closure(links: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
     """(start, node, distance): all nodes that the starts (column node) reach over directed links (src, dst), nearest first; ends on cycles.
 
+    That is a row for each pair of a start and what it reaches, one hop a round: a chain of n nodes that all start has n * n / 2.
+    chain_ends() gives the ends alone, where every node has one link.
+
     depth: an error if there are nodes farther than that; never a part of the closure.
     """
     links = settle(links.select("src", "dst").distinct(), "links")
@@ -172,6 +203,27 @@ def closure(links: DataFrame, starts: DataFrame, depth: int | None = None) -> Da
     return seen
 
 
+def chain_ends(links: DataFrame) -> DataFrame:
+    """(node, end, distance) of links (src, dst), of which each src has one: where following them ends; end is null for what runs into a cycle.
+
+    Every round joins each node's reach to that of the node it has reached, so the reach doubles: the logarithm of the longest chain in rounds, one
+    row a node in each. A node that links to itself ends there.
+    """
+    one = links.groupBy("src").agg(F.min("dst").alias("dst")).where("src <> dst")
+    state = settle(one.select(F.col("src").alias("node"), F.col("dst").alias("at"), F.lit(1).cast("long").alias("distance")), "ends")
+    total = state.count()
+    while True:
+        ahead = state.select(F.col("node").alias("_node"), F.col("at").alias("_at"), F.col("distance").alias("_distance"))
+        moved = state.join(ahead, F.col("at") == F.col("_node"), "left")
+        state = settle(moved.select("node", F.coalesce("_at", "at").alias("at"), (F.col("distance") + F.coalesce("_distance", F.lit(0))).alias("distance"), F.col("_node").isNull().alias("ended")), "ends")
+        open_ = state.where("not ended")
+        longest = open_.agg(F.count("*").alias("n"), F.min("distance").alias("distance")).first()
+        if not longest.n or longest.distance > total:  # what has gone further than there are nodes goes round
+            break
+        state = state.drop("ended")
+    return state.select("node", F.when(F.col("ended"), F.col("at")).alias("end"), F.when(F.col("ended"), F.col("distance")).alias("distance"))
+
+
 def resolve_names(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     """(asked, id, matched_by, candidates, status): nodes by id, else by label, else by an identity value; found, ambiguous or not-found."""
     low = F.lower(F.trim("asked"))

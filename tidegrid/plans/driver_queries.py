@@ -446,13 +446,13 @@ def graph_nodes(spark, d):
 @query(f"SELECT src, dst, type, n::BIGINT AS n FROM ({EDGE_SQL})")
 def graph_edges(spark, d):
     """Edges with merged evidence: an edge from orders to suppliers has an item's line as proof, the others their table."""
-    proof = table(spark, d, "lineitem").select(F.concat_ws(">", F.concat(F.lit("order:"), F.col("l_orderkey")), F.lit("SUPPLIED_BY"), F.concat(F.lit("supplier:"), F.col("l_suppkey"))).alias("id"), F.array(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))).alias("evidence"), F.col("l_linenumber").alias("ord"))
+    src, dst = F.concat(F.lit("order:"), F.col("l_orderkey")), F.concat(F.lit("supplier:"), F.col("l_suppkey"))
+    proof = table(spark, d, "lineitem").select(F.concat_ws(">", src, F.lit("SUPPLIED_BY"), dst).alias("id"), src.alias("src"), F.lit("SUPPLIED_BY").alias("type"), dst.alias("dst"), F.array(F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"))).alias("evidence"), F.col("l_linenumber").alias("ord"))
     none = F.array(F.struct(F.lit(0).alias("line"), F.lit(0).cast("long").alias("part")))
-    others = star_edges(spark, d).where("type <> 'SUPPLIED_BY'").select("id", none.alias("evidence"), F.lit(0).alias("ord"))
-    every = proof.select("id", F.col("evidence").cast("array<struct<line:int,part:bigint>>").alias("evidence"), F.col("ord").cast("int").alias("ord")).unionByName(others)
-    ends = F.split("id", ">")
-    merged = graph.upsert_edges(every.select("id", ends[0].alias("src"), ends[1].alias("type"), ends[2].alias("dst"), F.lit("GLOBAL").alias("env"), F.lit("EXACT").alias("confidence"), "evidence", "ord"))
-    return merged.select("src", "dst", "type", F.size("evidence").cast("long").alias("n"))
+    others = star_edges(spark, d).where("type <> 'SUPPLIED_BY'").select("id", "src", "type", "dst", none.alias("evidence"), F.lit(0).alias("ord"))
+    every = proof.select("id", "src", "type", "dst", F.col("evidence").cast("array<struct<line:int,part:bigint>>").alias("evidence"), F.col("ord").cast("int").alias("ord")).unionByName(others)
+    merged = graph.upsert_edges(every.select("id", "src", "type", "dst", F.lit("GLOBAL").alias("env"), F.lit("EXACT").alias("confidence"), "evidence", "ord"))
+    return merged.select("src", "dst", "type", F.col("evidence_count").alias("n"))
 
 
 #: Nodes (id, type, identity) and edges (id, src, dst, type, confidence, proofs) with one fault of each code, beside the whole graph.
@@ -532,6 +532,17 @@ def cname_closure(spark, d):
     return graph.closure(links, p.select(F.col("p_partkey").alias("node")))
 
 
+@query("""
+WITH RECURSIVE l AS (SELECT p_partkey AS src, CASE WHEN p_partkey % 50 = 7 THEN p_partkey + 1 WHEN p_partkey % 50 = 8 THEN p_partkey - 1 ELSE p_partkey - 1 END AS dst FROM part WHERE p_partkey % 50 <> 0),
+w AS (SELECT src AS node, dst AS cur, 1 AS distance FROM l UNION ALL SELECT node, dst, distance + 1 FROM w JOIN l ON cur = src WHERE distance < 60)
+SELECT node, CASE WHEN count(*) < 60 THEN arg_max(cur, distance) END AS "end", CASE WHEN count(*) < 60 THEN max(distance) END::BIGINT AS distance FROM w GROUP BY node
+""")
+def chain_ends(spark, d):
+    """Where chains of up to fifty links end; two parts of each fifty link to each other, and what leads there has no end."""
+    p = table(spark, d, "part").select("p_partkey").where("p_partkey % 50 <> 0")
+    return graph.chain_ends(p.select(F.col("p_partkey").alias("src"), F.when(F.col("p_partkey") % 50 == 7, F.col("p_partkey") + 1).otherwise(F.col("p_partkey") - 1).alias("dst")))
+
+
 @query("""
 WITH p AS (SELECT regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS path FROM pages), s AS (SELECT path, string_split(path, '/') AS parts FROM p),
 x AS (SELECT array_to_string(parts[1:k], '/') AS path FROM s, unnest(range(1, len(parts) + 1)) AS u(k))

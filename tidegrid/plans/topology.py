@@ -111,9 +111,11 @@ def build(t: dict[str, DataFrame], managed_suffixes: tuple[str, ...] = ()) -> tu
     cname = dns.where("type = 'CNAME'").withColumn("target", net.normalize_domain(c("value")))
     names = dns.select(c("name").alias("target")).distinct().withColumn("has", F.lit(True))
     managed = reduce(lambda a, b: a | b, [(c("target") == s) | c("target").endswith("." + s) for s in managed_suffixes], F.lit(False))
-    zone = t["public_zones"].groupBy().agg(F.collect_set("zone").alias("zones"))
-    aimed = cname.join(names, "target", "left").join(zone)  # one row of the site's own zones
-    in_zone = F.exists("zones", lambda z: (c("target") == z) | c("target").endswith(F.concat(F.lit("."), z)))
+    labels = F.split("target", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    ours = cname.select("target").distinct().withColumn("zone", F.explode(suffixes)).join(t["public_zones"].select("zone"), "zone", "left_semi").select("target").distinct().withColumn("in_zone", F.lit(True))
+    aimed = cname.join(names, "target", "left").join(ours, "target", "left")
+    in_zone = F.coalesce("in_zone", F.lit(False))
     nodes.append(_node(aimed, 41, "DOMAIN", net.domain_id(c("target")), c("target"), "dns", c("id"), {"name": c("target")}, {}, F.when(c("has"), "active").when(managed | in_zone, "unresolved").otherwise("external")))
     address = dns.where("type <> 'CNAME'").withColumn("ip", net.normalize_ip(c("value"))).where("ip <> ''")
     cloud_ips = eip.select("ip").unionByName(lb.select("ip")).unionByName(entry.select(c("external_ip").alias("ip"))).unionByName(entry.select(c("internal_ip").alias("ip")))

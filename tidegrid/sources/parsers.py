@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
 from tidegrid.functions import net, strings
+from tidegrid.sources.proxyconf import Refused, directives
 
 
 def lines(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
@@ -109,26 +110,23 @@ def config_endpoints(df: DataFrame, text_col: str, *keep: str) -> DataFrame:
 
 
 def proxy_blocks(text: str) -> Iterator[tuple]:
-    """Locations of a proxy configuration: (context, server_names, listen, uri, directive, target, upstream, backends)."""
-    words = re.findall(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|[{};]|(?:\$\{\w+\}|[^\s{};\"'#])+|#[^\n]*", text or "")
-    words = [w for w in words if not w.startswith("#")]
-
-    def block(at: int) -> tuple[list, int]:
-        out, head = [], []
-        while at < len(words) and words[at] != "}":
-            if words[at] == ";":
-                out.append((head, None))
-                head = []
-            elif words[at] == "{":
-                inner, at = block(at + 1)
-                out.append((head, inner))
-                head = []
-            else:
-                head.append(words[at].strip("\"'"))
-            at += 1
-        return out, at
-
-    tree, _ = block(0)
+    """Locations of one proxy configuration text: (context, server_names, listen, uri, directive, target, upstream, backends); a text that isn't whole gives one row of context error.
+
+    proxyconf.routes() is the form for dumps of several files, with inherited rules.
+    """
+    try:
+        rows = directives(text or "")
+    except Refused as e:
+        yield "error", [], [], "", "refused", str(e), "", []
+        return
+    tree: list[tuple] = []
+    open_blocks = [tree]
+    for _, name, args, is_block, above in rows:
+        del open_blocks[len(above) + 1 :]
+        inner: list | None = [] if is_block else None
+        open_blocks[-1].append(([name, *args], inner))
+        if inner is not None:
+            open_blocks.append(inner)
     pools: dict[str, list[str]] = {}
 
     def scan(items: list, context: str, names: list, listen: list, uri: str | None, inherited: dict) -> Iterator[tuple]:
