@@ -146,3 +146,41 @@ def log_scopes(properties: DataFrame, paths: DataFrame, overrides: DataFrame | N
     s = s.withColumn("status", status)
     ok = F.col("status") == "ok"
     return s.select("file", "path", F.when(ok, root).alias("root"), F.when(ok, pattern).alias("pattern"), "status", "unresolved")
+
+
+def server_roots(servers: DataFrame) -> DataFrame:
+    """(id, kind, place, root) of Tomcat settings (id, base, content): kind app, the folders of its hosts, and context, WEB-INF of their contexts.
+
+    Only literal paths of at least three folders count; a base that isn't absolute has none, settings with a DTD or damaged ones only the usual folder.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for i, content in zip(f["id"], f["content"], strict=True):
+                text = content or ""
+                try:
+                    hosts = [] if not text or "<!DOCTYPE" in text.upper() or "<!ENTITY" in text.upper() else list(ET.fromstring(text).iter("Host"))
+                except ET.ParseError:
+                    rows.append((i, -1, None, None))
+                    continue
+                for n, host in enumerate(hosts):
+                    app = host.get("appBase", "webapps")
+                    rows.append((i, n, app, None))
+                    rows += [(i, n, app, x.get("docBase", "").strip()) for x in host.iter("Context") if x.get("docBase", "").strip()]
+                if not hosts:
+                    rows.append((i, 0, "webapps", None))
+            yield pd.DataFrame(rows, columns=["id", "n", "app", "doc"])
+
+    kept = servers.where(F.col("base").startswith("/"))
+    found = kept.select(F.col("id").cast("string").alias("id"), "content").mapInPandas(run, "id string, n int, app string, doc string")
+    found = found.where("n >= 0").join(kept.select(F.col("id").cast("string").alias("id"), "base"), "id")
+    joined = lambda a, b: F.when(b.startswith("/"), b).otherwise(F.concat_ws("/", a, b))
+    app = joined(F.col("base"), F.col("app"))
+    literal = ~F.col("app").contains("${") & (F.col("app") != "") & ~F.coalesce("doc", F.lit("")).contains("${")
+    path = normal_path(F.when(F.col("doc").isNull(), app).otherwise(joined(app, F.col("doc"))))
+    deep = (F.size(F.filter(F.split(path, "/"), lambda p: p != "")) >= LEAST_FOLDERS) & path.startswith("/") & (F.col("doc").isNull() | ~F.lower(path).endswith(".war"))
+    rows = found.where(literal).withColumn("path", path).where(deep).select("id", F.when(F.col("doc").isNull(), "app").otherwise("context").alias("kind"), "n", F.when(F.col("doc").isNull(), F.col("path")).otherwise(F.concat("path", F.lit("/WEB-INF"))).alias("root"))
+    first = rows.groupBy("id", "kind", "root").agg(F.min("n").alias("n"))
+    listed = first.groupBy("id", "kind").agg(F.slice(F.array_sort(F.collect_list(F.struct("n", "root"))), 1, MOST_ROOTS).alias("x"))  # the hosts of one server
+    return listed.select("id", "kind", F.posexplode(F.transform("x", lambda x: x["root"])).alias("place", "root"))
