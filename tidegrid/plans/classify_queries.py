@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidegrid.functions import net
-from tidegrid.plans import classify
+from tidegrid.plans import classify, components, facts
 from tidegrid.plans.driver_queries import query, table
 
 c = F.col
@@ -164,3 +164,48 @@ def repository_identities(spark, d):
     raw = F.when(b < 0, name).when(b < 2500, at("git@Code.Example.com:", team, "/", name, ".git")).when(b < 5000, at(" https://code.example.com/", team, "/", name, ".git/ ")).when(b < 7500, at("https://code.example.com:", (c("c_nationkey") + 8000).cast("string"), "/", team, "/", name)).otherwise(at("https://u:p@code.example.com/", team, "/", name))
     s = table(spark, d, "customer").withColumn("raw", raw)
     return s.select("c_custkey", net.canonical_git_url(c("raw")).alias("canonical"), net.git_key(c("raw")).alias("git_key"), net.repository_folder(c("raw")).alias("folder"), net.repository_category(c("raw"), ["code.example.com"]).alias("category"), net.repository_words(c("raw")).alias("words"))
+
+
+@query("""
+WITH s AS (SELECT s_suppkey AS k, s_suppkey // 3 AS g, s_acctbal AS b FROM supplier), x AS (SELECT *, min(b) OVER (PARTITION BY g) < 0 AS torn FROM s)
+SELECT k AS s_suppkey, CASE WHEN b > 9000 THEN 'report too old' WHEN torn AND b >= 0 THEN 'members disagree' END AS redis, CASE WHEN b > 9000 THEN 'report too old' WHEN b < 2000 THEN 'mode is not standalone' WHEN b < 4000 THEN 'has replicas' END AS single,
+ CASE WHEN b > 9000 THEN 'report too old' WHEN b < 1000 THEN 'not same_process' WHEN b < 3000 THEN 'no home' WHEN b < 5000 THEN 'listener not owned by the process' END AS jenkins FROM x
+""")
+def component_plans(spark, d):
+    """Clusters of three suppliers that print their members (one that sees itself alone is another cluster, and those that see it disagree with it), single ones that print their mode, and processes that a probe looks into: facts from the texts, then the planners' reasons."""
+    k, b, g = c("s_suppkey"), c("s_acctbal"), F.expr("s_suppkey div 3")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_acctbal", g.alias("g"))
+    num = lambda x: x.cast("string")
+    line = lambda x, flag: F.concat(F.lit("n"), num(x), F.lit(" 10.0.0."), num(x), F.lit(":6379@16379 "), flag, F.lit("master - 0 0 1 connected\n"))
+    near = s.select(c("g").alias("_g"), c("s_suppkey").alias("o"))
+    seen = s.join(near, c("g") == c("_g")).where((b >= 0) | (c("o") == k))
+    nodes = seen.groupBy("s_suppkey").agg(F.array_join(F.array_sort(F.collect_list(line(c("o"), F.when(c("o") == k, "myself,").otherwise("")))), "").alias("nodes"))  # three lines at most
+    now = F.timestamp_micros(F.lit(1704067200000000))
+    base = s.join(nodes, "s_suppkey").select(
+        "s_suppkey", F.concat(F.lit("a"), num(k)).alias("asset"), F.concat(F.lit("10.0.0."), num(k % 250)).alias("ip"), F.lit("/etc/x.conf").alias("config"), k.cast("int").alias("pid"), now.alias("now"), F.when(b > 9000, now - F.expr("interval 3 hours")).otherwise(now).alias("observed_at"), "nodes",
+        F.concat(F.lit("redis_mode:"), F.when(b < 2000, "cluster").otherwise("standalone"), F.lit("\r\nrole:master\nconnected_slaves:"), F.when(b < 4000, "1").otherwise("0"), F.lit("\n")).alias("info"),
+        F.concat(num(k), F.lit(" (java) 77\nHOST_NETNS net:[1]\nNETNS net:[1]\nCOMMAND java -jar /srv/x.war\n"), F.when(b >= 3000, "JENKINS_HOME=/srv/home\n").otherwise(""), F.lit("LISTEN *:80 pid="), F.when(b < 5000, "1").otherwise(num(k)), F.lit(",\n"), num(k), F.lit(" (java) "), F.when(b < 1000, "78").otherwise("77")).alias("output"),
+    )
+    why = lambda df, name, out: components.plan(df, components.PLANNERS[name]).select("s_suppkey", c("reason").alias(out))
+    pair = why(base.withColumns(facts.redis_nodes(c("nodes"))), "redis", "redis")
+    alone = why(base.withColumns(facts.redis_info(c("info"))).withColumns({"live_checked": F.lit(True), "listener_pids": F.array("pid")}), "redis_single", "single")
+    built = why(base.withColumns(facts.process(c("output"), c("pid"))).withColumns({"war": F.lit("/srv/x.war"), "published": F.lit(1)}), "jenkins", "jenkins")
+    return pair.join(alone, "s_suppkey").join(built, "s_suppkey")
+
+
+@query("""
+WITH r AS (SELECT c_custkey AS k, lower(c_mktsegment) AS domain, 'n' || c_nationkey AS system, c_acctbal AS b FROM customer WHERE c_acctbal >= 0),
+l AS (SELECT DISTINCT o_custkey AS k, o_custkey // 2 AS app FROM orders), h AS (SELECT app, r.k, domain, system FROM l JOIN r USING (k) WHERE b < 8000)
+SELECT app, CASE WHEN count(DISTINCT (domain, system)) = 1 THEN min(domain) END AS domain, CASE WHEN count(DISTINCT (domain, system)) = 1 THEN min(system) END AS system, string_agg('org/' || domain || '/' || system || '/r' || k, ',' ORDER BY 'org/' || domain || '/' || system || '/r' || k) AS paths,
+ CASE WHEN count(DISTINCT (domain, system)) = 1 THEN 'assigned' ELSE 'ambiguous' END AS status FROM h GROUP BY app
+""")
+def business_assignments(spark, d):
+    """Domains and systems of applications by the paths of their repositories; an application is a pair of customers, what it says of rich ones is another address."""
+    path = F.concat(F.lit("org/"), F.lower("c_mktsegment"), F.lit("/n"), c("c_nationkey").cast("string"), F.lit("/r"), c("c_custkey").cast("string"))
+    cust = table(spark, d, "customer").select("c_custkey", "c_acctbal", path.alias("path"))
+    url = F.concat(F.lit("https://code.example.com/"), "path", F.lit(".git"))
+    repositories = cust.select(c("c_custkey").alias("repository"), "path", url.alias("url"), (c("c_acctbal") >= 0).alias("active"))
+    links = table(spark, d, "orders").select(c("o_custkey").alias("repository"), F.expr("o_custkey div 2").alias("app")).distinct()
+    apps = cust.select(F.expr("c_custkey div 2").alias("app"), F.when(c("c_acctbal") < 8000, url).otherwise(F.concat(F.lit("https://code.example.com/org/other/"), "path")).alias("url"))
+    made, _ = facts.business_plan(cust.select("path"), repositories, links, apps, "org")
+    return made.select("app", "domain", "system", F.array_join("paths", ",").alias("paths"), "status")

@@ -71,6 +71,7 @@ PLANNERS = {
         Planner("managed", (true("confirmed"), unique("identity")), ("cloud_id",)),
         Planner("canal", (FRESH, unique("identity"), same("mode", "standalone"))), Planner("canal_admin", (FRESH, unique("identity"), true("admin_confirmed")), ("asset", "server")),
         Planner("canal_admin_zk", (*CLUSTER, true("admin_confirmed")), ("asset", "server"), "signature"), Planner("canal_pending", (unique("identity"), ("grouping unknown", lambda: F.lit(False)))),
+        Planner("jenkins", (FRESH, ADDRESS, unique("identity"), true("same_process"), ("no home", lambda: c("home").isNotNull()), ("another command", lambda: c("command").contains(c("war"))), OWNED, ("port not published once", lambda: c("same_namespace") | (c("published") == 1))), ("asset", "home")),
         Planner("process", (FRESH, ADDRESS, unique("identity"), OWNED), ("asset", "pid")), Planner("kibana", (FRESH, unique("identity"), ("no cluster that it connects to", lambda: c("cluster_unit").isNotNull())), ("asset", "pid")),
     )
 }
