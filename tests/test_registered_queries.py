@@ -8,11 +8,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from tidegrid.plans import driver_queries, library_queries, listing_queries, report_queries, site_queries
+from tidegrid.plans import classify_queries, driver_queries, feature_queries, library_queries, listing_queries, report_queries, site_queries
 
 TABLES = Path("/root/testdata/sf0.001")
-MODULES = {m.__name__ for m in (library_queries, listing_queries, report_queries)}
-NAMES = [n for n, f in driver_queries.QUERIES.items() if f.__module__ in MODULES] + ["redact_text", "bounded_evidence", "graph_validate", "unique_in_group", "topology_build", "backend_matches"]
+MODULES = {m.__name__ for m in (classify_queries, feature_queries, library_queries, listing_queries, report_queries)}
+NAMES = [n for n, f in driver_queries.QUERIES.items() if f.__module__ in MODULES] + ["redact_text", "bounded_evidence", "graph_validate", "unique_in_group", "topology_build", "backend_matches", "bounded_paths", "path_counts", "chain_ends", "graph_edges"]
 
 
 def plain(value):

@@ -95,6 +95,26 @@ edges(type, confidence, n) AS (SELECT 'CNAME_TO', 'EXACT', count(*) FROM cust WH
  UNION ALL SELECT 'ON_HOST', 'EXACT', count(*) FROM ends WHERE ip NOT LIKE 'p%')"""
 
 
+@query(f"""
+WITH {SITE}, {TOPOLOGY}, named AS (SELECT k, h, port, 'c' || k || '.example.com' AS name, nation FROM (SELECT cust.k, cust.h, nation, dep.port FROM cust JOIN dep USING (k))), addressed AS (SELECT k, h, way, '203.' || k // 250 || '.113.' || k % 250 AS eip FROM pub)
+SELECT 'CNAME_TO' AS type, 'domain:' || name AS src, 'domain:' || CASE k % 5 WHEN 0 THEN 'n' || nation || '.example.com' ELSE 'x' || k || '.other.net' END AS dst, 'EXACT' AS confidence FROM named WHERE k % 5 IN (0, 3)
+UNION ALL SELECT 'RESOLVES_TO', 'domain:' || name, CASE k % 5 WHEN 1 THEN 'eip:e' || k ELSE 'host:' || h END, 'EXACT' FROM named WHERE k % 5 IN (1, 2)
+UNION ALL SELECT 'RESOLVES_TO', 'domain:n' || n_nationkey || '.example.com', 'host:10.9.0.' || n_nationkey, 'EXACT' FROM nation
+UNION ALL SELECT 'BOUND_TO', 'eip:e' || k, CASE way WHEN 0 THEN 'nat-gateway:ngw-1' WHEN 1 THEN 'host:' || h ELSE 'clb:lb' || k END, 'EXACT' FROM pub
+UNION ALL SELECT 'HAS_DNAT_RULE', 'nat-gateway:ngw-1', 'dnat-rule:ngw-1:s' || k, 'EXACT' FROM pub WHERE way = 0
+UNION ALL SELECT 'EXPOSES', 'dnat-rule:ngw-1:s' || k, 'endpoint:' || eip || ':80:tcp', 'EXACT' FROM addressed WHERE way = 0
+UNION ALL SELECT 'HAS_LISTENER', 'clb:lb' || k, 'clb-listener:lb' || k || ':http:80', 'EXACT' FROM pub WHERE way = 2
+UNION ALL SELECT 'ROUTES_TO', 'clb-listener:lb' || k || ':http:80', 'clb-server-group:lb' || k || ':g', 'EXACT' FROM pub WHERE way = 2
+UNION ALL SELECT 'HAS_DEPLOYMENT', 'application:a' || k, 'deployment:a' || k || ':P:d' || k, 'EXACT' FROM dep
+UNION ALL SELECT 'LISTENS_ON', 'deployment:a' || k || ':P:d' || k, 'endpoint:' || h || ':' || port || ':unknown', sure FROM listening
+UNION ALL SELECT 'ON_HOST', 'endpoint:' || ip || ':' || port || ':' || protocol, 'host:' || ip, 'EXACT' FROM ends WHERE ip NOT LIKE 'p%'
+""")
+def topology_edges(spark, d):
+    """Both ends of the edges whose ids are made of the tables' keys: names, addresses, gateways, balancers, deployments, endpoints and hosts."""
+    _, edges = built(spark, d)
+    return edges.where(~c("type").isin("BUILT_FROM", "SERVED_BY", "USES_UPSTREAM", "FORWARDS_TO")).select("type", "src", "dst", "confidence")
+
+
 @query(f"""
 WITH {SITE}, {TOPOLOGY}
 SELECT 'node' AS what, type, 'GLOBAL' AS confidence, n::BIGINT AS n FROM nodes UNION ALL SELECT 'edge', type, confidence, n::BIGINT FROM edges
