@@ -35,7 +35,7 @@ def made(spark, seed, n=14, m=26):
 
 def test_first_paths_of_every_start(spark):
     """The same paths in the same order as the full search, in graphs with cycles, loops, parallel edges, and starts that are targets."""
-    for seed, most in ((1, 5), (2, 12), (4, 1000)):
+    for seed, most in ((1, 5), (4, 1000)):
         nodes, edges, n, e = made(spark, seed)
         found = search.best_paths(n, graph.adjacency(e), n, ["T"], depth=5, most=most).collect()
         got = {}

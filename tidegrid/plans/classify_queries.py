@@ -209,3 +209,27 @@ def business_assignments(spark, d):
     apps = cust.select(F.expr("c_custkey div 2").alias("app"), F.when(c("c_acctbal") < 8000, url).otherwise(F.concat(F.lit("https://code.example.com/org/other/"), "path")).alias("url"))
     made, _ = facts.business_plan(cust.select("path"), repositories, links, apps, "org")
     return made.select("app", "domain", "system", F.array_join("paths", ",").alias("paths"), "status")
+
+
+@query("""
+WITH q AS (SELECT c_custkey AS k, lower(replace(c_name, '#', '-')) AS name, lower(c_mktsegment) AS seg, c_nationkey AS n, c_acctbal AS b FROM customer)
+SELECT k AS c_custkey, CASE WHEN b < 0 THEN 0 WHEN b < 2000 THEN 2 WHEN b < 6000 THEN 1 ELSE -1 END AS score, CASE WHEN b < 0 THEN 0 WHEN b < 2000 THEN 4 WHEN b < 4000 THEN 3 WHEN b < 6000 THEN 2 ELSE 0 END AS specificity,
+ CASE WHEN b < 0 THEN 'prefix' WHEN b < 2000 THEN 'exact' WHEN b < 4000 THEN 'prefix' WHEN b < 6000 THEN 'regex' END AS kind, CASE WHEN b < 0 THEN 1 WHEN b < 2000 THEN length('/' || seg || '/' || k) WHEN b < 4000 THEN length(seg) + 1 ELSE 0 END::INTEGER AS length,
+ CASE WHEN b >= 4000 AND b < 6000 THEN NULL ELSE 8000 + n END AS listen, CASE WHEN b < 0 THEN 0 WHEN b < 4000 THEN length(seg) + 1 END::INTEGER AS rule_length,
+ CASE WHEN b < 0 THEN 'none' WHEN b < 2000 THEN 'unix' WHEN b < 4000 THEN 'ip' WHEN b < 6000 THEN 'hostname' ELSE 'variable' END AS target, CASE WHEN b >= 2000 AND b < 4000 THEN '10.0.0.' || n WHEN b >= 4000 AND b < 6000 THEN name || '.inner' END AS target_host,
+ CASE WHEN b >= 2000 AND b < 4000 THEN '80' WHEN b >= 4000 AND b < 6000 THEN (8000 + n)::VARCHAR END AS target_port FROM q
+""")
+def routing_matches(spark, d):
+    """Name patterns, locations, listen entries, rules and targets of proxies, made of customers' names, segments and nations, each form by balance."""
+    name, seg, n, b = F.lower(F.replace("c_name", F.lit("#"), F.lit("-"))), F.lower("c_mktsegment"), c("c_nationkey").cast("string"), c("c_acctbal")
+    port = (c("c_nationkey") + 8000).cast("string")
+    at = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    by = lambda *x: F.when(b < 0, x[0]).when(b < 2000, x[1]).when(b < 4000, x[2]).when(b < 6000, x[3]).otherwise(x[4])
+    host, path = at(name, ".n", n, ".example.com"), at("/", seg, "/", c("c_custkey").cast("string"))
+    m = net.domain_match(by(F.lit(""), host, at("*.n", n, ".example.com"), F.lit("*.example.com, other.net"), at("x.", name)), host)
+    w = net.location_match(by(F.lit("/"), at("= ", path), at("^~ /", seg), at("~ ^/", seg), at("/", name)), path)
+    t = net.upstream_target(by(F.lit(""), at("unix:/run/", name), at("http://10.0.0.", n, "/x"), at("https://", name, ".inner:", port, "/y"), at("http://$", seg)))
+    listen = net.listen_port(by(at(port, " ssl"), at("10.0.0.1:", port), at("[::]:", port, " ipv6only=on"), at("unix:/run/", name), at("*:", port)))
+    rule = net.path_match_length(by(F.lit(""), at("/", seg), seg, at("/x", seg), name), path)
+    s = table(spark, d, "customer")
+    return s.select("c_custkey", m["score"].alias("score"), m["specificity"].alias("specificity"), w["kind"].alias("kind"), w["length"].alias("length"), listen.alias("listen"), rule.alias("rule_length"), t["kind"].alias("target"), t["host"].alias("target_host"), t["port"].alias("target_port"))

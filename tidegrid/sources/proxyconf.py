@@ -127,7 +127,7 @@ def parsed(files: DataFrame) -> DataFrame:
 
 def _glob(pattern: Column) -> Column:
     """Regular expression of a shell pattern: * and ? stand for any characters, folders too."""
-    plain = F.regexp_replace(pattern, r"([.+^${}()|\\])", r"\\$1")
+    plain = F.regexp_replace(F.regexp_replace(pattern, r"([.+^${}()|\\])", r"\\$1"), r"\[!", "[^")
     return F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(plain, r"\*", ".*"), r"\?", "."), F.lit("$"))
 
 
