@@ -26,8 +26,7 @@ def outlook(nodes: DataFrame, steps: DataFrame, targets: Sequence[str], depth: i
 
     steps has (node, neighbour, rank). A node is reached again only with more confidence than before, so at most four times.
     """
-    back = steps.groupBy(F.col("neighbour").alias("node"), F.col("node").alias("from")).agg(F.max("rank").alias("rank"))
-    back = settle(back, "back")
+    back = steps.select(F.col("neighbour").alias("node"), F.col("node").alias("from"), "rank")
     seen = front = settle(nodes.where(F.col("type").isin(*targets)).select(F.col("id").alias("node")).distinct().select("node", F.lit(len(CONFIDENCE) - 1).alias("rank"), F.lit(0).alias("distance")), "outlook")
     for k in range(1, depth + 1):
         reached = front.select("node", F.col("rank").alias("least")).join(back, "node").groupBy(F.col("from").alias("node")).agg(F.max(F.least("least", "rank")).alias("rank"))
