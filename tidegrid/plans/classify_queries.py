@@ -184,7 +184,7 @@ def component_plans(spark, d):
     base = s.join(nodes, "s_suppkey").select(
         "s_suppkey", F.concat(F.lit("a"), num(k)).alias("asset"), F.concat(F.lit("10.0.0."), num(k % 250)).alias("ip"), F.lit("/etc/x.conf").alias("config"), k.cast("int").alias("pid"), now.alias("now"), F.when(b > 9000, now - F.expr("interval 3 hours")).otherwise(now).alias("observed_at"), "nodes",
         F.concat(F.lit("redis_mode:"), F.when(b < 2000, "cluster").otherwise("standalone"), F.lit("\r\nrole:master\nconnected_slaves:"), F.when(b < 4000, "1").otherwise("0"), F.lit("\n")).alias("info"),
-        F.concat(num(k), F.lit(" (java) 77\nHOST_NETNS net:[1]\nNETNS net:[1]\nCOMMAND java -jar /srv/x.war\n"), F.when(b >= 3000, "JENKINS_HOME=/srv/home\n").otherwise(""), F.lit("LISTEN *:80 pid="), F.when(b < 5000, "1").otherwise(num(k)), F.lit(",\n"), num(k), F.lit(" (java) "), F.when(b < 1000, "78").otherwise("77")).alias("output"),
+        F.concat(num(k), F.lit(" (java) 77\nHOST_NETNS net:[1]\nNETNS net:[1]\nCOMMAND java -jar /srv/x.war\n"), F.when(b >= 3000, "JENKINS_HOME=/srv/home\n").otherwise(""), F.lit("LISTEN *:80 pid="), F.when(b < 5000, num(k + 1)).otherwise(num(k)), F.lit(",\n"), num(k), F.lit(" (java) "), F.when(b < 1000, "78").otherwise("77")).alias("output"),
     )
     why = lambda df, name, out: components.plan(df, components.PLANNERS[name]).select("s_suppkey", c("reason").alias(out))
     pair = why(base.withColumns(facts.redis_nodes(c("nodes"))), "redis", "redis")
