@@ -26,3 +26,7 @@ def agree(spark, folder, name, **tables):
 def test_addresses_side_by_side(spark, tmp_path):
     texts = "SELECT * FROM (VALUES (1, '1.1.1.1 2.2.2.2,3.3.3.3'), (2, 'at 2.2.2.2\n'), (3, '4.4.4.4\n5.5.5.5'), (4, '6.6.6.6. 7.7.7.7;'), (5, NULL), (6, '256.1.1.1 8.8.8.8')) t(doc_id, text)"
     assert len(agree(spark, tmp_path, "ip_extract", documents=texts)) == 5
+
+
+def test_ports_beyond_four_digits(spark, tmp_path):
+    assert len(agree(spark, tmp_path, "socket_listing", part="SELECT k::BIGINT AS p_partkey, 1 AS p_size FROM (VALUES (10), (65534), (65536), (119998), (20000000)) t(k)")) == 5

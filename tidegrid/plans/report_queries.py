@@ -210,7 +210,7 @@ SELECT p_size AS host, p_partkey::INTEGER AS port, (p_partkey % 4)::INTEGER AS u
 def socket_listing(spark, d):
     """Listening ports and their users read from the kernel's table."""
     k = c("p_partkey")
-    line = F.concat(F.lit("  "), k, F.lit(": 00000000:"), F.lpad(F.hex(k), 4, "0"), F.lit(" 00000000:0000 "), F.when(k % 2 == 0, "0A").otherwise("01"), F.lit(" 00000000:00000000 00:00000000 00000000  "), k % 4, F.lit("        0 12345"))
+    line = F.concat(F.lit("  "), k, F.lit(": 00000000:"), F.lpad(F.hex(k), F.greatest(F.length(F.hex(k)), F.lit(4)), F.lit("0")), F.lit(" 00000000:0000 "), F.when(k % 2 == 0, "0A").otherwise("01"), F.lit(" 00000000:00000000 00:00000000 00000000  "), k % 4, F.lit("        0 12345"))
     text = joined_lines(table(spark, d, "part"), "p_size", "p_partkey", line).select(c("p_size").alias("host"), "text")
     return parsers.hex_sockets(text, "text", "host")
 
