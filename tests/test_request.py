@@ -42,3 +42,10 @@ def test_locations(spark, traced):
     found = request.find_locations(t, spark.createDataFrame([("/PAY/",), ("",), ("/none",), ("y",), ("Y/",), ("/payment",)], "asked string"))
     assert sorted((r["asked"], r["uri"], r["exact"]) for r in found.collect()) == [("/PAY/", "/pay/", True), ("Y/", "/pay/", False), ("y", "/deny", False), ("y", "/dyn/", False), ("y", "/pay/", False)]
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_trace_leaves_no_joins_to_the_end(spark, traced):
+    """Ends are written round by round: a plan that joins every round's branches sends them all to the driver."""
+    paths = request.trace(spark.createDataFrame([("http://nowhere.example.org/",)], "url string"), traced[0])
+    assert "Join" not in paths._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.req, r.reason) for r in paths.collect()] == [("http://nowhere.example.org/", "no entry")]
