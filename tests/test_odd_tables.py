@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import duckdb
 
 from tidegrid.plans import driver_queries
-from tidegrid.plans import report_queries  # noqa: F401  registers its queries
+from tidegrid.plans import report_queries, site_queries  # noqa: F401  register their queries
 
 
 def agree(spark, folder, name, **tables):
@@ -30,3 +32,41 @@ def test_addresses_side_by_side(spark, tmp_path):
 
 def test_ports_beyond_four_digits(spark, tmp_path):
     assert len(agree(spark, tmp_path, "socket_listing", part="SELECT k::BIGINT AS p_partkey, 1 AS p_size FROM (VALUES (10), (65534), (65536), (119998), (20000000)) t(k)")) == 5
+
+
+def test_crowded_hosts(spark, tmp_path):
+    tables = {"supplier": "SELECT k AS s_suppkey FROM range(20) t(k)", "part": "SELECT k AS p_partkey FROM range(4000) t(k)", "customer": "SELECT k AS c_custkey FROM range(900) t(k)"}
+    assert len(agree(spark, tmp_path, "process_status", **tables)) == 900
+    rows = agree(spark, tmp_path, "latest_deployment", **tables)
+    assert len(rows) == 900 and len({r.split(", ", 2)[2] for r in rows}) > 100  # hosts with many processes of a name
+
+
+def test_a_text_that_many_ask_for(spark, tmp_path):
+    tables = {"customer": "SELECT k AS c_custkey, 'Customer#' || k AS c_name, (k % 3)::INTEGER AS c_nationkey FROM range(700) t(k)", "nation": "SELECT k::INTEGER AS n_nationkey FROM range(3) t(k)"}
+    assert len(agree(spark, tmp_path, "location_lookup", **tables)) == 14
+
+
+def test_named_includes(spark):
+    from tidegrid.plans import listings
+
+    files = [("1", f"/etc/n/s/{i}.conf", f"include /etc/n/s/{i // 2}.conf;\ninclude /etc/n/s/x*.conf;") for i in range(40)] + [("1", "/etc/n/s/x1.conf", "include [0].conf;"), ("2", "/etc/n/s/0.conf", "")]
+    edges = listings.include_edges(spark.createDataFrame(files, "instance string, path string, content string"))
+    got = {(r.instance, r.src.split("/")[-1], r.dst.split("/")[-1]) for r in edges.collect()}
+    name = lambda i: f"{i}.conf"
+    assert got == {("1", name(i), name(i // 2)) for i in range(40)} | {("1", name(i), "x1.conf") for i in range(40)}
+    assert re.search(r"\(pattern#\d+ = ", edges._jdf.queryExecution().optimizedPlan().toString())  # paths meet by equality
+
+
+def test_chains_stay_off_the_driver(spark):
+    from tidegrid.operators import graph
+
+    links = spark.createDataFrame([(i, i - 1) for i in range(1, 40)] + [(50, 51), (51, 50)], "src int, dst int")
+    got = {r.node: (r.end, r.distance) for r in graph.chain_ends(links).collect()}
+    assert got == {i: (0, i) for i in range(1, 40)} | {50: (None, None), 51: (None, None)}
+
+
+def test_reached(spark):
+    from tidegrid.operators import graph
+
+    links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (2, 4), (5, 6), (7, 4), (4, 4), (4, 8)], "src int, dst int")
+    assert sorted(r.node for r in graph.reached(links, spark.createDataFrame([(1,), (9,)], "node int")).collect()) == [1, 2, 3, 4, 8, 9]

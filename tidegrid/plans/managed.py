@@ -49,10 +49,24 @@ def _matches(t: dict[str, DataFrame]) -> DataFrame:
     return apps.join(p, "ip").where(reports.matches_process(c("app_name"), c("name"), c("kind"), c("command"))).select("app_id", "ip", "pid", "startedAt")
 
 
+def _running(t: dict[str, DataFrame]) -> DataFrame:
+    """(app_id, ip, startedAt): the servers of an application where it has a process, and when the one with the least pid started.
+
+    What decides is a server's distinct application names and its distinct processes, so a crowded server's applications and processes never meet one by one.
+    """
+    p = t["processes"].where(~F.coalesce("system", F.lit(False))).groupBy(c("asset_ip").alias("ip"), "name", "command").agg(F.min(F.when(c("pid").isNotNull(), F.struct("pid", "startedAt"))).alias("first"))
+    p = p.withColumn("kind", strings.process_type(c("name"), c("command")))
+    apps = _placed(t).select("app_id", "app_name", "ip").distinct()
+    own = apps.select("app_name", "ip").distinct().join(p, "ip").where(reports.matches_process(c("app_name"), c("name"), c("kind"), c("command")))
+    own = own.groupBy("app_name", "ip").agg(F.min("first").alias("first"))
+    found = apps.join(own, ["app_name", "ip"]).groupBy("app_id", "ip").agg(F.min("first").alias("first"))
+    return found.select("app_id", "ip", c("first.startedAt").alias("startedAt"))
+
+
 def process_status(t: dict[str, DataFrame]) -> DataFrame:
     """(app_id, unmatched, not_collected): whether any server of an application lacks its process, or isn't collected."""
     asset = t["assets"].where("ip <> ''").select("ip").distinct().withColumn("known", F.lit(True))
-    has = _matches(t).select("app_id", "ip").distinct().withColumn("has", F.lit(True))
+    has = _running(t).select("app_id", "ip").withColumn("has", F.lit(True))
     x = _placed(t).join(asset, "ip", "left").join(has, ["app_id", "ip"], "left")
     made = x.groupBy("app_id").agg(F.max(c("known").isNotNull() & c("has").isNull()).alias("unmatched"), F.max(c("known").isNull()).alias("not_collected"))
     return t["apps"].select(c("id").alias("app_id")).join(made, "app_id", "left").na.fill(False)
@@ -61,7 +75,7 @@ def process_status(t: dict[str, DataFrame]) -> DataFrame:
 def environment_verdicts(t: dict[str, DataFrame]) -> DataFrame:
     """(app_id, env, not_collected, cannot_login, can_login, matched, unmatched) over the servers of each environment; only a server that can be logged in to proves anything."""
     placed = _placed(t)
-    has = _matches(t).select("app_id", "ip").distinct().withColumn("has", F.lit(True))
+    has = _running(t).select("app_id", "ip").withColumn("has", F.lit(True))
     x = placed.join(server_states(t, placed), "ip").join(has, ["app_id", "ip"], "left")
     on = lambda test, name: F.max(test).alias(name)
     can = c("state") == CAN
@@ -70,8 +84,7 @@ def environment_verdicts(t: dict[str, DataFrame]) -> DataFrame:
 
 def latest_deployment(t: dict[str, DataFrame], webapps: DataFrame) -> DataFrame:
     """(app_id, env, at): the latest start of an application's process, or change of its folder (ip, name, mtime), on its servers; null without either."""
-    first = _matches(t).groupBy("app_id", "ip").agg(F.min_by("startedAt", "pid").alias("startedAt"))
-    started = first.select("app_id", "ip", dates.parse_time(c("startedAt")).alias("at"))
+    started = _running(t).select("app_id", "ip", dates.parse_time(c("startedAt")).alias("at"))
     apps = _placed(t).select("app_id", "ip", strings.squeezed(c("app_name")).alias("k")).distinct()
     changed = apps.join(webapps.select("ip", strings.squeezed(c("name")).alias("k"), c("mtime").alias("at")), ["ip", "k"]).select("app_id", "ip", "at")
     seen = started.unionByName(changed).groupBy("app_id", "ip").agg(F.max("at").alias("at"))

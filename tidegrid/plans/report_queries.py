@@ -18,8 +18,11 @@ def host(k):
     return F.concat(F.lit("10.2."), (k / 250).cast("long"), F.lit("."), k % 250)
 
 
-def inspected(spark, d) -> dict[str, DataFrame]:
-    """Hosts, their processes, machines and what should run there: twenty parts in a row are the processes of a supplier, fifteen customers in a row its applications."""
+def inspected(spark, d, crowded: bool = False) -> dict[str, DataFrame]:
+    """Hosts, their processes, machines and what should run there: twenty parts in a row are the processes of a supplier, fifteen customers in a row its applications.
+
+    crowded: a part is a process of the supplier with its number modulo 97, a customer an application of the one modulo 89, so that few hosts have all.
+    """
     k = c("p_partkey")
     s = table(spark, d, "supplier")
     at = c("s_suppkey")
@@ -28,11 +31,11 @@ def inspected(spark, d) -> dict[str, DataFrame]:
     t["compute"] = s.where(at % 5 == 0).select(F.concat(F.lit("m"), at).alias("id"), F.array(host(at)).alias("privateIps"), F.array().cast("array<string>").alias("publicIps"), F.lit(2).alias("cpu"), F.lit(3.5).alias("memoryGiB"))
     name = F.when(k % 4 == 0, "java").when(k % 4 == 1, "nginx").when(k % 4 == 2, "redis-server").otherwise("init")
     command = F.when(k % 4 == 0, F.concat(F.lit("java -jar /srv/app"), k % 50, F.lit(".jar"))).when(k % 4 == 1, F.when(k % 8 == 1, "nginx: master process").otherwise("nginx: worker process")).when(k % 4 == 2, "redis-server *:6379").otherwise("/sbin/init")
-    p = table(spark, d, "part").select(host(F.expr("p_partkey div 20")).alias("asset_ip"), k.cast("int").alias("pid"), name.alias("name"), command.alias("command"), (k % 4 == 3).alias("system"), F.date_format(F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(0, p_partkey)"), "yyyy-MM-dd HH:mm:ss").alias("startedAt"), F.array(F.struct((k % 7).cast("int").alias("port"), F.lit("*").alias("address"), F.lit("tcp").alias("protocol"))).alias("ports"))
+    p = table(spark, d, "part").select(host(k % 97 if crowded else F.expr("p_partkey div 20")).alias("asset_ip"), k.cast("int").alias("pid"), name.alias("name"), command.alias("command"), (k % 4 == 3).alias("system"), F.date_format(F.expr("timestamp '2024-01-01 00:00:00' + make_dt_interval(0, p_partkey)"), "yyyy-MM-dd HH:mm:ss").alias("startedAt"), F.array(F.struct((k % 7).cast("int").alias("port"), F.lit("*").alias("address"), F.lit("tcp").alias("protocol"))).alias("ports"))
     t["processes"] = p
     ck = c("c_custkey")
     t["apps"] = table(spark, d, "customer").select(F.concat(F.lit("a"), ck).alias("id"))
-    t["deployments"] = table(spark, d, "customer").select(F.concat(F.lit("a"), ck).alias("app_id"), F.concat(F.lit("App-"), ck % 50).alias("app_name"), F.lit("P").alias("env"), host(F.expr("c_custkey div 15")).alias("ip"))
+    t["deployments"] = table(spark, d, "customer").select(F.concat(F.lit("a"), ck).alias("app_id"), F.concat(F.lit("App-"), ck % 50).alias("app_name"), F.lit("P").alias("env"), host(ck % 89 if crowded else F.expr("c_custkey div 15")).alias("ip"))
     t["app_ports"] = s.where(at % 10 == 0).select(host(at).alias("asset_ip"), F.lit(443).alias("port"))
     return t
 
@@ -42,6 +45,7 @@ s AS (SELECT s_suppkey AS k, {HOST} AS ip, s_suppkey % 4 <> 0 AS known, s_suppke
 state AS (SELECT *, CASE WHEN NOT known THEN 'not_collected' WHEN spec AND k % 2 = 0 THEN 'can_login' WHEN spec AND k % 8 > 0 THEN 'can_login' WHEN login THEN 'can_login' ELSE 'cannot_login' END AS state FROM s),
 p AS (SELECT p_partkey AS pid, p_partkey // 20 AS h, p_partkey % 4 AS kind, p_partkey % 50 AS app, p_partkey % 7 AS port FROM part),
 d AS (SELECT c_custkey AS k, c_custkey % 50 AS app, c_custkey // 15 AS h FROM customer)"""
+CROWDED = INSPECTED.replace("p_partkey // 20", "p_partkey % 97").replace("c_custkey // 15", "c_custkey % 89")
 
 
 @query(f"""
@@ -86,22 +90,22 @@ def server_comparison(spark, d):
 
 
 @query(f"""
-WITH {INSPECTED}, {MATCHED}
+WITH {CROWDED}, {MATCHED}
 SELECT 'a' || d.k AS app_id, coalesce(known AND m.pid IS NULL, FALSE) AS unmatched, NOT coalesce(known, FALSE) AS not_collected FROM d LEFT JOIN s ON s.k = d.h LEFT JOIN m ON m.k = d.k
 """)
 def process_status(spark, d):
     """Applications a server of which lacks their process or isn't collected."""
-    return managed.process_status(inspected(spark, d)).select("app_id", F.coalesce("unmatched", F.lit(False)).alias("unmatched"), "not_collected")
+    return managed.process_status(inspected(spark, d, crowded=True)).select("app_id", F.coalesce("unmatched", F.lit(False)).alias("unmatched"), "not_collected")
 
 
 @query(f"""
-WITH {INSPECTED}, {MATCHED}
+WITH {CROWDED}, {MATCHED}
 SELECT 'a' || d.k AS app_id, 'P' AS env, TIMESTAMP '2024-01-01' - INTERVAL 8 HOUR + to_hours(m.pid::BIGINT) AS at FROM d LEFT JOIN m ON m.k = d.k
 """.replace(" AS at FROM", ' AS "at" FROM'))
 def latest_deployment(spark, d):
     """When each application was last started, by its processes."""
     none = spark.createDataFrame([], "ip string, name string, mtime timestamp")
-    return managed.latest_deployment(inspected(spark, d), none)
+    return managed.latest_deployment(inspected(spark, d, crowded=True), none)
 
 
 @query(f"""
