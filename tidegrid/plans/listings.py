@@ -267,19 +267,20 @@ def include_statements(files: DataFrame) -> DataFrame:
 def include_edges(files: DataFrame) -> DataFrame:
     """(instance, src, dst) of files that include others, by name or by * within one folder level.
 
-    A pattern is compared with the files of its own folder and instance only; one with a * in a folder's name with the files below the folder that it names before.
+    A pattern without a * is a file's path. One with a * is compared with the files of its own folder and instance only; if the * is in a folder's name, with the files below the folder that it names before.
     """
     said = include_statements(files).where("pattern is not null").select("instance", c("path").alias("src"), "pattern").distinct()
     folder = lambda p: F.regexp_replace(p, "/[^/]*$", "")
     target = files.select("instance", c("path").alias("dst"), folder(c("path")).alias("folder"))
     form = F.concat(F.lit("^"), F.replace(F.regexp_replace("pattern", r"([.+^${}()|\[\]\\])", r"\\$1"), F.lit("*"), F.lit("[^/]*")), F.lit("$"))
     fits = F.regexp_like("dst", form)
-    near = said.withColumn("folder", folder(c("pattern")))
+    named = said.where(~c("pattern").contains("*")).join(target.withColumn("pattern", c("dst")), ["instance", "pattern"])
+    near = said.where(c("pattern").contains("*")).withColumn("folder", folder(c("pattern")))
     plain = near.where(~c("folder").contains("*")).join(target, ["instance", "folder"]).where(fits)
     above = F.transform(F.filter(F.sequence(F.lit(1), F.length("dst")), lambda i: F.substring("dst", i, F.lit(1)) == "/"), lambda i: F.substring("dst", F.lit(1), i))
     below = target.drop("folder").withColumn("lead", F.explode(above))
     wild = near.where(c("folder").contains("*")).withColumn("lead", F.regexp_extract("pattern", r"^([^*]*/)", 1)).drop("folder").join(below, ["instance", "lead"]).where(fits)
-    return plain.select("instance", "src", "dst").unionByName(wild.select("instance", "src", "dst")).distinct()
+    return named.select("instance", "src", "dst").unionByName(plain.select("instance", "src", "dst")).unionByName(wild.select("instance", "src", "dst")).distinct()
 
 
 def included_files(files: DataFrame, starts: DataFrame) -> DataFrame:
