@@ -213,7 +213,7 @@ def chain_ends(links: DataFrame) -> DataFrame:
     state = settle(one.select(F.col("src").alias("node"), F.col("dst").alias("at"), F.lit(1).cast("long").alias("distance")), "ends")
     total = state.count()
     while True:
-        ahead = state.select(F.col("node").alias("_node"), F.col("at").alias("_at"), F.col("distance").alias("_distance"))
+        ahead = state.select(F.col("node").alias("_node"), F.col("at").alias("_at"), F.col("distance").alias("_distance")).hint("merge")  # both sides are whole tables: never sent to the driver
         moved = state.join(ahead, F.col("at") == F.col("_node"), "left")
         state = settle(moved.select("node", F.coalesce("_at", "at").alias("at"), (F.col("distance") + F.coalesce("_distance", F.lit(0))).alias("distance"), F.col("_node").isNull().alias("ended")), "ends")
         open_ = state.where("not ended")
