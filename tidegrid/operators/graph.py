@@ -203,6 +203,24 @@ def closure(links: DataFrame, starts: DataFrame, depth: int | None = None) -> Da
     return seen
 
 
+def reached(links: DataFrame, starts: DataFrame) -> DataFrame:
+    """(node): the starts (column node) and all nodes that they reach over directed links (src, dst), whichever start it was; ends on cycles.
+
+    A link is followed once and then gone, so each round carries only the links that nothing has reached, and no round meets what was seen before.
+    """
+    links = settle(links.select("src", "dst").where("src is not null and dst is not null").distinct(), "links")
+    seen = front = settle(starts.select("node").distinct(), "reached")
+    for k in count(1):
+        here = front.select(F.col("node").alias("_node")).hint("merge")
+        both = settle(links.join(here, F.col("src") == F.col("_node"), "left").select("src", "dst", F.col("_node").isNotNull().alias("hit")), "links")
+        front = settle(both.where("hit").select(F.col("dst").alias("node")).distinct(), "reached")
+        if front.isEmpty():
+            break
+        links = both.where("not hit").drop("hit")
+        seen = merged(seen, front, k, "reached")
+    return seen.distinct()
+
+
 def chain_ends(links: DataFrame) -> DataFrame:
     """(node, end, distance) of links (src, dst), of which each src has one: where following them ends; end is null for what runs into a cycle.
 

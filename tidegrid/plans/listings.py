@@ -120,7 +120,7 @@ def reachable_commits(commits: DataFrame, heads: DataFrame) -> DataFrame:
     """
     key = lambda sha: F.concat_ws("@", sha, "repository")
     links = commits.select(key(c("sha")).alias("src"), F.explode("parents").alias("p"), "repository").select("src", key(c("p")).alias("dst"))
-    found = graph.closure(links.where("dst is not null"), heads.select(key(c("sha")).alias("node")).distinct()).select("node").distinct()
+    found = graph.reached(links, heads.select(key(c("sha")).alias("node")))
     return commits.withColumn("node", key(c("sha"))).join(found, "node").select("repository", "sha", "at").distinct()
 
 
