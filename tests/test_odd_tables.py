@@ -70,3 +70,19 @@ def test_reached(spark):
 
     links = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (2, 4), (5, 6), (7, 4), (4, 4), (4, 8)], "src int, dst int")
     assert sorted(r.node for r in graph.reached(links, spark.createDataFrame([(1,), (9,)], "node int")).collect()) == [1, 2, 3, 4, 8, 9]
+
+
+def test_overlaps_are_counted_not_listed(spark):
+    import random
+
+    from tidegrid.operators import relational as rel
+
+    rng = random.Random(5)
+    made = lambda n: [(rng.choice("ab"), rng.randint(0, 30), rng.randint(0, 30)) for _ in range(n)] + [("a", 3, 3), (None, 1, 2), ("b", None, 4)]
+    asked, others = made(60), made(80)  # half of them end before they begin
+    got = rel.overlap_counts(spark.createDataFrame(asked, "k string, a int, b int"), spark.createDataFrame(others, "k string, c int, d int"), ["k"], "a", "b", "c", "d")
+    want = {}
+    for k, a, b in {x for x in asked if None not in x}:
+        n = sum(1 for y in others if None not in y and y[0] == k and y[2] >= a and y[1] <= b)
+        want |= {(k, a, b): n} if n else {}
+    assert {tuple(r)[:3]: r.overlaps for r in got.collect()} == want

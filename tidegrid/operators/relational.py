@@ -7,11 +7,14 @@ windows partitioned by a key, and aggregations with partial sums.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidegrid.operators.graph import settle
+
 
 # sets --------------------------------------------------------------------------------------------
 def overriding_union(base: DataFrame, override: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -215,6 +218,38 @@ def first_reason(rules: Sequence[tuple[str, Column]], last: bool = False) -> Col
     return F.coalesce(*failed, F.lit(None).cast("string"))
 
 
+def overlap_counts(asked: DataFrame, others: DataFrame, by: Sequence[str], low: str, high: str, o_low: str, o_high: str) -> DataFrame:
+    """(by, low, high, overlaps) of the distinct intervals asked: how many others of the same key have o_high >= low and o_low <= high; those with none are left out.
+
+    Others that begin by an interval's end, less those that end before its begin: both are running sums over one sort by key and time, however many overlap.
+    A range of the sort is summed by itself, then the ranges' sums are added up; what other keys add to both sums is the same. Intervals that end before they begin are compared one by one.
+    """
+    by, whole = list(by), reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in by])
+    a = asked.select(*by, F.col(low).alias("_low"), F.col(high).alias("_high")).where(whole & F.col("_low").isNotNull() & F.col("_high").isNotNull()).distinct()
+    o = others.select(*by, F.col(o_low).alias("_from"), F.col(o_high).alias("_to")).where(whole & F.col("_from").isNotNull() & F.col("_to").isNotNull())
+    o = o.groupBy(*by, "_from", "_to").agg(F.count("*").alias("_n"))
+    good_a, good_o = F.col("_low") <= F.col("_high"), F.col("_from") <= F.col("_to")
+    zero = F.lit(0).cast("long")
+    mark = lambda df, at, place, begun, ended: df.select(*by, F.col(at).alias("_at"), F.lit(place).alias("_place"), begun.alias("_begun"), ended.alias("_ended"))
+    fine = o.where(good_o)
+    # at one time: begins, then what is asked, then ends
+    marks = mark(fine, "_from", 0, F.col("_n"), zero).unionByName(mark(a.where(good_a), "_low", 1, zero, zero)).unionByName(mark(a.where(good_a), "_high", 1, zero, zero)).unionByName(mark(fine, "_to", 2, zero, F.col("_n")))
+    order = [*by, "_at", "_place"]
+    marks = marks.groupBy(*order).agg(F.sum("_begun").alias("_begun"), F.sum("_ended").alias("_ended"))
+    dealt = settle(marks.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "marks")
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # one row for each range
+    base = dealt.groupBy("_part").agg(F.sum("_begun").alias("_b"), F.sum("_ended").alias("_e")).select("_part", *[F.coalesce(F.sum(k).over(before), zero).alias(k) for k in ("_b", "_e")])
+    inside = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    sums = dealt.select(*order, "_part", F.sum("_begun").over(inside).alias("_begun"), F.sum("_ended").over(inside).alias("_ended")).where("_place = 1").join(base, "_part")
+    sums = settle(sums.select(*by, "_at", (F.col("_begun") + F.col("_b")).alias("_begun"), (F.col("_ended") + F.col("_e")).alias("_ended")), "sums")
+    counted = a.where(good_a).join(sums.select(*by, F.col("_at").alias("_high"), "_begun"), [*by, "_high"]).join(sums.select(*by, F.col("_at").alias("_low"), "_ended"), [*by, "_low"])
+    counted = counted.select(*by, "_low", "_high", (F.col("_begun") - F.col("_ended")).alias("overlaps"))
+    met = (F.col("_to") >= F.col("_low")) & (F.col("_from") <= F.col("_high"))
+    odd = a.join(o.where(~good_o), by).where(met).unionByName(a.where(~good_a).join(fine, by).where(met)).select(*by, "_low", "_high", F.col("_n").alias("overlaps"))
+    both = counted.unionByName(odd).groupBy(*by, "_low", "_high").agg(F.sum("overlaps").alias("overlaps")).where("overlaps > 0")
+    return both.withColumnsRenamed({"_low": low, "_high": high})
+
+
 def agree_on_view(members: DataFrame, group: str, member: str, view: str) -> DataFrame:
     """(group, members, agreed): whether all of a group's members report one view, an array, and that is exactly the members."""
     told = members.groupBy(group).agg(F.array_sort(F.collect_set(member)).alias("members"), F.countDistinct(F.to_json(F.array_sort(view))).alias("_views"), F.min(F.array_sort(view)).alias("_view"))

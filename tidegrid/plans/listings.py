@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 
 from tidegrid.functions import dates, net, strings
 from tidegrid.operators import graph
+from tidegrid.operators import relational as rel
 
 c = F.col
 #: Periods of a repository's last commit: months before the reference, newest bound exclusive unless it is the reference itself, oldest inclusive; months count in UTC.
@@ -172,13 +173,14 @@ def disambiguate(rows: DataFrame, by: Sequence[str], detail: str = "detail", pid
 def temporal_ambiguity(flows: DataFrame, observations: DataFrame) -> DataFrame:
     """Flow rows with ambiguous_in_time: an observation of the other end that overlaps the flow's life overlaps another flow's of the same addresses and ports, too.
 
-    observations: (local_ip, local_port, peer_ip, peer_port, obs_start, obs_end) at the peer.  Each is joined to the flows of its tuple once and counted.
+    observations: (local_ip, local_port, peer_ip, peer_port, obs_start, obs_end) at the peer.  Overlaps are counted both ways, never listed.
     """
     ends = ["local_ip", "local_port", "peer_ip", "peer_port"]
     o = observations.select(c("peer_ip").alias("local_ip"), c("peer_port").alias("local_port"), c("local_ip").alias("peer_ip"), c("local_port").alias("peer_port"), "obs_start", "obs_end").distinct()
-    met = flows.select(*ends, "socket_id", "first_at", "last_at").join(o, ends).where((c("obs_end") >= c("first_at")) & (c("obs_start") <= c("last_at")))
-    many = met.groupBy(*ends, "obs_start", "obs_end").agg(F.count("*").alias("n")).where("n > 1")
-    hit = met.join(many, [*ends, "obs_start", "obs_end"], "left_semi").select(*[c(k).alias(f"_{k}") for k in (*ends, "socket_id")]).distinct().withColumn("_hit", F.lit(True))
+    life = flows.select(*ends, "socket_id", "first_at", "last_at")
+    many = rel.overlap_counts(o, life, ends, "obs_start", "obs_end", "first_at", "last_at").where("overlaps > 1")
+    met = rel.overlap_counts(life, many, ends, "first_at", "last_at", "obs_start", "obs_end").drop("overlaps")
+    hit = life.join(met, [*ends, "first_at", "last_at"], "left_semi").select(*[c(k).alias(f"_{k}") for k in (*ends, "socket_id")]).distinct().withColumn("_hit", F.lit(True))
     same = reduce(lambda a, b: a & b, [c(k).eqNullSafe(c(f"_{k}")) for k in (*ends, "socket_id")])
     return flows.join(hit, same, "left").select(*flows.columns, F.coalesce("_hit", F.lit(False)).alias("ambiguous_in_time"))
 
