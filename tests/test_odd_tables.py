@@ -86,3 +86,13 @@ def test_overlaps_are_counted_not_listed(spark):
         n = sum(1 for y in others if None not in y and y[0] == k and y[2] >= a and y[1] <= b)
         want |= {(k, a, b): n} if n else {}
     assert {tuple(r)[:3]: r.overlaps for r in got.collect()} == want
+
+
+def test_shared_views(spark):
+    from tidegrid.operators import relational as rel
+
+    members = [(g, m, "v" if g != 3 or m == "a" else "w") for g in range(6) for m in "abc"] + [(6, "a", None), (7, "a", "v"), (7, "b", None)]
+    views = [(0, "v", m) for m in "cba"] + [(1, "v", m) for m in "abcx"] + [(2, "v", m) for m in "ab"] + [(3, "v", m) for m in "abc"] + [(3, "w", "b")] + [(4, "v", m) for m in "abcc"] + [(7, "v", "a"), (7, "v", "b")]
+    told, said = spark.createDataFrame(members, "g int, m string, v string"), spark.createDataFrame(views, "g int, v string, e string")
+    got = {r.g: (r.members, r.agreed) for r in rel.agree_on_shared_view(told, said, "g", "m", "v", "e").collect()}
+    assert got == {0: (3, True), 1: (3, False), 2: (3, False), 3: (3, False), 4: (3, False), 5: (3, False), 6: (1, False), 7: (2, True)}

@@ -218,6 +218,21 @@ def first_reason(rules: Sequence[tuple[str, Column]], last: bool = False) -> Col
     return F.coalesce(*failed, F.lit(None).cast("string"))
 
 
+def agree_on_shared_view(members: DataFrame, views: DataFrame, group: str, member: str, view: str, entry: str) -> DataFrame:
+    """agree_on_view() where views that several members report are written once: members (group, member, view), views (group, view, entry).
+
+    A group agrees if each view that it reports has its members as entries, all of them, each once and nothing else. Members without a view don't count.
+    """
+    who = members.select(group, F.col(member).alias("_entry")).distinct()
+    size = who.groupBy(group).agg(F.count("_entry").alias("members"))
+    told = members.where(F.col(view).isNotNull()).select(group, view).distinct()
+    said = views.select(group, view, F.col(entry).alias("_entry")).groupBy(group, view, "_entry").agg(F.count("*").alias("_n"))
+    known = who.withColumn("_known", F.lit(True))
+    each = told.join(said, [group, view], "left").join(known, [group, "_entry"], "left").groupBy(group, view).agg(F.sum("_n").alias("_said"), F.count("_known").alias("_met"))
+    fits = each.join(size, group).groupBy(F.col(group).alias("_group")).agg(F.min((F.col("_said") == F.col("members")) & (F.col("_met") == F.col("members"))).alias("_fits"))
+    return size.join(fits, F.col(group) == F.col("_group"), "left").select(group, "members", F.coalesce("_fits", F.lit(False)).alias("agreed"))
+
+
 def overlap_counts(asked: DataFrame, others: DataFrame, by: Sequence[str], low: str, high: str, o_low: str, o_high: str) -> DataFrame:
     """(by, low, high, overlaps) of the distinct intervals asked: how many others of the same key have o_high >= low and o_low <= high; those with none are left out.
 
