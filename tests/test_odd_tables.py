@@ -96,3 +96,13 @@ def test_shared_views(spark):
     told, said = spark.createDataFrame(members, "g int, m string, v string"), spark.createDataFrame(views, "g int, v string, e string")
     got = {r.g: (r.members, r.agreed) for r in rel.agree_on_shared_view(told, said, "g", "m", "v", "e").collect()}
     assert got == {0: (3, True), 1: (3, False), 2: (3, False), 3: (3, False), 4: (3, False), 5: (3, False), 6: (1, False), 7: (2, True)}
+
+
+def test_candidates_are_written_once(spark, tmp_path):
+    from tidegrid.plans import topology
+
+    con = duckdb.connect()
+    con.sql(f"copy (SELECT k AS c_custkey, 'Customer#' || k AS c_name, (k % 3)::INTEGER AS c_nationkey FROM range(40) t(k)) to '{tmp_path}/customer.parquet' (format parquet)")
+    con.sql(f"copy (SELECT k::INTEGER AS n_nationkey FROM range(3) t(k)) to '{tmp_path}/nation.parquet' (format parquet)")
+    for df in topology.build(site_queries.site(spark, str(tmp_path))):
+        assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
