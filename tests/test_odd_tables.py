@@ -106,3 +106,10 @@ def test_candidates_are_written_once(spark, tmp_path):
     con.sql(f"copy (SELECT k::INTEGER AS n_nationkey FROM range(3) t(k)) to '{tmp_path}/nation.parquet' (format parquet)")
     for df in topology.build(site_queries.site(spark, str(tmp_path))):
         assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_all_paths_of_a_region(spark, tmp_path):
+    tables = {"region": "SELECT 0 AS r_regionkey", "nation": "SELECT 0 AS n_nationkey, 0 AS n_regionkey", "supplier": "SELECT k AS s_suppkey, 0 AS s_nationkey FROM range(70) t(k)", "customer": "SELECT 1::BIGINT AS c_custkey, 0 AS c_nationkey",
+              "orders": "SELECT k AS o_orderkey, 1::BIGINT AS o_custkey, 'F' AS o_orderstatus FROM range(5) t(k)", "lineitem": "SELECT k % 5 AS l_orderkey, k AS l_suppkey FROM range(40) t(k)"}
+    assert len(agree(spark, tmp_path, "bounded_paths", **tables)) == 110
+    assert len(agree(spark, tmp_path, "first_paths", **tables)) == 50
