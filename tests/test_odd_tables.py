@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 import duckdb
+import pytest
 
 from tidegrid.plans import driver_queries
 from tidegrid.plans import report_queries, site_queries  # noqa: F401  register their queries
 
+TABLES = Path("/root/testdata/sf0.001")
+
 
 def agree(spark, folder, name, **tables):
     """Whether a query on tables given as SQL returns its SQL's rows; the rows."""
@@ -113,3 +117,10 @@ def test_all_paths_of_a_region(spark, tmp_path):
               "orders": "SELECT k AS o_orderkey, 1::BIGINT AS o_custkey, 'F' AS o_orderstatus FROM range(5) t(k)", "lineitem": "SELECT k % 5 AS l_orderkey, k AS l_suppkey FROM range(40) t(k)"}
     assert len(agree(spark, tmp_path, "bounded_paths", **tables)) == 110
     assert len(agree(spark, tmp_path, "first_paths", **tables)) == 50
+
+
+def test_the_validated_graph_is_written_once(spark):
+    if not TABLES.exists():
+        pytest.skip("the driver's tables aren't here")
+    found = driver_queries.QUERIES["graph_validate"](spark, str(TABLES))
+    assert "l_orderkey" not in found._jdf.queryExecution().optimizedPlan().toString()
