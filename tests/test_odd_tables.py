@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from tidegrid.plans import driver_queries
-from tidegrid.plans import report_queries, site_queries  # noqa: F401  register their queries
+from tidegrid.plans import feature_queries, report_queries, site_queries  # noqa: F401  register their queries
 
 TABLES = Path("/root/testdata/sf0.001")
 
@@ -124,3 +124,29 @@ def test_the_validated_graph_is_written_once(spark):
         pytest.skip("the driver's tables aren't here")
     found = driver_queries.QUERIES["graph_validate"](spark, str(TABLES))
     assert "l_orderkey" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blocks_of_a_text_are_found_at_once(spark, tmp_path):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidegrid.functions import strings
+    from tidegrid.sources import proxyconf
+
+    rng = random.Random(7)
+    pieces = ["location /a {", "  location   = /b # {", "{", "}", "} }", "location /a{", "location ~ x{2} {", "\tlocation /c", "return '}';", 'x "{";', "# }", "", "server {", "location", "location /a b {", "\\{ y;", "location /a # }\r"]
+    texts = [(i, rng.choice(["\n", "\r\n"]).join(rng.choice(pieces) for _ in range(rng.randint(0, 25)))) for i in range(150)] + [(150, None), (151, "")]
+    uris = ["/a", "= /b", "=  /b ", "~ x{2}", "/c", "/a b", " ", "/none", "/a #", "~ x", None]
+    texts = spark.createDataFrame(texts, "k int, text string").repartition(4)
+    asked = texts.select("k").crossJoin(spark.createDataFrame([(u,) for u in uris], "uri string")).unionByName(spark.createDataFrame([(999, "/a")], "k int, uri string"))
+    want = asked.join(texts, "k", "left").select("k", "uri", strings.location_block(F.col("text"), F.col("uri")).alias("x"))
+    want = {(r.k, r.uri): tuple(r.x) if r.x else (None, None) for r in want.collect()}
+    got = proxyconf.location_blocks(texts, asked.unionByName(asked.where("k < 9")), ["k"]).where("uri is not null")
+    found = {(r.k, r.uri): (r.start, r.end) for r in got.collect()}
+    assert found == {k: v for k, v in want.items() if k[1] is not None} and len({v for v in found.values()}) > 20
+    # one customer with many orders: its text is not read again for each of them
+    tables = {"customer": "SELECT 1::BIGINT AS c_custkey, 'Customer#1' AS c_name", "orders": "SELECT k AS o_orderkey, 1::BIGINT AS o_custkey, CASE k % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'F' ELSE 'P' END AS o_orderstatus FROM range(1500) t(k)"}
+    assert len(agree(spark, tmp_path, "location_blocks", **tables)) == 1500
+    plan = driver_queries.QUERIES["location_blocks"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" in plan

@@ -125,15 +125,30 @@ def stable_key(*columns: Column) -> Column:
     return F.sha2(F.to_json(F.struct(*[c.alias(f"c{i}") for i, c in enumerate(named)]), {"ignoreNullFields": "false"}), 256)
 
 
+def location_words(uri: Column) -> Column:
+    """The arguments of a location, escaped for a regular expression."""
+    return F.transform(F.filter(F.split(F.trim(uri), r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(w, r"([.*+?^$(){}|\[\]\\])", r"\\$1"))
+
+
+def location_opening(uri: Column) -> Column:
+    """Regular expression of a line that opens a location with these arguments; blanks between them don't matter."""
+    return F.concat(F.lit(r"^[ \t]*location[ \t]+"), F.array_join(location_words(uri), r"[ \t]+"), F.lit(r"(?:[ \t]*\{|[ \t]*#|[ \t]*$)"))
+
+
+def bare_line(line: Column) -> Column:
+    """A line without what is escaped, quoted or a comment."""
+    return F.regexp_replace(F.regexp_replace(line, r"""\\.|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""", ""), r"#.*$", "")
+
+
 def location_block(content: Column, uri: Column) -> Column:
     """(start, end) of the lines, from 0, of the first location block with these arguments; null without one or if it isn't closed.
 
     Blanks between the arguments don't matter. Braces in quotes and comments don't count. The nesting is a running sum over lines, kept in one fold.
+    Each call reads the whole text; proxyconf.location_blocks() reads it once for all that is asked of it.
     """
     lines = F.split(content, "\r?\n", -1)
-    words = F.transform(F.filter(F.split(F.trim(uri), r"\s+"), lambda w: w != ""), lambda w: F.regexp_replace(w, r"([.*+?^$(){}|\[\]\\])", r"\\$1"))
-    opening = F.concat(F.lit(r"^[ \t]*location[ \t]+"), F.array_join(words, r"[ \t]+"), F.lit(r"(?:[ \t]*\{|[ \t]*#|[ \t]*$)"))
-    bare = F.transform(lines, lambda s: F.regexp_replace(F.regexp_replace(s, r"""\\.|"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*'""", ""), r"#.*$", ""))
+    words, opening = location_words(uri), location_opening(uri)
+    bare = F.transform(lines, bare_line)
     start = F.array_position(F.transform(lines, lambda s: F.regexp_like(s, opening)), F.lit(True)) - 1
     count = lambda s, brace: F.length(s) - F.length(F.replace(s, F.lit(brace), F.lit("")))
     state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("opened"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("end"))

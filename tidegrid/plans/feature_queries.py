@@ -9,7 +9,6 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from tidegrid.functions import strings
 from tidegrid.operators import flows, graph, memo
 from tidegrid.plans import reports
 from tidegrid.plans.driver_queries import query, table
@@ -195,5 +194,6 @@ def location_blocks(spark, d):
     key = c("o_orderkey").cast("string")
     block = F.when(c("o_orderstatus") == "O", F.concat(F.lit("  location  = /o/"), key, F.lit(" {\n    return 200 \"}\"; # }\n  }\n"))).when(c("o_orderstatus") == "F", F.concat(F.lit("  location = /o/"), key, F.lit(" # {\n  {\n    if ($a) { set $b '{'; }\n    # }}\n  }\n"))).otherwise(F.concat(F.lit("  # location = /o/"), key, F.lit(" {\n")))
     text = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", block.alias("block")))).alias("x")).select("o_custkey", F.concat(F.lit("server {\n"), F.array_join(F.transform("x", lambda b: b["block"]), ""), F.lit("}\n")).alias("text"))
-    found = o.join(text, "o_custkey").select(c("o_custkey").alias("c_custkey"), "o_orderkey", strings.location_block(c("text"), F.concat(F.lit("= /o/"), key)).alias("at"))
-    return found.select("c_custkey", "o_orderkey", c("at.start").alias("first"), c("at.end").alias("last"))
+    asked = o.select("o_custkey", "o_orderkey", F.concat(F.lit("= /o/"), key).alias("uri"))
+    found = asked.join(proxyconf.location_blocks(text, asked, ["o_custkey"]), ["o_custkey", "uri"])
+    return found.select(c("o_custkey").alias("c_custkey"), "o_orderkey", c("start").alias("first"), c("end").alias("last"))

@@ -14,9 +14,10 @@ from itertools import count
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidegrid.functions import net
+from tidegrid.functions import net, strings
 from tidegrid.operators.graph import settle
 
 # Directives that pass a request on, and blocks that are evaluated under a condition.
@@ -248,3 +249,32 @@ def routes(directives: DataFrame) -> DataFrame:
     still = denied.unionByName(static).withColumn("upstream", F.lit("")).withColumn("backends", F.array().cast(made.schema["backends"].dataType))
     out = ["dump", "file", "context", "server_names", "listen", "uri", "directive", "target", "upstream", "backends"]
     return made.select(out).unionByName(still.select(out)).distinct()
+
+
+def location_blocks(texts: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., uri, start, end): strings.location_block() of each distinct (keys..., uri) that is asked of the texts (keys..., text), null where it finds none.
+
+    Every text is read once, whatever is asked of it. Its lines are rows with a running depth; a line that goes down closes
+    the levels that it leaves, and a block ends where its level is closed next after its first brace. What is asked meets the
+    lines that begin with the same words, up to a brace or comment sign, and is compared with these only.
+    """
+    c = F.col
+    words = lambda x: F.array_join(F.filter(F.split(F.regexp_replace(x, r"(?s)[{#].*$", ""), r"[\s\u0085\u2028\u2029]+"), lambda w: w != ""), " ")
+    count = lambda s, brace: F.length(s) - F.length(F.replace(s, F.lit(brace), F.lit("")))
+    lines = texts.select(*keys, F.posexplode(F.split("text", "\r?\n", -1)).alias("line", "s")).withColumn("bare", strings.bare_line(c("s")))
+    lines = lines.select(*keys, "line", F.when(F.regexp_like("s", F.lit(r"^[ \t]*location[ \t]+")), c("s")).alias("s"), count(c("bare"), "{").alias("up"), count(c("bare"), "}").alias("down"))
+    back = W.partitionBy(*keys).orderBy(F.desc("line")).rowsBetween(W.unboundedPreceding, 0)
+    lines = lines.withColumn("before", F.sum(c("down") - c("up")).over(back)).withColumn("depth", c("before") + c("up") - c("down"))  # counted from the text's end, as only differences matter: one sort for both
+    lines = lines.withColumn("first", F.last(F.when(c("up") > 0, F.struct("line", "depth")), ignorenulls=True).over(back))
+    # a row for each opening line at the level around it, and one for each level that a line leaves
+    opens = F.when(c("s").isNotNull() & c("first").isNotNull(), F.array(F.struct(c("before").alias("level"), c("first.line").alias("at"), F.lit(False).alias("left"))))
+    leaves = F.when(c("depth") < c("before"), F.transform(F.sequence(c("depth"), c("before") - 1), lambda x: F.struct(x.alias("level"), c("line").alias("at"), F.lit(True).alias("left"))))
+    none = F.array().cast("array<struct<level:bigint,at:int,left:boolean>>")
+    events = lines.select(*keys, c("line").alias("start"), "s", "first", F.explode(F.concat(F.coalesce(opens, none), F.coalesce(leaves, none))).alias("e")).select(*keys, "start", "s", "first", "e.*")
+    after = W.partitionBy(*keys, "level").orderBy(F.desc("at"), "left").rowsBetween(W.unboundedPreceding, 0)
+    events = events.withColumn("next", F.last(F.when(c("left"), c("at")), ignorenulls=True).over(after)).where("not left")
+    blocks = events.select(*keys, "s", "start", F.when(c("first.depth") <= c("level"), c("at")).otherwise(c("next")).alias("end"), words(F.regexp_replace("s", r"^[ \t]*location[ \t]+", "")).alias("words"))
+    each = asked.select(*keys, "uri").distinct().withColumn("words", words(c("uri"))).withColumn("opening", F.when(F.size(strings.location_words(c("uri"))) > 0, strings.location_opening(c("uri"))))
+    found = each.join(blocks, [*keys, "words"], "left")
+    found = found.groupBy(*keys, "uri").agg(F.min(F.when(F.regexp_like("s", c("opening")), F.struct("start", "end"))).alias("x"))
+    return found.select(*keys, "uri", F.when(c("x.end").isNotNull(), c("x.start")).alias("start"), c("x.end").alias("end"))
