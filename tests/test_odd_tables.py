@@ -150,3 +150,24 @@ def test_blocks_of_a_text_are_found_at_once(spark, tmp_path):
     assert len(agree(spark, tmp_path, "location_blocks", **tables)) == 1500
     plan = driver_queries.QUERIES["location_blocks"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode" in plan
+
+
+def test_paths_are_counted_not_listed(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tidegrid.operators import graph
+
+    rng = random.Random(3)
+    nodes = [(f"n{i}", "T" if i in (7, 8, 9) else "S" if i < 3 else "M", "active") for i in range(10)]
+    edges = [(f"e{i}", f"n{rng.randrange(10)}", f"n{rng.randrange(10)}", "X", "GLOBAL", rng.choice(["EXACT", "INFERRED", "AMBIGUOUS", "UNKNOWN", None])) for i in range(26)]
+    edges += [(f"p{i}", *e[1:]) for i, e in enumerate(edges)]  # each twice
+    nodes, edges = spark.createDataFrame(nodes, "id string, type string, status string"), spark.createDataFrame(edges, "id string, src string, dst string, type string, env string, confidence string")
+    key = ["start_id", "end_id", "length", "confidence"]
+    for directed, starts in ((True, "type = 'S'"), (False, "type <> 'M'")):  # targets that are starts can be met again
+        steps, chosen = graph.adjacency(edges, directed=directed), nodes.where(starts)
+        paths, _ = graph.paths(nodes, steps, chosen, ["T"], depth=5, most=None)
+        want = {tuple(r)[:4]: r.n for r in paths.groupBy(*key).agg(F.count("*").alias("n")).collect()}
+        got = {tuple(r)[:4]: r.paths for r in graph.path_counts(nodes, steps, chosen, ["T"], depth=5).select(*key, "paths").collect()}
+        assert got == want and max(got.values()) > 1

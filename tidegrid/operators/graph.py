@@ -112,18 +112,78 @@ def adjacency(edges: DataFrame, environments: Sequence[str] | None = None, direc
 
 def distances(nodes: DataFrame, steps: DataFrame, targets: Sequence[str], most: int | None = None) -> DataFrame:
     """(node, distance): steps to the nearest node of a target type; nodes that reach none, or none within most steps if that is given, are left out."""
-    steps = settle(steps.select("node", "neighbour"), "steps")
+    return _distances(nodes, settle(steps.select("node", "neighbour"), "steps"), targets, most)
+
+
+def _distances(nodes: DataFrame, steps: DataFrame, targets: Sequence[str], most: int | None) -> DataFrame:
+    """distances() over steps that are written already; where every node is seen, no further round looks for more."""
     known = settle(nodes.select(F.col("id").alias("node"), "type"), "nodes")
     seen = front = settle(known.where(F.col("type").isin(*targets)).select("node", F.lit(0).alias("distance")).distinct(), "dist")
+    left = known.count() - front.count()
     for k in count(1) if most is None else range(1, most + 1):
+        if left <= 0:
+            break
         reached = steps.join(front.select(F.col("node").alias("neighbour")), "neighbour").select("node").distinct()
         front = settle(reached.join(known, "node", "left_semi").join(seen, "node", "left_anti").withColumn("distance", F.lit(k)), "dist")
-        if front.isEmpty():
+        new = front.count()
+        if not new:
             break
+        left -= new
         seen = merged(seen, front, k, "dist")
     return seen
 
 
+def _ahead(nodes: DataFrame, kind: DataFrame, steps: DataFrame, targets: Sequence[str], depth: int, more: Sequence[str] = ()) -> DataFrame:
+    """(node, neighbour, more..., rank, distance, arrived, open): the steps to nodes (id, type, status of kind) from which a target is within depth; distance is what is still to go."""
+    steps = settle(steps.select("node", "neighbour", "confidence", *more), "steps")
+    far = _distances(nodes, steps, targets, depth)
+    return settle(steps.join(far.withColumnRenamed("node", "neighbour"), "neighbour").join(kind.withColumnRenamed("id", "neighbour"), "neighbour").select(
+        "node", "neighbour", *more, rank_of(F.col("confidence")).alias("rank"), "distance", F.col("type").isin(*targets).alias("arrived"),
+        F.coalesce(F.col("status").isin("unresolved", "external"), F.lit(False)).alias("open"),
+    ), "ahead")
+
+
+def path_counts(nodes: DataFrame, steps: DataFrame, starts: DataFrame, targets: Sequence[str], depth: int = 8) -> DataFrame:
+    """(start_id, end_id, length, confidence, paths): how many paths of paths() have these ends, this length and this weakest confidence, without a row for each path.
+
+    Prefixes of a start that stand at the same node with the same weakest confidence are one row with their number. A path
+    returns to no node: those that can be returned to are the nodes that prefixes of a start meet at more than one length. A first
+    pass finds out whether there are any; if so, a second one keeps the names of these nodes, and only these, with the prefixes.
+    """
+    kind = nodes.groupBy("id").agg(F.min("type").alias("type"), F.min("status").alias("status"))
+    ahead = _ahead(nodes, kind, steps, targets, depth).drop("open")
+    first = settle(starts.select("id").distinct().join(kind, "id").select(F.col("id").alias("start_id"), F.col("id").alias("at")), "starts")
+
+    def walk(again: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        def noted(rows: DataFrame) -> DataFrame:  # the nodes of a prefix that can be met again
+            if again is None:
+                return rows
+            met = rows.join(again, ["start_id", "at"], "left")
+            return met.withColumn("kept", F.when(F.col("again"), F.array_sort(F.array_append("kept", F.col("at")))).otherwise(F.col("kept"))).drop("again")
+
+        frontier = noted(first.select("start_id", "at", F.lit(None).cast("int").alias("rank"), F.array().cast("array<string>").alias("kept"), F.lit(1).cast("long").alias("paths")))
+        met = first.select("start_id", "at", F.lit(0).alias("k"), F.lit(False).alias("arrived"))
+        found = None
+        for k in range(1, depth + 1):
+            moved = frontier.alias("f").join(ahead.alias("s"), F.col("f.at") == F.col("s.node")).where((F.col("s.distance") + k <= depth) & ~F.array_contains("f.kept", F.col("s.neighbour")))
+            moved = moved.select("start_id", F.col("s.neighbour").alias("at"), F.least("f.rank", "s.rank").alias("rank"), "kept", "s.arrived", "paths")
+            level = settle(moved.groupBy("start_id", "at", "rank", "kept", "arrived").agg(F.sum("paths").alias("paths")), "counts")
+            met = met.unionByName(level.select("start_id", "at", F.lit(k).alias("k"), "arrived"))
+            done = level.where("arrived").select("start_id", F.col("at").alias("end_id"), F.lit(k).alias("length"), name_of(F.col("rank")).alias("confidence"), "paths")
+            found = done if found is None else found.unionByName(done)
+            frontier = noted(level.where("not arrived").drop("arrived"))
+            if frontier.isEmpty():
+                break
+        return found, met
+
+    found, met = walk(None)
+    again = met.groupBy("start_id", "at").agg(F.min(F.when(~F.col("arrived"), F.col("k"))).alias("before"), F.max("k").alias("after")).where("before < after")
+    again = settle(again.select("start_id", "at", F.lit(True).alias("again")), "again")
+    if not again.isEmpty():
+        found, _ = walk(again)
+    return found.groupBy("start_id", "end_id", "length", "confidence").agg(F.sum("paths").alias("paths"))
+
+
 def paths(nodes: DataFrame, steps: DataFrame, starts: DataFrame, targets: Sequence[str], depth: int = 8, most: int | None = 50) -> tuple[DataFrame, bool]:
     """(start_id, end_id, nodes, edges, length, confidence, weak_edges, environments, unresolved), and whether there are more than most.
 
@@ -132,13 +192,8 @@ def paths(nodes: DataFrame, steps: DataFrame, starts: DataFrame, targets: Sequen
     go are within depth, so nothing is expanded that can't arrive.  most is a report's length, in the
     order confidence (strong first), length, edges; None: all paths.
     """
-    steps = settle(steps, "steps")
-    far = distances(nodes, steps, targets, depth)
     kind = nodes.groupBy("id").agg(F.min("type").alias("type"), F.min("status").alias("status"))
-    ahead = settle(steps.join(far.withColumnRenamed("node", "neighbour"), "neighbour").join(kind.withColumnRenamed("id", "neighbour"), "neighbour").select(
-        "node", "neighbour", "edge_id", "env", rank_of(F.col("confidence")).alias("rank"), "distance", F.col("type").isin(*targets).alias("arrived"),
-        F.coalesce(F.col("status").isin("unresolved", "external"), F.lit(False)).alias("open"),
-    ), "ahead")
+    ahead = _ahead(nodes, kind, steps, targets, depth, ["edge_id", "env"])
     first = starts.select("id").distinct().join(kind, "id")
     empty = lambda t: F.array().cast(f"array<{t}>")
     frontier = first.select(
