@@ -171,3 +171,16 @@ def test_paths_are_counted_not_listed(spark):
         want = {tuple(r)[:4]: r.n for r in paths.groupBy(*key).agg(F.count("*").alias("n")).collect()}
         got = {tuple(r)[:4]: r.paths for r in graph.path_counts(nodes, steps, chosen, ["T"], depth=5).select(*key, "paths").collect()}
         assert got == want and max(got.values()) > 1
+
+
+def test_no_round_after_all_nodes_are_seen(spark, monkeypatch):
+    from tidegrid.operators import graph
+
+    written, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, name="graph": written.append(name) or settle(df, name))
+    nodes = spark.createDataFrame([("a", "T"), ("b", "M"), ("c", "M")], "id string, type string")
+    steps = spark.createDataFrame([("b", "a"), ("c", "b"), ("c", "b"), ("a", "c")], "node string, neighbour string")
+    assert sorted(map(tuple, graph.distances(nodes, steps, ["T"]).collect())) == [("a", 0), ("b", 1), ("c", 2)]
+    assert written.count("dist") == 3
+    more = nodes.unionByName(spark.createDataFrame([("d", "M")], "id string, type string"))
+    assert graph.distances(more, steps, ["T"]).count() == 3
