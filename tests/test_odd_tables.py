@@ -184,3 +184,15 @@ def test_no_round_after_all_nodes_are_seen(spark, monkeypatch):
     assert written.count("dist") == 3
     more = nodes.unionByName(spark.createDataFrame([("d", "M")], "id string, type string"))
     assert graph.distances(more, steps, ["T"]).count() == 3
+
+
+def test_last_steps_of_paths_are_not_written(spark, monkeypatch):
+    from tidegrid.operators import graph
+
+    written, settle = [], graph.settle
+    monkeypatch.setattr(graph, "settle", lambda df, name="graph": written.append((name, made := settle(df, name))) or made)
+    nodes = spark.createDataFrame([("s", "S", "active"), ("m", "M", "active"), ("t", "T", "active")], "id string, type string, status string")
+    edges = spark.createDataFrame([("e1", "s", "m", "X", "GLOBAL", "EXACT"), ("e2", "m", "t", "X", "GLOBAL", "EXACT"), ("e3", "s", "t", "X", "GLOBAL", "EXACT")], "id string, src string, dst string, type string, env string, confidence string")
+    found, _ = graph.paths(nodes, graph.adjacency(edges, directed=True), nodes.where("type = 'S'"), ["T"], depth=3, most=None)
+    assert sorted(r.edges for r in found.collect()) == [["e1", "e2"], ["e3"]]
+    assert [r.at for name, df in written if name == "paths" for r in df.collect()] == ["m"]

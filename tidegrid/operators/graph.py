@@ -151,7 +151,8 @@ def path_counts(nodes: DataFrame, steps: DataFrame, starts: DataFrame, targets:
     pass finds out whether there are any; if so, a second one keeps the names of these nodes, and only these, with the prefixes.
     """
     kind = nodes.groupBy("id").agg(F.min("type").alias("type"), F.min("status").alias("status"))
-    ahead = _ahead(nodes, kind, steps, targets, depth).drop("open")
+    ahead = _ahead(nodes, kind, steps, targets, depth)
+    go, end = ahead.where("not arrived"), ahead.where("arrived")
     first = settle(starts.select("id").distinct().join(kind, "id").select(F.col("id").alias("start_id"), F.col("id").alias("at")), "starts")
 
     def walk(again: DataFrame | None) -> tuple[DataFrame, DataFrame]:
@@ -161,20 +162,25 @@ def path_counts(nodes: DataFrame, steps: DataFrame, starts: DataFrame, targets:
             met = rows.join(again, ["start_id", "at"], "left")
             return met.withColumn("kept", F.when(F.col("again"), F.array_sort(F.array_append("kept", F.col("at")))).otherwise(F.col("kept"))).drop("again")
 
-        frontier = noted(first.select("start_id", "at", F.lit(None).cast("int").alias("rank"), F.array().cast("array<string>").alias("kept"), F.lit(1).cast("long").alias("paths")))
+        frontier = noted(first.select("start_id", "at", F.lit(None).cast("int").alias("rank"), F.array().cast("array<string>").alias("kept"), F.lit(0).alias("k"), F.lit(1).cast("long").alias("paths")))
         met = first.select("start_id", "at", F.lit(0).alias("k"), F.lit(False).alias("arrived"))
-        found = None
-        for k in range(1, depth + 1):
-            moved = frontier.alias("f").join(ahead.alias("s"), F.col("f.at") == F.col("s.node")).where((F.col("s.distance") + k <= depth) & ~F.array_contains("f.kept", F.col("s.neighbour")))
-            moved = moved.select("start_id", F.col("s.neighbour").alias("at"), F.least("f.rank", "s.rank").alias("rank"), "kept", "s.arrived", "paths")
-            level = settle(moved.groupBy("start_id", "at", "rank", "kept", "arrived").agg(F.sum("paths").alias("paths")), "counts")
-            met = met.unionByName(level.select("start_id", "at", F.lit(k).alias("k"), "arrived"))
-            done = level.where("arrived").select("start_id", F.col("at").alias("end_id"), F.lit(k).alias("length"), name_of(F.col("rank")).alias("confidence"), "paths")
-            found = done if found is None else found.unionByName(done)
-            frontier = noted(level.where("not arrived").drop("arrived"))
-            if frontier.isEmpty():
+
+        def moved(prefixes: DataFrame, way: DataFrame) -> DataFrame:
+            both = prefixes.alias("f").join(way.alias("s"), F.col("f.at") == F.col("s.node")).where((F.col("s.distance") + F.col("f.k") < depth) & ~F.array_contains("f.kept", F.col("s.neighbour")))
+            both = both.select("start_id", F.col("s.neighbour").alias("at"), F.least("f.rank", "s.rank").alias("rank"), "kept", (F.col("f.k") + 1).alias("k"), "paths")
+            return both.groupBy("start_id", "at", "rank", "kept", "k").agg(F.sum("paths").alias("paths"))
+
+        prefixes = frontier
+        for _ in range(1, depth):
+            level = settle(moved(frontier, go), "counts")
+            if level.isEmpty():
                 break
-        return found, met
+            met = met.unionByName(level.select("start_id", "at", "k", F.lit(False).alias("arrived")))
+            frontier = noted(level)
+            prefixes = prefixes.unionByName(frontier)
+        last = settle(moved(prefixes, end), "counts")  # the last steps of all lengths in one join
+        met = met.unionByName(last.select("start_id", "at", "k", F.lit(True).alias("arrived")))
+        return last.select("start_id", F.col("at").alias("end_id"), F.col("k").alias("length"), name_of(F.col("rank")).alias("confidence"), "paths"), met
 
     found, met = walk(None)
     again = met.groupBy("start_id", "at").agg(F.min(F.when(~F.col("arrived"), F.col("k"))).alias("before"), F.max("k").alias("after")).where("before < after")
@@ -194,24 +200,28 @@ def paths(nodes: DataFrame, steps: DataFrame, starts: DataFrame, targets: Sequen
     """
     kind = nodes.groupBy("id").agg(F.min("type").alias("type"), F.min("status").alias("status"))
     ahead = _ahead(nodes, kind, steps, targets, depth, ["edge_id", "env"])
+    go, end = ahead.where("not arrived"), ahead.where("arrived")
     first = starts.select("id").distinct().join(kind, "id")
     empty = lambda t: F.array().cast(f"array<{t}>")
     frontier = first.select(
         F.col("id").alias("start_id"), F.col("id").alias("at"), F.array("id").alias("nodes"), empty("string").alias("edges"), empty("int").alias("ranks"), empty("string").alias("envs"),
         F.coalesce(F.col("status").isin("unresolved", "external"), F.lit(False)).alias("open"),
     )
-    found = None
-    for k in range(1, depth + 1):
-        moved = frontier.alias("f").join(ahead.alias("s"), F.col("f.at") == F.col("s.node")).where((F.col("s.distance") + k <= depth) & ~F.array_contains("f.nodes", F.col("s.neighbour")))
-        level = settle(moved.select(
+
+    def moved(prefixes: DataFrame, way: DataFrame) -> DataFrame:
+        both = prefixes.alias("f").join(way.alias("s"), F.col("f.at") == F.col("s.node")).where((F.col("s.distance") + F.size("f.edges") < depth) & ~F.array_contains("f.nodes", F.col("s.neighbour")))
+        return both.select(
             "start_id", F.col("s.neighbour").alias("at"), F.array_append("f.nodes", F.col("s.neighbour")).alias("nodes"), F.array_append("f.edges", F.col("s.edge_id")).alias("edges"),
-            F.array_append("f.ranks", F.col("s.rank")).alias("ranks"), F.array_append("f.envs", F.col("s.env")).alias("envs"), (F.col("f.open") | F.col("s.open")).alias("open"), "s.arrived",
-        ), "paths")
-        done = level.where("arrived").drop("arrived")
-        found = done if found is None else found.unionByName(done)
-        frontier = level.where("not arrived").drop("arrived")
+            F.array_append("f.ranks", F.col("s.rank")).alias("ranks"), F.array_append("f.envs", F.col("s.env")).alias("envs"), (F.col("f.open") | F.col("s.open")).alias("open"),
+        )
+
+    prefixes = frontier
+    for _ in range(1, depth):
+        frontier = settle(moved(frontier, go), "paths")
         if frontier.isEmpty():
             break
+        prefixes = prefixes.unionByName(frontier)
+    found = moved(prefixes, end)  # the last steps of all lengths in one join, and never written: what asks for the paths makes them of the prefixes
     weakest = F.array_min("ranks")
     weak = F.transform(F.filter(F.arrays_zip("edges", "ranks"), lambda e: e["ranks"] == weakest), lambda e: e["edges"])
     made = found.select(
