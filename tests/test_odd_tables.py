@@ -196,3 +196,10 @@ def test_last_steps_of_paths_are_not_written(spark, monkeypatch):
     found, _ = graph.paths(nodes, graph.adjacency(edges, directed=True), nodes.where("type = 'S'"), ["T"], depth=3, most=None)
     assert sorted(r.edges for r in found.collect()) == [["e1", "e2"], ["e3"]]
     assert [r.at for name, df in written if name == "paths" for r in df.collect()] == ["m"]
+
+
+def test_a_line_that_stands_twice_is_two_proofs(spark, tmp_path):
+    tables = {"region": "SELECT 0 AS r_regionkey", "nation": "SELECT 0 AS n_nationkey, 0 AS n_regionkey", "supplier": "SELECT k AS s_suppkey, 0 AS s_nationkey FROM range(3) t(k)", "customer": "SELECT 1::BIGINT AS c_custkey, 0 AS c_nationkey", "orders": "SELECT k AS o_orderkey, 1::BIGINT AS o_custkey FROM range(4) t(k)",
+              "lineitem": "SELECT (k % 4)::BIGINT AS l_orderkey, (k % 3)::BIGINT AS l_suppkey, (k % 2)::INTEGER AS l_linenumber, 5::BIGINT AS l_partkey FROM range(40) t(k)"}
+    rows = agree(spark, tmp_path, "graph_edges", **tables)
+    assert len(rows) == 21 and sum("SUPPLIED_BY" in r for r in rows) == 12

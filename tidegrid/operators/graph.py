@@ -100,7 +100,8 @@ def _with_proofs(base: DataFrame, candidates: DataFrame, most: int) -> DataFrame
 def upsert_edges(candidates: DataFrame, most_evidence: int = MOST_EVIDENCE) -> DataFrame:
     """One row an id from candidates (id, src, dst, type, env, confidence, evidence, ord): the first by ord, with the first most_evidence of its evidence_count proofs."""
     fields = [c for c in ("src", "dst", "type", "env", "confidence") if c in candidates.columns]
-    return _with_proofs(candidates.groupBy("id").agg(*[F.min_by(c, "ord").alias(c) for c in fields]), candidates, most_evidence)
+    first = candidates.groupBy("id").agg(F.min(F.when(F.col("ord").isNotNull(), F.struct("ord", *fields))).alias("x"))  # one value to keep for all fields
+    return _with_proofs(first.select("id", *[F.col(f"x.{c}").alias(c) for c in fields]), candidates, most_evidence)
 
 
 def adjacency(edges: DataFrame, environments: Sequence[str] | None = None, directed: bool = False) -> DataFrame:
