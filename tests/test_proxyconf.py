@@ -96,3 +96,16 @@ def test_grammar_takes_linear_time():
     assert len(proxyconf.directives("a { b 1; } " * 100_000)) == 200_000
     with pytest.raises(proxyconf.Refused):
         proxyconf.directives("x_by_lua_block {" + "[" * 50_000)
+
+
+def test_blocks_beside_each_other_share_rows(spark):
+    """Locations of one server are few rows, whatever is in them, and each has its own route."""
+    n = 2 * proxyconf.BESIDE + 1
+    inside = ["proxy_pass http://h{};", "deny all;", "alias /srv/{};"]
+    text = "# configuration file /m.conf:\nhttp { server { server_name a; root /r; " + " ".join(f"location /{i} {{ {inside[i % 3].format(i)} }}" for i in range(n)) + " } }\n"
+    dumps = spark.createDataFrame([("d", text)], "dump string, text string")
+    nodes, problems = proxyconf.expanded(dumps)
+    assert problems.count() == 0 and nodes.count() == 5  # http, server, and the locations in three
+    got = {r.uri: (r.server_names, r.directive, r.target) for r in proxyconf.routes(nodes).collect()}
+    want = [("proxy_pass", "http://h{}"), ("access_control", "deny all"), ("static/other", "/srv/{}")]
+    assert got == {"/": (["a"], "static/other", "/r/")} | {f"/{i}": (["a"], want[i % 3][0], want[i % 3][1].format(i)) for i in range(n)}

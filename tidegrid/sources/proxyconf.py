@@ -1,9 +1,9 @@
 """Proxy configurations as tables: dumps are cut into files, files into directives, includes are followed by joins.
 
 A dump is what a proxy prints of its whole configuration, each file under a line that names it. Only the grammar of
-one file is read in Python; from there on a directive is a row that knows the blocks around it, including a file is a
-join that repeats its rows below the including block, round by round until nothing is included any more, and
-routes are aggregations over blocks. What is not a whole configuration becomes a row of problems and gives no routes.
+one file is read in Python; from there on some blocks beside each other are a row that knows the blocks around them, including
+a file is a join that repeats its rows below the including block, round by round until nothing is included any more, and
+routes are joins of blocks with what is said around them. What is not a whole configuration becomes a row of problems and gives no routes.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import re
 from collections.abc import Iterator
 from itertools import count
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,12 +24,18 @@ from tidegrid.operators.graph import settle
 PASSES = ("proxy_pass", "fastcgi_pass", "grpc_pass", "uwsgi_pass", "scgi_pass")
 CONDITIONS = ("if", "limit_except")
 LUA = "_by_lua_block"
-#: Blocks in each other; every directive names the blocks around it. A text with more is refused.
+#: Directives without a block that routes() reads, besides those that pass a request on.
+SAID = ("allow", "deny", "server_name", "listen", "root", "alias", "satisfy", "server")
+#: Blocks in each other; every row of blocks names the blocks around it. A text with more is refused.
 MOST_NESTED = 200
+#: Blocks beside each other in a row, rows in an Arrow batch.
+BESIDE, BATCH = 500, 2000
+#: Blocks whose routes a task compares.
+A_TASK = 50_000
 
 TOKEN = re.compile(
-    r"""\s+ | (?P<comment>\#[^\n]*) | (?P<mark>[{};])
-    | (?P<word>(?: \\. | \$\{[^}]*\} | \$(?!\{) | "(?:\\.|[^"\\])*" | '(?:\\.|[^'\\])*' | [^\s{};"'\\$] )+) | (?P<rest>.)""",
+    r"""\s*+ (?: (?P<comment>\#[^\n]*+) | (?P<mark>[{};])
+    | (?P<word>(?: [^\s{};"'\\$]++ | \\. | \$\{[^}]*\} | \$(?!\{) | "(?:\\.|[^"\\])*" | '(?:\\.|[^'\\])*' )+) | (?P<rest>.) | \Z )""",
     re.X | re.S,
 )
 LUA_TOKEN = re.compile(r"""--\[(?P<c>=*)\[.*?\](?P=c)\] | (?P<open>--\[=*\[ ) | --[^\n]* | \[(?P<s>=*)\[.*?\](?P=s)\] | (?P<long>\[=*\[) | "(?:\\.|[^"\\])*" | '(?:\\.|[^'\\])*' | (?P<brace>[{}]) | (?P<quote>["'])""", re.X | re.S)
@@ -57,28 +63,33 @@ def lua_end(text: str, at: int) -> int:
 
 def words(text: str) -> Iterator[str | tuple[str]]:
     """Words as (word,), marks as they are; a Lua body is an empty block."""
-    at, last = 0, ""
-    while at < len(text):
-        m = TOKEN.match(text, at)
-        at = m.end()
-        if m["word"]:
-            last = QUOTED.sub(lambda q: q[1] or q[2] or q[3] or "", m["word"])
-            if last:
-                yield (last,)
-        elif m["mark"]:
-            yield m["mark"]
-            if m["mark"] == "{" and last.endswith(LUA):
-                at = lua_end(text, at)
-                yield "}"
-            last = ""
-        elif m["rest"]:
-            raise Refused({"$": "variable is not closed", "\\": "escape at the end"}.get(m["rest"], "quote is not closed"))
+    at: int | None = 0
+    while at is not None:
+        start, at, last = at, None, ""
+        for m in TOKEN.finditer(text, start):
+            kind = m.lastgroup
+            if kind == "word":
+                last = m["word"]
+                if '"' in last or "'" in last:
+                    last = QUOTED.sub(lambda q: q[1] or q[2] or q[3] or "", last)
+                if last:
+                    yield (last,)
+            elif kind == "mark":
+                mark = m["mark"]
+                yield mark
+                if mark == "{" and last.endswith(LUA):
+                    at = lua_end(text, m.end())
+                    yield "}"
+                    break
+                last = ""
+            elif kind == "rest":
+                raise Refused({"$": "variable is not closed", "\\": "escape at the end"}.get(m["rest"], "quote is not closed"))
 
 
 def directives(text: str) -> list[tuple]:
     """(id, name, args, block, above) of every directive; above are the (id, name, args) of the blocks around it."""
     out: list[tuple] = []
-    above: list[tuple] = []
+    above: tuple[tuple, ...] = ()
     head: list[str] = []
     for w in words(text):
         if isinstance(w, tuple):
@@ -86,13 +97,13 @@ def directives(text: str) -> list[tuple]:
         elif w == "}":
             if head or not above:
                 raise Refused("block ends too early")
-            above.pop()
+            above = above[:-1]
         else:
             if not head:
                 raise Refused("directive is empty")
-            out.append((len(out), head[0], head[1:], w == "{", list(above)))
+            out.append((len(out), head[0], head[1:], w == "{", above))
             if w == "{":
-                above.append(out[-1][:3])
+                above = (*above, out[-1][:3])
                 if len(above) > MOST_NESTED:
                     raise Refused(f"more than {MOST_NESTED} blocks in each other")
             head = []
@@ -101,6 +112,37 @@ def directives(text: str) -> list[tuple]:
     return out
 
 
+def blocks_of(text: str) -> tuple[list[tuple], list[tuple], bool]:
+    """(rows, asks, lua) of a text: rows are (above, [(id, name, args, inside, asks, covers, holds)]), up to BESIDE blocks beside each other with the directives without a block
+    in each, id -1 for those outside of any block; asks are the (id, pattern, above) of its includes, lua is whether Lua decides something.
+
+    A block asks if it includes something, covers if it has a location / of its own, and holds if it has blocks of its own or asks.
+    """
+    inside: dict[int, list[tuple]] = {-1: []}
+    beside: dict[int, tuple[tuple, list]] = {}
+    asks, asking, covers, lua = [], set(), set(), False
+    for i, name, args, block, above in directives(text):
+        up = above[-1][0] if above else -1
+        if block:
+            inside[i] = []
+            if up not in beside:
+                beside[up] = (above, [])
+            beside[up][1].append((i, name, args))
+            if name == "location" and " ".join(args) == "/":
+                covers.add(up)
+        else:
+            inside[up].append((i, name, args))
+            if name == "include" and len(args) == 1:
+                asks.append((i, args[0], above))
+                asking.add(up)
+        lua = lua or "_by_lua" in name
+    rows = [((), [(-1, None, [], inside[-1], -1 in asking, False, True)])] if inside[-1] else []
+    for above, found in beside.values():
+        each = [(*b, inside[b[0]], b[0] in asking, b[0] in covers, b[0] in beside or b[0] in asking) for b in found]
+        rows += [(above, each[k : k + BESIDE]) for k in range(0, len(each), BESIDE)]
+    return rows, asks, lua
+
+
 def files_of(dumps: DataFrame, dump_col: str = "dump", text_col: str = "text") -> DataFrame:
     """(dump, ord, file, text) of the files of each dump; ord 0 is the file that includes the others. A dump without a file's mark gives none."""
     mark = r"(?m)^# configuration file (.+):\s*\n"
@@ -110,20 +152,35 @@ def files_of(dumps: DataFrame, dump_col: str = "dump", text_col: str = "text") -
     return first.select("dump", "ord", "file", "text")
 
 
+#: What parsed() returns; the same for Arrow.
+_HEAD = pa.struct([("id", pa.int32()), ("name", pa.string()), ("args", pa.list_(pa.string()))])
+_BLOCK = pa.struct([*_HEAD, ("inside", pa.list_(_HEAD)), ("asks", pa.bool_()), ("covers", pa.bool_()), ("holds", pa.bool_())])
+_ASK = pa.struct([("id", pa.int32()), ("asked", pa.string()), ("above", pa.list_(_HEAD))])
+PARSED = pa.schema([("dump", pa.string()), ("file", pa.string()), ("above", pa.list_(_HEAD)), ("blocks", pa.list_(_BLOCK)), ("asks", pa.list_(_ASK)), ("lua", pa.bool_()), ("error", pa.string())])
+_HEADS = "array<struct<id:int,name:string,args:array<string>>>"
+
+
 def parsed(files: DataFrame) -> DataFrame:
-    """(dump, ord, file, id, name, args, block, above, error) of (dump, ord, file, text): a row a directive, or one with an error."""
+    """(dump, file, above, blocks, asks, lua, error) of (dump, file, text): blocks_of() each text, a row for the file (asks, lua, error; no blocks) and one for each of its rows."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), PARSED.types, strict=True)], schema=PARSED)
+        for f in batches:
             rows: list[tuple] = []
-            for dump, n, file, text in zip(f["dump"], f["ord"], f["file"], f["text"], strict=True):
+            for dump, file, text in zip(*[f.column(c).to_pylist() for c in ("dump", "file", "text")], strict=True):
                 try:
-                    rows += [(dump, n, file, i, name, args, block, [{"id": a, "name": b, "args": c} for a, b, c in above], None) for i, name, args, block, above in directives(text or "")]
+                    found, asks, lua = blocks_of(text or "")
+                    rows.append((dump, file, None, None, asks, lua, None))
+                    rows += [(dump, file, above, blocks, None, None, None) for above, blocks in found]
                 except Refused as e:
-                    rows.append((dump, n, file, None, None, None, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["dump", "ord", "file", "id", "name", "args", "block", "above", "error"]).astype({"id": "Int64", "block": "boolean"})
+                    rows.append((dump, file, None, None, None, None, str(e)))
+                while len(rows) >= BATCH:
+                    yield made(rows[:BATCH])
+                    rows = rows[BATCH:]
+            if rows:
+                yield made(rows)
 
-    return files.select("dump", "ord", "file", "text").mapInPandas(run, "dump string, ord int, file string, id int, name string, args array<string>, block boolean, above array<struct<id:int,name:string,args:array<string>>>, error string")
+    return files.select("dump", "file", "text").mapInArrow(run, f"dump string, file string, above {_HEADS}, blocks array<struct<id:int,name:string,args:array<string>,inside:{_HEADS},asks:boolean,covers:boolean,holds:boolean>>, asks array<struct<id:int,asked:string,above:{_HEADS}>>, lua boolean, error string")
 
 
 def _glob(pattern: Column) -> Column:
@@ -135,21 +192,23 @@ def _glob(pattern: Column) -> Column:
 def expanded(dumps: DataFrame, dump_col: str = "dump", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(directives, problems) of dumps (dump, text).
 
-    directives: (dump, key, at, file, name, args, block, scope), every directive as often as its file is included; scope
-    are the (key, name, args) of the blocks around it, across files, and at its order. problems: (dump, file, severity,
-    problem); an error (no file, a text that is not whole, an include cycle) refuses the dump, which then has no directives.
+    directives: (dump, mount, at, file, scope, top, blocks), every directive as often as its file is included. A row has blocks
+    (id, name, args, inside, asks, covers, holds) beside each other, with the directives without a block in each; id -1 stands for the file itself.
+    A block's key is mount:id; scope are the (key, name, args) of the blocks around, across files, top is whether these are
+    other files', and a directive's order is at with its id. problems: (dump, file, severity, problem); an error (no file, a
+    text that is not whole, an include cycle) refuses the dump, which then has no directives.
     """
     files = settle(files_of(dumps, dump_col, text_col), "files")
     rows = settle(parsed(files), "parsed")
     none = dumps.select(F.col(dump_col).cast("string").alias("dump")).distinct().join(files.select("dump").distinct(), "dump", "left_anti")
     problems = rows.where("error is not null").select("dump", "file", F.lit("error").alias("severity"), F.col("error").alias("problem"))
     problems = problems.unionByName(none.select("dump", F.lit(None).cast("string").alias("file"), F.lit("error").alias("severity"), F.lit("no configuration files").alias("problem")))
-    lua = rows.where(F.col("name").contains("_by_lua")).select("dump", "file", F.lit("warning").alias("severity"), F.lit("Lua decides at run time").alias("problem")).distinct()
+    lua = rows.where("lua").select("dump", "file", F.lit("warning").alias("severity"), F.lit("Lua decides at run time").alias("problem")).distinct()
     root = files.where("ord = 0").select("dump", F.col("file").alias("root"), F.regexp_replace("file", "/[^/]*$", "").alias("home"))
     named = files.select(F.col("dump").alias("t_dump"), F.col("file").alias("target"))
     below = named.withColumn("folder", F.explode(F.transform(F.filter(F.sequence(F.lit(1), F.length("target")), lambda i: F.substring("target", i, F.lit(1)) == "/"), lambda i: F.substring("target", F.lit(1), i))))
-    asks = rows.where((F.col("name") == "include") & ~F.col("block") & (F.size("args") == 1)).join(root, "dump")
-    asks = asks.withColumn("asked", F.col("args")[0]).withColumn("pattern", F.when(F.col("asked").startswith("/"), F.col("asked")).otherwise(F.concat_ws("/", "home", "asked"))).withColumn("wild", F.col("asked").rlike(r"[*?\[]"))
+    asks = rows.select("dump", "file", F.explode("asks").alias("a")).select("dump", "file", "a.*").join(root, "dump")
+    asks = asks.withColumn("pattern", F.when(F.col("asked").startswith("/"), F.col("asked")).otherwise(F.concat_ws("/", "home", "asked"))).withColumn("wild", F.col("asked").rlike(r"[*?\[]"))
     asks = asks.select("dump", "file", "id", "above", "asked", "pattern", "wild")
     exact = asks.where("not wild").join(named, (F.col("dump") == F.col("t_dump")) & (F.col("pattern") == F.col("target")), "left").drop("t_dump")
     # a pattern's files lie below the folder that it names before its first wildcard: joined by that folder, then matched
@@ -176,9 +235,8 @@ def expanded(dumps: DataFrame, dump_col: str = "dump", text_col: str = "text") -
         mounts = mounts.unionByName(front)
     problems = settle(problems.unionByName(cycles).unionByName(missing).unionByName(lua).distinct(), "problems")
     refused = problems.where("severity = 'error'").select("dump").distinct()
-    found = mounts.drop("chain").join(rows.where("id is not null and name <> 'include'").drop("ord", "error"), ["dump", "file"]).join(refused, "dump", "left_anti")
-    key = F.concat_ws(":", "mount", F.col("id").cast("string"))
-    return settle(found.select("dump", key.alias("key"), F.array_append("at", F.col("id")).alias("at"), "file", "name", "args", "block", F.concat("scope", ready(F.col("mount"), F.col("above"))).alias("scope")), "directives"), problems
+    found = mounts.drop("chain").join(rows.where("blocks is not null").select("dump", "file", "above", "blocks"), ["dump", "file"]).join(refused, "dump", "left_anti")
+    return settle(found.select("dump", "mount", "at", "file", F.concat("scope", ready(F.col("mount"), F.col("above"))).alias("scope"), (F.size("above") == 0).alias("top"), "blocks"), "directives"), problems
 
 
 def endpoint(value: Column, default: Column) -> Column:
@@ -199,56 +257,84 @@ def routes(directives: DataFrame) -> DataFrame:
     nothing on is static/other with the folder it serves.  Where the first rule denies all (without
     "satisfy any" or a condition), nothing else counts.
     """
-    d = directives.withColumn("parent", F.get(F.reverse("scope"), F.lit(0))["key"])
-    arg = F.col("args")[0]
-    order = F.struct("at", F.col("file").alias("file"), F.col("name").alias("name"), F.col("args").alias("args"))
-    pick = lambda cond: F.array_sort(F.collect_list(F.when(cond, order)))
-    first = lambda name: F.min_by(F.when(F.col("name") == name, arg), F.when((F.col("name") == name) & (F.size("args") == 1), F.col("at")))
-    own = d.where("not block").groupBy("dump", F.col("parent").alias("block_key")).agg(
-        pick(F.col("name").isin(*PASSES) & (F.size("args") > 0)).alias("passes"), pick(F.col("name").isin("allow", "deny") & (F.size("args") == 1)).alias("access"), pick(F.col("name") == "server_name").alias("names"), pick(F.col("name") == "listen").alias("listens"),
-        first("root").alias("root"), first("alias").alias("alias"), first("satisfy").alias("satisfy"),
-    )
-    self_ = F.struct(F.col("key").alias("key"), F.col("name").alias("name"), F.col("args").alias("args"))
-    blocks = d.where(F.col("block") & F.col("name").isin("server", "location", *CONDITIONS)).withColumn("chain", F.array_append("scope", self_))
-    blocks = blocks.withColumn("context", F.get(F.filter("chain", lambda s: s["name"].isin("http", "stream")), F.lit(0))["name"]).where("context is not null").withColumn("server", F.get(F.filter("chain", lambda s: s["name"] == "server"), F.lit(0))["key"]).where("server is not null")
-    place = F.get(F.reverse(F.filter("chain", lambda s: s["name"] == "location")), F.lit(0))["args"]
-    blocks = blocks.withColumn("uri", F.when(place.isNotNull(), F.array_join(place, " ")).when(F.col("context") == "http", "/").otherwise("(TCP/UDP)"))
-    blocks = blocks.withColumn("conditional", F.exists("chain", lambda s: s["name"].isin(*CONDITIONS))).withColumn("condition", F.col("name").isin(*CONDITIONS))
-    each = blocks.select("dump", F.col("key").alias("scope_key"), "condition", F.posexplode("chain").alias("depth", "s")).join(own.withColumnRenamed("dump", "o_dump"), (F.col("s.key") == F.col("block_key")) & (F.col("dump") == F.col("o_dump"))).drop("o_dump")
-    here = F.col("s.key") == F.col("scope_key")
-    near = lambda c, cond: F.max_by(F.when(cond, F.col(c)), F.when(cond, F.col("depth")))
-    seen = ~F.col("condition") | here
-    inside = F.col("s.name").isin("server", "location")
-    have = each.groupBy("dump", "scope_key").agg(
-        near("passes", seen & (here | inside) & (F.size("passes") > 0)).alias("passes"), near("access", seen & (F.size("access") > 0)).alias("access"), near("root", F.col("root").isNotNull() & (F.col("s.name") != "http")).alias("root"),
-        near("alias", here).alias("alias"), near("satisfy", F.col("satisfy").isNotNull()).alias("satisfy"),
+    c = F.col
+    key = lambda mount, i: F.concat_ws(":", mount, i.cast("string"))
+    last = lambda x: F.get(F.reverse(x), F.lit(0))
+    kinds = ("server", "location", *CONDITIONS)
+    d = directives.withColumn("parent", last(c("scope"))["key"]).withColumn("context", F.get(F.filter("scope", lambda s: s["name"].isin("http", "stream")), F.lit(0))["name"])
+    d = d.withColumn("outer", F.get(F.filter("scope", lambda s: s["name"] == "server"), F.lit(0))["key"])
+    each = lambda df, cond: df.withColumn("b", F.explode(F.filter("blocks", cond))).withColumn("key", key(c("mount"), c("b.id"))).drop("blocks")
+    said = F.transform(F.filter("b.inside", lambda x: x["name"].isin(*PASSES, *SAID)), lambda x: F.struct(F.array_append("at", x["id"]).alias("at"), c("file").alias("file"), x["name"].alias("name"), x["args"].alias("args")))
+    # what included files say outside of their blocks belongs to the block that includes them
+    tops = d.where("top and parent is not null")
+    more = each(tops, lambda b: b["id"] == -1).select("dump", c("parent").alias("key"), said.alias("said"), F.lit(False).alias("covers")).where("size(said) > 0")
+    slash = tops.where(F.exists("blocks", lambda b: (b["name"] == "location") & (F.array_join(b["args"], " ") == "/"))).select("dump", c("parent").alias("key"), F.array().cast(more.schema["said"].dataType).alias("said"), F.lit(True).alias("covers"))
+    more = settle(more.unionByName(slash).groupBy(c("dump").alias("m_dump"), c("key").alias("m_key")).agg(F.flatten(F.collect_list("said")).alias("m_said"), F.max("covers").alias("m_covers")), "included")
+    some = not more.isEmpty()
+
+    def whole(df: DataFrame) -> DataFrame:
+        """df of single blocks with said, in its order, and covers."""
+        alone = df.withColumn("said", said).withColumn("covers", c("b.covers"))
+        if not some:
+            return alone
+        joined = alone.where("b.asks").join(more, (c("dump") == c("m_dump")) & (c("key") == c("m_key")), "left")
+        joined = joined.withColumn("said", F.when(c("m_key").isNull(), c("said")).otherwise(F.array_sort(F.concat("said", F.coalesce("m_said", F.array().cast(more.schema["m_said"].dataType)))))).withColumn("covers", c("covers") | F.coalesce("m_covers", F.lit(False)))
+        return alone.where("not b.asks").unionByName(joined.drop(*more.columns))
+
+    pick = lambda cond: F.filter("said", cond)
+    first = lambda name: F.get(pick(lambda x: (x["name"] == name) & (F.size(x["args"]) == 1)), F.lit(0))["args"][0]
+    facts = {
+        "passes": pick(lambda x: x["name"].isin(*PASSES) & (F.size(x["args"]) > 0)), "access": pick(lambda x: x["name"].isin("allow", "deny") & (F.size(x["args"]) == 1)), "names": F.flatten(F.transform(pick(lambda x: x["name"] == "server_name"), lambda x: x["args"])),
+        "listens": F.transform(pick(lambda x: x["name"] == "listen"), lambda x: F.array_join(x["args"], " ")), "root": first("root"), "alias": first("alias"), "satisfy": first("satisfy"),
+    }
+    # what the blocks around say: once for all that stand in the same block
+    around = d.where("context is not null").select("dump", "parent", "outer", "scope").distinct()
+    around = around.select("dump", "parent", "outer", F.posexplode("scope").alias("depth", "s"))
+    own = whole(each(d, lambda b: (b["id"] >= 0) & b["holds"])).where("size(said) > 0").select(c("dump").alias("o_dump"), c("key").alias("o_key"), *[x.alias(k) for k, x in facts.items() if k != "alias"])
+    near = lambda col, cond: F.max_by(F.when(cond, c(col)), F.when(cond, c("depth")))
+    server = c("s.key") == c("outer")
+    around = around.join(own, (c("dump") == c("o_dump")) & (c("s.key") == c("o_key"))).groupBy(c("dump").alias("h_dump"), c("parent").alias("h_key")).agg(
+        near("passes", c("s.name").isin("server", "location") & (F.size("passes") > 0)).alias("h_passes"), near("access", F.size("access") > 0).alias("h_access"), near("root", c("root").isNotNull() & (c("s.name") != "http")).alias("h_root"), near("satisfy", c("satisfy").isNotNull()).alias("h_satisfy"),
+        near("names", server).alias("h_names"), near("listens", server).alias("h_listens"),
     )
-    servers = own.select(F.col("dump").alias("of"), F.col("block_key").alias("server_key"), F.flatten(F.transform("names", lambda x: x["args"])).alias("server_names"), F.transform("listens", lambda x: F.array_join(x["args"], " ")).alias("listen"))
-    covered = d.where(F.col("block") & (F.col("name") == "location") & (F.array_join("args", " ") == "/")).select(F.col("dump").alias("c_dump"), F.col("parent").alias("c_key")).distinct()
+    rows = d.where(c("context").isNotNull() & F.exists("blocks", lambda b: b["name"].isin(*kinds)))
+    rows = rows.join(around, (c("dump") == c("h_dump")) & (c("parent") == c("h_key")), "left").drop("h_dump", "h_key", "parent")
+    b = each(rows, lambda b: b["name"].isin(*kinds)).where("outer is not null or b.name = 'server'")
+    b = whole(b).withColumns(facts).withColumn("name", c("b.name")).withColumn("condition", c("name").isin(*CONDITIONS))
+    chain = F.array_append("scope", F.struct(c("key").alias("key"), c("name").alias("name"), c("b.args").alias("args")))
     nothing = F.array().cast("array<string>")
-    b = blocks.join(have.withColumnRenamed("dump", "h_dump"), (F.col("dump") == F.col("h_dump")) & (F.col("key") == F.col("scope_key")), "left")
-    b = b.join(servers, (F.col("dump") == F.col("of")) & (F.col("server") == F.col("server_key")), "left").join(covered, (F.col("dump") == F.col("c_dump")) & (F.col("key") == F.col("c_key")), "left")
-    b = b.withColumns({"server_names": F.coalesce("server_names", nothing), "listen": F.coalesce("listen", nothing)})
-    rules = F.transform(F.coalesce("access", F.array().cast(d.select(F.array(order)).schema[0].dataType)), lambda x: F.concat_ws(" ", x["name"], F.array_join(x["args"], " ")))
-    b = b.withColumn("denies", F.array_contains(rules, "deny all")).withColumn("blocked", (F.coalesce(F.get(rules, F.lit(0)), F.lit("")) == "deny all") & (F.coalesce("satisfy", F.lit("all")) == "all") & ~F.col("conditional"))
-    b = settle(b, "blocks")
+    itself = c("outer").isNull()  # a server; its own names count
+    b = b.withColumns({"server_names": F.coalesce(F.when(itself, c("names")).otherwise(c("h_names")), nothing), "listen": F.coalesce(F.when(itself, c("listens")).otherwise(c("h_listens")), nothing)})
+    mine = lambda k: F.when((F.size(k) > 0) | c("condition"), c(k)).otherwise(F.coalesce(f"h_{k}", k))
+    b = b.withColumns({"passes": mine("passes"), "access": mine("access"), "root": F.coalesce("root", "h_root"), "satisfy": F.coalesce("satisfy", "h_satisfy")})
+    place = last(F.filter(chain, lambda s: s["name"] == "location"))["args"]
+    b = b.withColumn("uri", F.when(place.isNotNull(), F.array_join(place, " ")).when(c("context") == "http", "/").otherwise("(TCP/UDP)")).withColumn("conditional", F.exists(chain, lambda s: s["name"].isin(*CONDITIONS)))
+    rules = F.transform("access", lambda x: F.concat_ws(" ", x["name"], F.array_join(x["args"], " ")))
+    blocked = (F.coalesce(F.get(rules, F.lit(0)), F.lit("")) == "deny all") & (F.coalesce("satisfy", F.lit("all")) == "all") & ~c("conditional")
+    b = b.withColumn("denies", F.array_contains(rules, "deny all")).withColumn("blocked", blocked)
+    path = F.when(c("uri").rlike(r"^(=|\^~) \S+$"), F.split_part("uri", F.lit(" "), F.lit(2))).when(c("uri").rlike(r"^/\S*$"), c("uri"))
+    served = F.when(c("alias").isNotNull(), c("alias")).when(c("root").isNull(), "").when(path.isNull(), c("root")).otherwise(F.concat(F.regexp_replace("root", "/+$", ""), path))
+    line = lambda file, directive, target, passed: F.struct(file.alias("file"), directive.alias("directive"), target.alias("target"), F.lit(passed).alias("passed"))
+    denied = line(F.get(F.filter("access", lambda x: (x["name"] == "deny") & (x["args"][0] == "all")), F.lit(0))["file"], F.lit("access_control"), F.lit("deny all"), False)
+    static = line(c("file"), F.lit("static/other"), served, False)
+    lines = F.concat(
+        F.when(c("denies"), F.array(denied)).otherwise(F.array()), F.when(~c("blocked"), F.transform("passes", lambda p: line(p["file"], p["name"], p["args"][0], True))).otherwise(F.array()),
+        F.when(~c("blocked") & (F.size("passes") == 0) & ~c("condition") & ~((c("name") == "server") & c("covers")), F.array(static)).otherwise(F.array()),
+    )
     keep = ["dump", "context", "server_names", "listen", "uri"]
-    line = lambda df, file, directive, target: df.select(*keep, file.alias("file"), directive.alias("directive"), target.alias("target"))
-    denied = line(b.where("denies"), F.get(F.filter("access", lambda x: (x["name"] == "deny") & (x["args"][0] == "all")), F.lit(0))["file"], F.lit("access_control"), F.lit("deny all"))
-    passed = b.where("not blocked and size(passes) > 0").withColumn("p", F.explode("passes"))
-    passed = line(passed, F.col("p.file"), F.col("p.name"), F.col("p.args")[0])
-    path = F.when(F.col("uri").rlike(r"^(=|\^~) \S+$"), F.split_part("uri", F.lit(" "), F.lit(2))).when(F.col("uri").rlike(r"^/\S*$"), F.col("uri"))
-    served = F.when(F.col("alias").isNotNull(), F.col("alias")).when(F.col("root").isNull(), "").when(path.isNull(), F.col("root")).otherwise(F.concat(F.regexp_replace("root", "/+$", ""), path))
-    static = line(b.where(~F.col("blocked") & (F.coalesce(F.size("passes"), F.lit(0)) <= 0) & ~F.col("condition") & ~((F.col("name") == "server") & F.col("c_key").isNotNull())), F.col("file"), F.lit("static/other"), served)
-    pools = d.where("not block and name = 'server' and size(args) > 0").withColumn("up", F.get(F.reverse("scope"), F.lit(0))).where("up.name = 'upstream' and size(up.args) > 0")
-    pools = pools.withColumn("ctx", F.get(F.filter("scope", lambda s: s["name"].isin("http", "stream")), F.lit(0))["name"]).groupBy(F.col("dump").alias("u_dump"), F.col("ctx").alias("u_ctx"), F.col("up.args")[0].alias("pool")).agg(F.array_sort(F.collect_list(F.struct("at", endpoint(arg, F.lit("80")).alias("e")))).alias("members"))
-    made = passed.withColumn("upstream", F.when(F.col("target").contains("://"), F.regexp_extract("target", r"://([^/?#]*)", 1)).otherwise(F.col("target")))
+    b = b.select(*keep, F.explode(lines).alias("line")).select(*keep, "line.*")
+    # what passes nothing on meets no pool: a place's own words spread it over the tasks
+    b = b.withColumn("upstream", F.when(~c("passed"), c("uri")).when(c("target").contains("://"), F.regexp_extract("target", r"://([^/?#]*)", 1)).otherwise(c("target")))
+    tasks = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), (d.agg(F.sum(F.size("blocks"))).first()[0] or 0) // A_TASK)
+    b = b.repartition(tasks, "dump", "context", "upstream").distinct()  # the join with pools needs no other exchange
+    pools = whole(each(d.where("context is not null"), lambda b: (b["name"] == "upstream") & (F.size(b["args"]) > 0)))
+    members = F.transform(pick(lambda x: (x["name"] == "server") & (F.size(x["args"]) > 0)), lambda x: F.struct(x["at"].alias("at"), endpoint(x["args"][0], F.lit("80")).alias("e")))
+    pools = pools.select(c("dump").alias("u_dump"), c("context").alias("u_ctx"), c("b.args")[0].alias("pool"), members.alias("m")).where("size(m) > 0")
+    pools = pools.groupBy("u_dump", "u_ctx", "pool").agg(F.array_sort(F.flatten(F.collect_list("m"))).alias("members")).withColumn("u_passed", F.lit(True))
     secure = F.when(F.lower("target").rlike("^(https|grpcs)://"), "443").otherwise("80")
-    made = made.join(pools, (F.col("dump") == F.col("u_dump")) & (F.col("context") == F.col("u_ctx")) & (F.col("upstream") == F.col("pool")), "left")
-    made = made.withColumn("backends", F.when(F.col("members").isNotNull(), F.transform("members", lambda m: m["e"])).otherwise(F.array(endpoint(F.col("upstream"), secure))))
-    still = denied.unionByName(static).withColumn("upstream", F.lit("")).withColumn("backends", F.array().cast(made.schema["backends"].dataType))
-    out = ["dump", "file", "context", "server_names", "listen", "uri", "directive", "target", "upstream", "backends"]
-    return made.select(out).unionByName(still.select(out)).distinct()
+    b = b.join(pools, (c("dump") == c("u_dump")) & (c("context") == c("u_ctx")) & (c("upstream") == c("pool")) & (c("passed") == c("u_passed")), "left")
+    backends = F.when(c("members").isNotNull(), F.transform("members", lambda m: m["e"])).when(c("passed"), F.array(endpoint(c("upstream"), secure))).otherwise(F.array())
+    return b.withColumn("backends", backends).select("dump", "file", "context", "server_names", "listen", "uri", "directive", "target", F.when(c("passed"), c("upstream")).otherwise("").alias("upstream"), "backends")
 
 
 def location_blocks(texts: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
