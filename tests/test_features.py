@@ -53,6 +53,27 @@ def test_log_scopes(spark):
     assert applogs.log_scopes(chain, ends.limit(0)).collect() == []
 
 
+def test_each_pass_of_log_scopes_is_written_once(spark, monkeypatch):
+    """No table is written by the joins of several passes together; paths that end early, late or never keep their rounds."""
+    joins = []
+
+    def settle(df, name="graph"):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return written(df, name)
+
+    written = applogs.settle
+    monkeypatch.setattr(applogs, "settle", settle)
+    chain = spark.createDataFrame([("f", "a", "${b}/a"), ("f", "b", "${c}/b"), ("f", "c", "/root/of/c"), ("f", "loop", "${loop}"), ("f", "two", "1"), ("f", "two", "2")], "file string, name string, value string")
+    paths = [("f", x) for x in ("/no/name/x.log", "${a}/x.log", "${b}-${c}.log", "${c}/x.log", "${loop}", "${two}/x.log", "${none}", "${c}/x.log")] + [(None, "${a}"), ("g", "${a}")]
+    got = {(r.file, r.path): (r.resolved, r.rounds, r.unresolved, r.cycle) for r in applogs.substituted(chain, spark.createDataFrame(paths, "file string, path string")).collect()}
+    assert max(joins) <= 2
+    assert got.pop((None, "${a}"))[:2] == ("${a}", 0)
+    assert got == {
+        ("f", "/no/name/x.log"): ("/no/name/x.log", 0, [], False), ("f", "${a}/x.log"): ("/root/of/c/b/a/x.log", 3, [], False), ("f", "${b}-${c}.log"): ("/root/of/c/b-/root/of/c.log", 2, [], False), ("f", "${c}/x.log"): ("/root/of/c/x.log", 1, [], False),
+        ("f", "${loop}"): ("${loop}", 5, ["loop"], True), ("f", "${two}/x.log"): ("${two}/x.log", 0, ["two"], False), ("f", "${none}"): ("${none}", 0, ["none"], False), ("g", "${a}"): ("${a}", 0, ["a"], False),
+    }
+
+
 def test_memo(spark, tmp_path):
     """A second run evaluates nothing, a new key one row, stale keys again; what a run has written before it fails stays."""
     asked = []

@@ -103,29 +103,30 @@ def substituted(properties: DataFrame, paths: DataFrame, overrides: DataFrame |
     A pass replaces all names of a path at once and what it puts in is looked at in the next; after passes
     of them it ends. A name with several values has none, unless overrides (file, name, value) gives it one. unresolved are
     the names that are left: without a value, or, with cycle, with one that more passes would have used.
-    Every pass is a join on file and name over the paths that still name something.
+    Every pass is a join on file and name over the paths that still name something, and writes these paths once: those that it
+    didn't change have ended. Rows are dealt out before repeats go, as a large file may be few tasks.
     """
-    one = properties.groupBy("file", "name").agg(F.min("value").alias("value"), F.max("value").alias("other")).where("value = other").select("file", "name", "value")
+    one = properties.repartition("file", "name").groupBy("file", "name").agg(F.min("value").alias("value"), F.max("value").alias("other")).where("value = other").select("file", "name", "value")
     if overrides is not None:
         last = overrides.groupBy("file", "name").agg(F.max("value").alias("value"))
         one = one.join(last, ["file", "name"], "left_anti").unionByName(last)
     one = settle(one, "properties")
     names = lambda c: F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(1))
-    state = paths.select("file", "path", F.col("path").alias("resolved"), F.lit(0).alias("rounds")).distinct()
-    done = None
+    state = settle(paths.repartition("file", "path").select("file", "path", F.col("path").alias("resolved"), F.lit(0).alias("rounds")).distinct(), "paths")
+    every = None
     for k in range(1, passes + 1):
-        state = settle(state, "paths")
         asked = state.select("file", "path", F.explode(F.array_distinct(names("resolved"))).alias("name")).join(one, ["file", "name"])
         known = asked.groupBy("file", "path").agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("known"))
-        ended = state.join(known, ["file", "path"], "left_anti")
-        done = ended if done is None else done.unionByName(ended)
-        if known.isEmpty():
-            state = state.limit(0)
-            break
         put = F.transform(names("resolved"), lambda n: F.coalesce(F.try_element_at("known", n), F.concat(F.lit("${"), n, F.lit("}"))))
         mixed = F.zip_with(F.split("resolved", REFERENCE, -1), put, lambda text, value: F.concat(text, F.coalesce(value, F.lit(""))))
-        state = state.join(known, ["file", "path"]).select("file", "path", F.array_join(mixed, "").alias("resolved"), F.lit(k).alias("rounds"))
-    every = settle(done.unionByName(state), "substituted")
+        changed = F.col("known").isNotNull()
+        passed = state.join(known, ["file", "path"], "left").select("file", "path", F.when(changed, F.array_join(mixed, "")).otherwise(F.col("resolved")).alias("resolved"), F.when(changed, F.lit(k)).otherwise(F.col("rounds")).alias("rounds"), changed.alias("changed"))
+        passed = settle(passed, "paths")
+        ended, state = passed.where("not changed").drop("changed"), passed.where("changed").drop("changed")
+        every = ended if every is None else every.unionByName(ended)
+        if state.isEmpty():
+            break
+    every = state if every is None else every.unionByName(state)
     left = every.select("file", "path", F.explode(F.array_distinct(names("resolved"))).alias("name")).join(one.select("file", "name", F.lit(True).alias("has")), ["file", "name"], "left")
     left = left.groupBy("file", "path").agg(F.array_sort(F.collect_list("name")).alias("unresolved"), F.coalesce(F.max("has"), F.lit(False)).alias("cycle"))
     return every.join(left, ["file", "path"], "left").select("file", "path", "resolved", "rounds", F.coalesce("unresolved", F.array().cast("array<string>")).alias("unresolved"), F.coalesce("cycle", F.lit(False)).alias("cycle"))
